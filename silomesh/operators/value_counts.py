@@ -121,19 +121,20 @@ def _drifts(kind: Column, a: Column, b: Column, share: float, factor: int) -> Co
 
 
 def drift_rows(clean: DataFrame, keys: Sequence[str], load: str, share: float = 0.3, factor: int = 5) -> DataFrame:
-    """Rows of ``clean`` (keys..., load, stat_id, field_name, value) that drift from their key's load before.
+    """Observations of ``clean`` (keys..., load, stat_table, stat_id, value) that drift from their key's load before.
 
     The value counts of each (key, load) give the least and the largest value of the load before that has one; a row
-    drifts when it is far from either (the distance is largest at an end of the range).
+    drifts when it is far from either (the distance is largest at an end of the range).  The counts keep the observation,
+    so the rows to report come from the same state and a table partitioned by the keys is shuffled no further.
     """
     keys = list(keys)
-    counts = apply_deltas(None, value_deltas(clean, [*keys, load, "field_name"], F.col("value")))
-    ranges = counts.groupBy(*keys, load, "field_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    counts = apply_deltas(None, value_deltas(clean, [*keys, load, "stat_table", "stat_id"], F.col("value")))
+    ranges = counts.groupBy(*keys, load).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     order = Window.partitionBy(*keys).orderBy(load)
     before = ranges.withColumn("lo_before", F.lag("lo").over(order)).withColumn("hi_before", F.lag("hi").over(order))
     far = lambda v: _drifts(F.col("field_name"), v, F.col("lo_before"), share, factor) | _drifts(F.col("field_name"), v, F.col("hi_before"), share, factor)
     moved = before.filter(far(F.col("lo")) | far(F.col("hi"))).select(*keys, load, "lo_before", "hi_before")
-    return clean.join(moved, [*keys, load]).filter(far(F.col("value")))
+    return counts.join(moved, [*keys, load]).filter(far(F.col("value")))
 
 
 def quality_findings(cardinality: DataFrame, sparsity: DataFrame, share: float = 0.3, factor: int = 5, heavy_share: float = 0.02) -> DataFrame:
