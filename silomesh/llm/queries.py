@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silomesh.functions.names import name_key
-from silomesh.llm import clusters, components, setjoin
-from silomesh.runtime import read
+from silomesh.llm import clusters, components, forest, mixing, packing, setjoin, tokens
+from silomesh.runtime import Workspace, read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,56 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("rec").alias("db_id"), F.col("rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_similar"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_described, p4_found, p4_links)}
+
+def _near_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return forest.neighbours(read(spark, d, "database_embeddings"), "db_id", "embedding", k=5, least=0.85)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Silo pairs with a cosine of at least 0.85 in which one is among the other's five most similar."""
+    near, members = _near_vectors(spark, d)
+    classes = near.select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).distinct()
+    return setjoin.expand(classes, members.select("rec", "rep")).select(F.col("x").alias("db_id1"), F.col("y").alias("db_id2"))
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar other vectors of every vector whose class id is divisible by 50, at any cosine, as classes."""
+    near, members = forest.neighbours(read(spark, d, "database_embeddings"), "db_id", "embedding", k=5)
+    size = members.filter("rec = rep").select(F.col("rep").alias("s"), F.col("n").alias("n_members"))
+    return near.filter("q % 50 = 0").join(size, "s").select(F.col("q").alias("db_id"), F.col("s").alias("near_class"), "n_members", F.round("cosine", 9).alias("cosine"))
+
+
+def _sized(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Sizes of all documents in tokens, counted once and kept in the shared folder."""
+    return Workspace(spark, "sized").write(tokens.sized(read(spark, d, "documents"), keep=keep))
+
+
+def _capacities(spark: SparkSession, d: str) -> list[int]:
+    return [r[0] for r in read(spark, d, "pack_specs").filter("capacity_tokens > 0").select("capacity_tokens").distinct().collect()]
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of a text above the largest capacity, in a container; all capacities are used jointly."""
+    return packing.pack(_sized(spark, d), "doc_id", "n_tokens", _capacities(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, pieces, tokens and fill by capacity."""
+    return packing.bin_report(p7_packed(spark, d)).withColumn("fill", F.round("fill", 6))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of every mix, one row for each time a document is used."""
+    return mixing.mix(_sized(spark, d, "source"), read(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of all mixes."""
+    sized, targets = _sized(spark, d, "source"), read(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.mix(sized, targets), sized, targets).withColumn("actual_share", F.round("actual_share", 6))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_described, p4_found, p4_links, p6_found, p6_neighbours, p7_packed, p7_fill, p8_mixed, p8_shares)}
 
 _GROUPS = """RECURSIVE e AS (
   SELECT db_id1 AS a, db_id2 AS b FROM pair_metadata WHERE similarity >= 0.94 AND NOT isnan(similarity) AND db_id1 <> db_id2
@@ -88,4 +137,10 @@ SQL = {
     "p1_group_sizes": f"WITH {_GROUPS}, g AS (SELECT min(seen) AS group_id, db_id FROM r GROUP BY db_id) SELECT group_id, count(*) AS n_silos FROM g GROUP BY 1",
     "p3_found": f"WITH {_NEAR} SELECT cluster_id, db_id FROM k",
     "p4_found": f"WITH {_SETS} SELECT x AS db_id1, y AS db_id2 FROM j",
+    "p6_found": """WITH v AS (SELECT DISTINCT db_id, CAST(embedding AS DOUBLE[]) AS e FROM database_embeddings WHERE len(embedding) = 64
+  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+c AS (SELECT a.db_id AS q, b.db_id AS s, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.db_id <> b.db_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC) AS n FROM c),
+f AS (SELECT q, min(c) AS bar FROM r WHERE n <= 5 GROUP BY q)
+SELECT DISTINCT least(c.q, c.s) AS db_id1, greatest(c.q, c.s) AS db_id2 FROM c JOIN f ON f.q = c.q WHERE c.c >= f.bar - 1e-9 AND c.c >= 0.85""",
 }
