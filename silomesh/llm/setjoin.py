@@ -15,15 +15,19 @@ null are left out, repeated tokens count once, a record without tokens has no pa
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silomesh.operators.skew import heavy_hashes, split_heavy
 from silomesh.runtime import Workspace
 
-CHUNK = 4096
-LEVELS = 400
+CHUNK = 1024  # tokens of a set that one row holds
+SLACK = 1.25  # segments, against the least that the budget needs
 
 
 def length_classes(t: float, longest: int) -> list[int]:
@@ -38,55 +42,105 @@ def _units(length: int, t: float) -> int:
     return math.floor(length * (1 - t) / t + 1e-9) + 1
 
 
-def _by_class(l: Column, bounds: list[int], value) -> Column:  # noqa: E741
-    """``value(k)`` for the class k of length ``l``."""
-    out = F.lit(value(0))
-    for k in range(1, len(bounds) - 1):
-        out = F.when(l >= bounds[k], value(k)).otherwise(out)
-    return out
-
-
-def _signature(kind: str, x: Column) -> Column:
-    return F.xxhash64("scheme", "seg", F.lit(kind), x)
-
-
-def _segments(tokens: DataFrame, reps: DataFrame, freq: DataFrame, bounds: list[int], t: float, rare: float) -> DataFrame:
-    """(rec, len, scheme, own, seg, x, hs, level1, level2) of each representative in its own class and, if a smaller
-    partner can be there, in the class below.  x is the exclusive or of the segment's tokens; the levels are four times
-    the binary logarithm of how rare an answer to the first and to the second unit is."""
-    parts = [max(1, math.ceil(_units(b - 1, t) / 2 * 1.25)) for b in bounds[1:]]
-    low = lambda k: bounds[k] - 1
-    k = _by_class(F.col("len"), bounds, lambda i: i)
-    where = reps.withColumn("k", k).withColumn("below", (F.col("k") > 0) & (F.ceil(F.col("len") * t - 1e-9) <= _by_class(F.col("len"), bounds, low)))
-    at = lambda own, shift: F.struct((F.col("k") - shift).alias("scheme"), F.lit(own).alias("own"), _by_class(F.col("len"), bounds, lambda i: parts[max(0, i - shift)]).alias("m"))
-    where = where.withColumn("at", F.when(F.col("below"), F.array(at(True, 0), at(False, 1))).otherwise(F.array(at(True, 0))))
-    held = tokens.join(where.select("rec", "len", "at"), "rec").join(F.broadcast(freq), "h", "left").select("rec", "len", "h", F.coalesce("f", F.lit(rare)).alias("f"), F.inline("at"))
-    held = held.withColumn("seg", F.pmod("h", F.col("m")).cast("int"))
-    blank = where.select("rec", "len", F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("double").alias("f"), F.inline("at")).select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("seg"))
-    segs = held.unionByName(blank).groupBy("rec", "len", "scheme", "own", "seg").agg(
-        F.coalesce(F.bit_xor("h"), F.lit(0)).cast("bigint").alias("x"), F.collect_list("h").alias("hs"), F.coalesce(F.sum(F.log2("f")), F.lit(0.0)).alias("lf"), F.coalesce(F.sum(1 / F.col("f")), F.lit(1.0)).alias("inv")
-    )
-    level = lambda c: F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(-4 * c))).cast("int")
-    return segs.select("rec", "len", "scheme", "own", "seg", "x", "hs", level(F.col("lf")).alias("level1"), level(F.col("lf") + F.log2("inv")).alias("level2"))
-
-
-def _questions(segs: DataFrame, t: float) -> DataFrame:
-    """(sig, rec, len) that the records ask: their rarest units up to the budget, and all units as rare as the last."""
-    own = segs.filter("own")
-    units = own.select("rec", "len", F.explode(F.array("level1", "level2")).alias("level")).groupBy("rec", "len", "level").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("rec").orderBy(F.desc("level"))
-    need = F.floor(F.col("len") * (1 - t) / t + 1e-9) + 1
-    cut = units.withColumn("sum", F.sum("n").over(order)).filter(F.col("sum") >= need).groupBy("rec").agg(F.max("level").alias("cut"))
-    asked = own.join(cut, "rec").filter("level1 >= cut")
-    one = F.array(_signature("F", F.col("x")))
-    two = F.concat(one, F.array(_signature("D", F.col("x"))), F.transform("hs", lambda h: _signature("F", F.col("x").bitwiseXOR(h))))
-    return asked.select(F.explode(F.when(F.col("level2") >= F.col("cut"), two).otherwise(one)).alias("sig"), F.col("rec").alias("r"), F.col("len").alias("lr"))
-
-
-def _answers(segs: DataFrame) -> DataFrame:
-    """(sig, rec, len) that the records answer to: each segment as it is and with any one token left out."""
-    out = F.concat(F.array(_signature("F", F.col("x"))), F.transform("hs", lambda h: _signature("D", F.col("x").bitwiseXOR(h))))
-    return segs.select(F.explode(out).alias("sig"), F.col("rec").alias("s"), F.col("len").alias("ls"))
+@dataclass
+class Schemes:
+    """What fixes the segments of each length class: chunks of a set and segments of a chunk."""
+
+    t: float
+    bounds: list[int]
+    rare: float
+    tokens: np.ndarray  # sorted hashes of the frequent tokens
+    shares: np.ndarray  # and the share of records that hold them
+
+    def __post_init__(self) -> None:
+        last = [b - 1 for b in self.bounds[1:]]
+        self.chunks = np.array([max(1, math.ceil(n / CHUNK)) for n in last])
+        self.segments = np.array([max(1, math.ceil(_units(n, self.t) / 2 * SLACK / c)) for n, c in zip(last, self.chunks)])
+
+    def share(self, tok: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.full(len(tok), self.rare)
+        at = np.minimum(np.searchsorted(self.tokens, tok), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tok, self.shares[at], self.rare)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signature(kind: int, scheme: np.ndarray, seg: np.ndarray, x: np.ndarray) -> np.ndarray:
+    place = (scheme.astype(np.uint64) << np.uint64(48)) ^ (seg.astype(np.uint64) << np.uint64(2)) ^ np.uint64(kind)
+    return _mix(x ^ _mix(place + np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+EQUAL, LESS_ONE = 1, 2
+
+
+def _signatures(b: pd.DataFrame, schemes: Schemes, asking: bool) -> pd.DataFrame:
+    """Questions or answers of some chunks of sets, all of them at once."""
+    bounds = np.array(schemes.bounds)
+    length, of, chunk = (b[c].to_numpy() for c in ("len", "of", "chunk"))
+    k = np.searchsorted(bounds, length, side="right") - 1
+    below = (k > 0) & (np.ceil(length * schemes.t - 1e-9) < bounds[k])
+    sigs, recs, lens = [], [], []
+    for shift in (0,) if asking else (0, 1):
+        scheme = np.maximum(k - shift, 0)
+        use = np.flatnonzero((schemes.chunks[scheme] == of) & (below | (shift == 0)))
+        if not len(use):
+            continue
+        scheme, m = scheme[use], schemes.segments[scheme[use]]
+        sets = [b["hs"].iloc[i] for i in use]
+        row = np.repeat(np.arange(len(use)), [len(s) for s in sets])
+        signed = np.concatenate(sets).astype(np.int64)
+        tok = signed.view(np.uint64)
+        first = np.concatenate([[0], np.cumsum(m)])
+        g = first[row] + (_mix(tok) >> np.uint64(8)).astype(np.int64) % m[row]
+        g_row = np.repeat(np.arange(len(use)), m)
+        g_seg = chunk[use][g_row] * m[g_row] + np.arange(len(g_row)) - first[g_row]
+        x = np.zeros(len(g_row), dtype=np.uint64)
+        np.bitwise_xor.at(x, g, tok)
+        sign = lambda kind, at, value: _signature(kind, scheme[g_row[at]], g_seg[at], value)
+        every = np.arange(len(g_row))
+        if asking:
+            share = schemes.share(signed)
+            lf = np.bincount(g, np.log2(share), len(g_row))
+            inv = np.maximum(np.bincount(g, 1 / share, len(g_row)), 1)
+            level = np.concatenate([lf, np.minimum(0, lf + np.log2(inv))])  # how likely an answer is, for the first and the second unit
+            unit_row = np.concatenate([g_row, g_row])
+            order = np.lexsort((level, unit_row))
+            start = np.searchsorted(unit_row[order], np.arange(len(use)))
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order)) - start[unit_row[order]]
+            need = np.ceil((np.floor(length[use] * (1 - schemes.t) / schemes.t + 1e-9) + 1) / of[use])
+            taken = rank < need[unit_row]
+            one, two = np.flatnonzero(taken[: len(g_row)] | taken[len(g_row) :]), np.flatnonzero(taken[len(g_row) :])
+            less = np.flatnonzero(taken[len(g_row) :][g])
+            parts = [(sign(EQUAL, one, x[one]), g_row[one]), (sign(LESS_ONE, two, x[two]), g_row[two]), (sign(EQUAL, g[less], x[g[less]] ^ tok[less]), row[less])]
+        else:
+            parts = [(sign(EQUAL, every, x), g_row), (sign(LESS_ONE, g, x[g] ^ tok), row)]
+        for s, r in parts:
+            sigs.append(s)
+            recs.append(b["rec"].to_numpy()[use][r])
+            lens.append(length[use][r])
+    if not sigs:
+        return pd.DataFrame({"sig": np.zeros(0, "int64"), "rec": np.zeros(0, "int64"), "len": np.zeros(0, "int64")})
+    return pd.DataFrame({"sig": np.concatenate(sigs), "rec": np.concatenate(recs), "len": np.concatenate(lens)})
+
+
+def _pack(rows: DataFrame, t: float) -> DataFrame:
+    """(rec, len, of, chunk, hs): each set in chunks of about ``CHUNK`` tokens, cut as its classes cut it."""
+    sets = rows.distinct()
+    size = sets.groupBy("rec").agg(F.count("*").alias("len"))
+    of = lambda l: F.ceil(l / CHUNK).cast("int")  # noqa: E731,E741
+    bounds = length_classes(t, 1 << 40)
+    last = lambda k_shift: F.element_at(F.array(*(F.lit(b - 1) for b in bounds)), F.greatest(F.col("k") - k_shift, F.lit(0)) + 2)
+    size = size.withColumn("k", F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("len"))) - 1)
+    size = size.withColumn("ofs", F.array_distinct(F.array(of(last(0)), of(last(1))))).drop("k")
+    cut = sets.join(size, "rec").select("rec", "len", "h", F.explode("ofs").alias("of"))
+    return cut.withColumn("chunk", F.pmod("h", F.col("of")).cast("int")).groupBy("rec", "len", "of", "chunk").agg(F.collect_list("h").alias("hs"))
 
 
 def similar_sets(tokens: DataFrame, t: float = 0.7, rare_share: float = 0.002, heavy_share: float = 0.02) -> tuple[DataFrame, DataFrame]:
@@ -94,38 +148,43 @@ def similar_sets(tokens: DataFrame, t: float = 0.7, rare_share: float = 0.002, h
 
     ``tokens`` has (rec bigint, h bigint).  Frequencies are kept only for tokens in at least ``rare_share`` of the records:
     as all sets together hold N x mean length tokens, these are at most mean length / ``rare_share``, so they can be sent
-    to every task.  Records with more than ``heavy_share`` of all rows take a path with pre-aggregation and joins that
-    adaptive execution can split; all others are partitioned once, by record.
+    to every task.  Records with more than ``heavy_share`` of all rows are put together with pre-aggregation; all others
+    are partitioned once, by record.
     """
-    work = Workspace(tokens.sparkSession, "similar-sets")
+    spark = tokens.sparkSession
+    work = Workspace(spark, "similar-sets")
     raw = work.write(tokens.filter("rec is not null and h is not null").select("rec", "h"))
     light, hot = split_heavy(raw, F.xxhash64("rec"), heavy_hashes(raw, F.xxhash64("rec"), heavy_share))
-    parts = [light.repartition("rec").distinct()] + ([hot.distinct()] if hot is not None else [])
-    prints = [p.groupBy("rec").agg(F.count("*").alias("len"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")) for p in parts]
-    sets = work.write(prints[0] if hot is None else prints[0].unionByName(prints[1]))
+    packed = _pack(light.repartition("rec"), t)
+    packed = work.write(packed if hot is None else packed.unionByName(_pack(hot, t)))
+    work.drop(raw)
+    xor = lambda hs: F.aggregate(hs, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h))
+    prints = packed.groupBy("rec", "len", "of").agg(F.bit_xor(xor(F.col("hs"))).alias("x"), F.bit_xor(xor(F.transform("hs", lambda h: F.xxhash64(h)))).alias("y"))
+    sets = work.write(prints.groupBy("rec", "len").agg(F.first("x").alias("x"), F.first("y").alias("y")))
     n, longest = sets.agg(F.count("*"), F.coalesce(F.max("len"), F.lit(1))).first()
     bounds = length_classes(t, longest)
-    classes = sets.groupBy("len", "x", "y").agg(F.min("rec").alias("rep"))
+    classes = sets.groupBy("len", "x", "y").agg(F.min("rec").alias("rep"), F.count("*").alias("n"))
     members = sets.join(classes, ["len", "x", "y"]).select("rec", "rep")
-    reps = work.write(classes.select(F.col("rep").alias("rec"), "len"))
-    freq = raw.groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= max(2, rare_share * n)).select("h", F.least(F.col("df") / max(n, 1), F.lit(1.0)).alias("f"))
-    freq = work.write(freq)
-    segs = [_segments(p, reps, freq, bounds, t, max(rare_share, 2 / max(n, 1))) for p in parts]
-    both = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(xs[1])
-    asked, answered = both([_questions(s, t) for s in segs]), both([_answers(s) for s in segs])
+    alike = sets.join(classes.filter("n > 1"), ["len", "x", "y"]).filter("rec <> rep").select("rec")
+    reps = packed.join(alike, "rec", "left_anti")
+    often = packed.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= max(2, rare_share * n)).orderBy("h").toPandas()
+    schemes = spark.sparkContext.broadcast(Schemes(t, bounds, max(rare_share, 2 / max(n, 1)), often["h"].to_numpy("int64"), np.minimum(often["df"].to_numpy("float64") / max(n, 1), 1.0)))
+
+    def signatures(asking: bool, rec: str, length: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), 2048):
+                    yield _signatures(b.iloc[at : at + 2048], schemes.value, asking).rename(columns={"rec": rec, "len": length})
+
+        return reps.mapInPandas(run, f"sig long, {rec} long, {length} long")
+
     fits = (F.col("ls") >= F.col("lr")) & (F.col("lr") >= F.col("ls") * t - 1e-9) & ((F.col("ls") > F.col("lr")) | (F.col("s") > F.col("r")))
-    found = asked.join(answered, "sig").filter(fits).select("r", "s", "lr", "ls").distinct()
-    chunks = lambda l: _by_class(l, bounds, lambda i: max(1, math.ceil(bounds[i + 1] / CHUNK)))  # noqa: E731,E741
-    found = work.write(found.withColumn("of", chunks(F.col("lr"))))
-    below = lambda l: _by_class(l, bounds, lambda i: max(1, math.ceil(bounds[max(1, i)] / CHUNK)))  # noqa: E731,E741
-    used = found.select(F.col("r").alias("rec")).unionByName(found.select(F.col("s").alias("rec"))).distinct()
-    packed = []
-    for p in parts:
-        split = p.join(used, "rec", "left_semi").join(reps, "rec").select("rec", "h", F.explode(F.array_distinct(F.array(chunks(F.col("len")), below(F.col("len"))))).alias("of"))
-        packed.append(split.withColumn("chunk", F.pmod("h", F.col("of"))).groupBy("rec", "of", "chunk").agg(F.collect_list("h").alias("hs")))
-    packed = both(packed)
+    found = signatures(True, "r", "lr").join(signatures(False, "s", "ls"), "sig").filter(fits).select("r", "s", "lr", "ls").distinct()
+    found = work.write(found)
     side = lambda c, name: packed.select(F.col("rec").alias(c), "of", "chunk", F.col("hs").alias(name))
-    met = found.join(side("r", "hr"), ["r", "of"]).join(side("s", "hs"), ["s", "of", "chunk"])
+    k_of = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("lr")))
+    cut = found.withColumn("of", F.ceil((F.element_at(F.array(*(F.lit(b) for b in bounds)), k_of + 1) - 1) / CHUNK).cast("int"))
+    met = cut.join(side("r", "hr"), ["r", "of"]).join(side("s", "hs"), ["s", "of", "chunk"])
     same = met.select("r", "s", "lr", "ls", F.size(F.array_intersect("hr", "hs")).alias("n")).groupBy("r", "s", "lr", "ls").agg(F.sum("n").alias("n"))
     pairs = same.filter(F.col("n") / (F.col("lr") + F.col("ls") - F.col("n")) >= t)
     return pairs.select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")), members
