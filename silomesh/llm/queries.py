@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silomesh.functions.names import name_key
-from silomesh.llm import clusters, components, forest, mixing, packing, setjoin, tokens
+from silomesh.llm import clusters, components, forest, mixing, packing, residue, setjoin, tokens
 from silomesh.runtime import Workspace, read
 
 
@@ -112,7 +112,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(mixing.mix(sized, targets), sized, targets).withColumn("actual_share", F.round("actual_share", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_described, p4_found, p4_links, p6_found, p6_neighbours, p7_packed, p7_fill, p8_mixed, p8_shares)}
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are template residue, filler, an error page or a script notice."""
+    return residue.find_residue(read(spark, d, "documents")).select("doc_id")
+
+
+def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Number of such texts by source and reason."""
+    found = residue.find_residue(read(spark, d, "documents"))
+    docs = read(spark, d, "documents").select("doc_id", "source")
+    return found.join(docs, "doc_id").groupBy("source", "reason").agg(F.count("*").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_described, p4_found, p4_links, p6_found, p6_neighbours, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_reasons)}
 
 _GROUPS = """RECURSIVE e AS (
   SELECT db_id1 AS a, db_id2 AS b FROM pair_metadata WHERE similarity >= 0.94 AND NOT isnan(similarity) AND db_id1 <> db_id2
