@@ -90,8 +90,8 @@ def subgraph(edges: DataFrame, nodes: DataFrame, similarity: float = 1.0) -> Dat
     """
     inner = mirrored(induced(edges, nodes).select("src", "tgt", "similarity"))
     some = inner.limit(1).select(F.lit(1).alias("some"))
-    ids = nodes.select("id").distinct()
-    full = ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("tgt")), F.col("src") != F.col("tgt")).select("src", "tgt", F.lit(similarity).alias("similarity"))
+    listed = nodes.agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    full = listed.select("ids", F.explode("ids").alias("src")).select("src", F.explode("ids").alias("tgt")).filter("src <> tgt").select("src", "tgt", F.lit(similarity).alias("similarity"))
     return inner.unionByName(full.join(some, F.lit(True), "left_anti"))
 
 

@@ -1,8 +1,7 @@
 """Vector and similarity operators.
 
-Vectors are arrays of doubles.  ``similarity_join`` has two strategies: expressions, in which every pair is one row of a
-join that Catalyst plans, and blocks, in which vectors are cut into numbered blocks and each unordered pair of blocks is one
-matrix product.  Both give the same pairs.
+Vectors are arrays of doubles.  All-pairs operators state their query set, all vectors, and work on it in blocks; searches at
+scale are the business of an index.
 """
 
 from __future__ import annotations
@@ -34,13 +33,12 @@ def unit(v: Column) -> Column:
     return bound(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
 
 
-def similarity_join(vectors: DataFrame, t: float, inclusive: bool = False, strategy: str = "blocks", block: int = 1024) -> DataFrame:
-    """(src, tgt, similarity) of all pairs src < tgt of (id, v) with a cosine above ``t``."""
+def similarity_join(vectors: DataFrame, t: float, inclusive: bool = False, block: int = 1024) -> DataFrame:
+    """(src, tgt, similarity) of all pairs src < tgt of (id, v) with a cosine above ``t``.
+
+    Vectors are cut into numbered blocks and each unordered pair of blocks is one matrix product in one task.
+    """
     usable = vectors.select("id", unit(F.col("v")).alias("u")).filter("u is not null")
-    if strategy == "expressions":
-        a, b = usable.select(F.col("id").alias("src"), F.col("u").alias("x")), usable.select(F.col("id").alias("tgt"), F.col("u").alias("y"))
-        s = a.join(b, F.col("src") < F.col("tgt")).select("src", "tgt", dot(F.col("x"), F.col("y")).alias("similarity"))
-        return s.filter(F.col("similarity") >= t if inclusive else F.col("similarity") > t)
     n_blocks = max(1, math.ceil(usable.count() / block))
     mine = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("o")
@@ -88,16 +86,25 @@ def pair_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return met.withColumn("similarity", dot(F.col("x"), F.col("y"))).drop("x", "y")
 
 
-def best_weighted_match(left: DataFrame, right: DataFrame, idf: DataFrame) -> DataFrame:
-    """The column pair with the largest min(idf) x cosine for each table pair (V7).
+def column_scores(columns: DataFrame, idf: DataFrame | None = None) -> DataFrame:
+    """(t1, c1, t2, c2, similarity, score) of all column pairs of different tables, t1 < t2 (V7, V8, P5).
 
-    Inputs are (tab, col, v); ``idf`` is (col, idf) and 1 where it has no row.
+    ``columns`` is (tab, col, v); the score is min(idf) x cosine with 1 for a column without an idf.
     """
-    w = lambda df, t, c, i, x: df.join(idf, "col", "left").select(F.col("tab").alias(t), F.col("col").alias(c), F.coalesce("idf", F.lit(1.0)).alias(i), unit(F.col("v")).alias(x))
-    a, b = w(left, "t1", "c1", "i1", "x"), w(right, "t2", "c2", "i2", "y")
-    s = a.join(b, F.col("t1") < F.col("t2")).select("t1", "t2", "c1", "c2", (F.least("i1", "i2") * dot(F.col("x"), F.col("y"))).alias("score"))
+    named = columns.withColumn("id", F.xxhash64("tab", "col"))
+    w = named.select("id", "tab", "col").join(idf, "col", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0))) if idf is not None else named.select("id", "tab", "col", F.lit(1.0).alias("idf"))
+    s = similarity_join(named.select("id", "v"), -2.0)
+    end = lambda c, n: w.select(F.col("id").alias(c), F.col("tab").alias(f"t{n}"), F.col("col").alias(f"c{n}"), F.col("idf").alias(f"i{n}"))
+    met = s.join(end("src", "a"), "src").join(end("tgt", "b"), "tgt").filter("ta <> tb")
+    first = F.col("ta") < F.col("tb")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return met.select(pick("ta", "tb").alias("t1"), pick("ca", "cb").alias("c1"), pick("tb", "ta").alias("t2"), pick("cb", "ca").alias("c2"), "similarity", (F.least("ia", "ib") * F.col("similarity")).alias("score"))
+
+
+def best_weighted_match(columns: DataFrame, idf: DataFrame) -> DataFrame:
+    """The column pair with the largest min(idf) x cosine for each table pair (V7)."""
     best = F.max_by(F.struct("c1", "c2", "score"), F.struct("score", "c1", "c2"))
-    return s.groupBy("t1", "t2").agg(best.alias("m")).select("t1", "t2", "m.*")
+    return column_scores(columns, idf).groupBy("t1", "t2").agg(best.alias("m")).select("t1", "t2", "m.*")
 
 
 def greedy_match(scores: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -170,10 +177,14 @@ def edit_distance(edges: DataFrame, largest: int = 5) -> DataFrame:
     return edges.groupBy("pair").applyInPandas(distance, f"pair {dict(edges.dtypes)['pair']}, distance double")
 
 
-def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row of precision, recall and F1 of predicted against true unordered pairs (a, b)."""
-    norm = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    p, t = norm(predicted).withColumn("p", F.lit(1)), norm(truth).withColumn("t", F.lit(1))
-    c = p.join(t, ["a", "b"], "full").agg(F.count("p").alias("n_predicted"), F.count("t").alias("n_true"), F.count(F.col("p") * F.col("t")).alias("n_hit"))
+def pair_scores(predicted: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of precision, recall and F1 of predicted pairs (a, b) against all pairs of one group (id, grp).
+
+    The true pairs are counted from the group sizes, not listed.
+    """
+    pairs = predicted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    end = lambda c: groups.select(F.col("id").alias(c), F.col("grp").alias(f"g{c}"))
+    hit = pairs.join(end("a"), "a").join(end("b"), "b").agg(F.count("*").alias("n_predicted"), F.count_if(F.col("ga") == F.col("gb")).alias("n_hit"))
+    true = groups.groupBy("grp").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("bigint").alias("n_true"))
     ratio = lambda x, y: F.coalesce(F.col(x) / F.nullif(y, F.lit(0)), F.lit(0.0))
-    return c.withColumns({"precision": ratio("n_hit", F.col("n_predicted")), "recall": ratio("n_hit", F.col("n_true")), "f1": ratio("n_hit", (F.col("n_predicted") + F.col("n_true")) / 2)})
+    return hit.join(F.broadcast(true)).withColumns({"precision": ratio("n_hit", F.col("n_predicted")), "recall": ratio("n_hit", F.col("n_true")), "f1": ratio("n_hit", (F.col("n_predicted") + F.col("n_true")) / 2)})

@@ -68,7 +68,7 @@ def q9_dirichlet_alpha(spark, d):
 
 def q11_info_nce(spark, d):
     """Q11: contrastive loss of each order with its first line as the positive."""
-    rows = read(spark, d, "lineitem").filter("l_orderkey <= 500").groupBy(F.col("l_orderkey").alias("anchor"), F.col("l_linenumber").alias("k")).agg((F.max("l_discount") * 5).alias("s"))
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("anchor"), F.col("l_linenumber").alias("k")).agg((F.max("l_discount") * 5).alias("s"))
     first = rows.groupBy("anchor").agg(F.min("k").alias("k1"))
     return metrics.info_nce(rows.join(first, "anchor").withColumn("is_positive", F.col("k") == F.col("k1"))).select("anchor", R6("loss"))
 
@@ -80,9 +80,9 @@ def q12_client_accuracy(spark, d):
 
 
 def q13_unseen_classes(spark, d):
-    """Part types coded by what the first fifty parts have; unseen ones get the fallback."""
+    """Part types coded by what the cheapest parts have; unseen ones get the fallback."""
     part = read(spark, d, "part")
-    seen = part.filter("p_partkey <= 50")
+    seen = part.filter("p_retailprice < 902")
     return encode.encode(part.select("p_type"), "p_type", encode.dictionary(seen, "p_type"), 0).groupBy("p_type_code").agg(F.count("*").alias("n"))
 
 
@@ -199,7 +199,7 @@ def l3_scaffold(spark, d):
 
 def l4_vote(spark, d):
     """L4: one-shot votes of the two least outlying clients."""
-    w = read(spark, d, "lineitem").filter("l_orderkey <= 2000").groupBy(F.col("l_orderkey").alias("sample"), (F.col("l_suppkey") % 3).cast("int").alias("client"))
+    w = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), (F.col("l_suppkey") % 3).cast("int").alias("client"))
     p = w.agg(F.round(F.max("l_tax"), 4).alias("outlier"), F.round(F.avg("l_discount"), 4).alias("p")).select("sample", "client", "outlier", F.inline(F.array(F.struct(F.lit(0).alias("class"), F.col("p").alias("prob")), F.struct(F.lit(1).alias("class"), (0.1 - F.col("p")).alias("prob")))))
     return federated.vote(p, 2)
 
@@ -262,10 +262,10 @@ SQL = {
     "q9_dirichlet_alpha": """WITH s AS (SELECT l_suppkey % 7 AS pair, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS side, l_returnflag AS class FROM lineitem), n AS (SELECT pair, side, class, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT pair, side, count(*) AS t FROM s GROUP BY ALL), k AS (SELECT DISTINCT pair, class FROM s),
 p AS (SELECT t.pair, k.class, avg(coalesce(n.n, 0) / t.t) AS q, var_samp(coalesce(n.n, 0) / t.t) AS v FROM t JOIN k ON k.pair = t.pair LEFT JOIN n ON n.pair = t.pair AND n.side = t.side AND n.class = k.class GROUP BY 1, 2)
 SELECT pair, round(CASE WHEN count(*) <= 1 THEN 100 WHEN sum(v) <= 1e-15 THEN CAST('inf' AS DOUBLE) ELSE greatest(0, sum(q * (1 - q)) / sum(v) - 1) END, 3) AS alpha FROM p GROUP BY 1""",
-    "q11_info_nce": """WITH r AS (SELECT l_orderkey AS anchor, l_linenumber AS k, max(l_discount) * 5 AS s FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1, 2), f AS (SELECT anchor, min(k) AS k1 FROM r GROUP BY 1)
+    "q11_info_nce": """WITH r AS (SELECT l_orderkey AS anchor, l_linenumber AS k, max(l_discount) * 5 AS s FROM lineitem GROUP BY 1, 2), f AS (SELECT anchor, min(k) AS k1 FROM r GROUP BY 1)
 SELECT r.anchor, round(ln(sum(exp(s / 0.5))) - max(CASE WHEN k = k1 THEN s / 0.5 END), 6) AS loss FROM r JOIN f ON f.anchor = r.anchor GROUP BY 1""",
     "q12_client_accuracy": f"WITH {_CL}, c AS (SELECT l_suppkey % 10 AS client, avg(CAST(y = pred AS INT)) AS acc, count(*) AS n FROM s GROUP BY 1) SELECT round(sum(acc * n) / sum(n), 6) AS weighted, round(avg(acc), 6) AS macro FROM c",
-    "q13_unseen_classes": "WITH k AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part WHERE p_partkey <= 50)) SELECT CAST(coalesce(code, 0) AS INT) AS p_type_code, count(*) AS n FROM part LEFT JOIN k USING (p_type) GROUP BY 1",
+    "q13_unseen_classes": "WITH k AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part WHERE p_retailprice < 902)) SELECT CAST(coalesce(code, 0) AS INT) AS p_type_code, count(*) AS n FROM part LEFT JOIN k USING (p_type) GROUP BY 1",
     "e1_split_counts": "WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT o_orderstatus, n, CAST(CASE WHEN n > 1 THEN ceil(n * 0.2) ELSE 0 END AS BIGINT) AS t FROM n) SELECT o_orderstatus, 'test' AS part, t AS n FROM s WHERE t > 0 UNION ALL SELECT o_orderstatus, 'train', n - t FROM s WHERE n > t",
     "e13_label_codes": "SELECT c_mktsegment AS value, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)",
     "e15_local_codes": "SELECT DISTINCT c_nationkey, c_mktsegment, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS INT) AS code FROM customer",
@@ -281,7 +281,7 @@ SELECT r.anchor, round(ln(sum(exp(s / 0.5))) - max(CASE WHEN k = k1 THEN s / 0.5
     "o6_top_classes": "WITH n AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) AS k FROM part GROUP BY 1) SELECT CAST(CASE WHEN k < 4 THEN k ELSE 0 END AS INT) AS p_type_code, count(*) AS n FROM part JOIN n USING (p_type) GROUP BY 1",
     "l1_fedavg": f"WITH {_W} SELECT layer, idx, round(sum(n * value) / sum(n), 8) AS value FROM w JOIN n USING (client) GROUP BY 1, 2",
     "l3_scaffold": f"WITH {_W} SELECT layer, idx, round(0.5 + sum(n * value) / sum(n), 8) AS value FROM w JOIN n USING (client) GROUP BY 1, 2",
-    "l4_vote": """WITH p AS (SELECT l_orderkey AS sample, l_suppkey % 3 AS client, round(max(l_tax), 4) AS outlier, round(avg(l_discount), 4) AS p FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY outlier, client) AS k FROM p)
+    "l4_vote": """WITH p AS (SELECT l_orderkey AS sample, l_suppkey % 3 AS client, round(max(l_tax), 4) AS outlier, round(avg(l_discount), 4) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY outlier, client) AS k FROM p)
 SELECT sample, CAST(CASE WHEN round(sum(p), 9) >= round(sum(0.1 - p), 9) THEN 0 ELSE 1 END AS INT) AS class FROM r WHERE k <= 2 GROUP BY 1""",
     "l7_masked_mean": f"WITH {_W} SELECT layer, idx, round(CASE WHEN layer = 'input' THEN sum(value * CASE WHEN (client + idx) % 2 = 0 THEN 1 ELSE 0 END) / (sum(CASE WHEN (client + idx) % 2 = 0 THEN 1 ELSE 0 END) + 1e-8) ELSE avg(value) END, 7) AS value FROM w GROUP BY 1, 2",
     "l8_attention": f"""WITH {_W}, c AS (SELECT DISTINCT client FROM w), e AS (SELECT a.client, b.client AS other, exp(a.client * b.client / 10) AS x FROM c a JOIN c b ON a.client <> b.client), a AS (SELECT client, other, x / sum(x) OVER (PARTITION BY client) AS a FROM e),

@@ -23,12 +23,11 @@ def v2_all_pairs(spark, d):
     return vector.similarity_join(cat.vectors(spark, d), 0.35).select("src", "tgt", R6("similarity"))
 
 
-def v3_all_pairs_expressions(spark, d):
-    """V3: the same pairs by expressions, with the label flag, over the vectors of two labels."""
-    v = cat.vectors(spark, d).filter("label in (1, 2)")
-    s = vector.similarity_join(v, 0.25, strategy="expressions")
+def v3_labelled_pairs(spark, d):
+    """V3: all pairs above 0.3 with the flag of equal labels."""
+    v = cat.vectors(spark, d)
     lab = v.select("id", "label")
-    out = s.join(lab.select(F.col("id").alias("src"), F.col("label").alias("l1")), "src").join(lab.select(F.col("id").alias("tgt"), F.col("label").alias("l2")), "tgt")
+    out = vector.similarity_join(v, 0.3).join(lab.select(F.col("id").alias("src"), F.col("label").alias("l1")), "src").join(lab.select(F.col("id").alias("tgt"), F.col("label").alias("l2")), "tgt")
     return out.select("src", "tgt", R6("similarity"), (F.col("l1") == F.col("l2")).cast("int").alias("same_label"))
 
 
@@ -57,43 +56,40 @@ def v6_pair_cosine(spark, d):
 
 def _column_vectors(spark, d):
     v = cat.vectors(spark, d)
-    return v.filter("id % 12 = 0").select(F.concat(F.lit("t"), F.col("label").cast("string")).alias("tab"), F.concat(F.lit("c"), F.lpad((F.col("id") % 37).cast("string"), 2, "0"), F.lit("_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("col"), "v")
+    return v.select(F.concat(F.lit("t"), F.col("label").cast("string")).alias("tab"), F.concat(F.lit("c"), F.lpad((F.col("id") % 37).cast("string"), 2, "0"), F.lit("_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("col"), "v")
 
 
 def v7_weighted_column_match(spark, d):
     """V7: best column pair of each table pair by least idf times cosine."""
     cols = _column_vectors(spark, d)
     idf = cols.filter("substring(col, 2, 1) = '0'").select("col", F.lit(0.5).alias("idf")).distinct()
-    return vector.best_weighted_match(cols, cols, idf).select("t1", "t2", "c1", "c2", R6("score"))
+    return vector.best_weighted_match(cols, idf).select("t1", "t2", "c1", "c2", R6("score"))
 
 
 def v8_top_matrix(spark, d):
     """V8: the two most similar columns of another table for every column."""
-    c = _column_vectors(spark, d).select("tab", "col", vector.unit(F.col("v")).alias("u"))
-    s = c.select(F.col("tab").alias("t1"), F.col("col").alias("c1"), F.col("u").alias("x")).join(c.select(F.col("tab").alias("t2"), F.col("col").alias("c2"), F.col("u").alias("y")), F.col("t1") != F.col("t2"))
-    return graph.top_per_group(s.select("c1", "c2", vector.dot(F.col("x"), F.col("y")).alias("similarity")), ["c1"], [F.desc("similarity"), "c2"], 2).select("c1", "c2", "rank", R6("similarity"))
+    s = vector.column_scores(_column_vectors(spark, d)).select("c1", "c2", "similarity")
+    both = s.unionByName(s.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "similarity"))
+    return graph.top_per_group(both, ["c1"], [F.desc("similarity"), "c2"], 2).select("c1", "c2", "rank", R6("similarity"))
 
 
 def w3_greedy_column_match(spark, d):
-    """One-to-one column matches of two tables in falling cosine."""
-    c = _column_vectors(spark, d).select("tab", "col", vector.unit(F.col("v")).alias("u"))
-    s = c.filter("tab = 't1'").select(F.col("col").alias("a"), F.col("u").alias("x")).join(c.filter("tab = 't2'").select(F.col("col").alias("b"), F.col("u").alias("y")))
-    return vector.greedy_match(s.select("a", "b", F.round(vector.dot(F.col("x"), F.col("y")), 9).alias("score"))).filter("score > 0").select("a", "b", R6("score"))
+    """One-to-one column matches of each table pair in falling cosine."""
+    s = vector.column_scores(_column_vectors(spark, d)).filter("similarity > 0.2")
+    return vector.greedy_match(s.select("t1", "t2", F.col("c1").alias("a"), F.col("c2").alias("b"), F.round("similarity", 9).alias("score")), ["t1", "t2"]).select("t1", "t2", "a", "b", R6("score"))
 
 
 def v10_text_vectors(spark, d):
     """Hashed n-gram vectors of table names, as their most similar pairs."""
-    t = cat.tables(spark, d).filter("db <= 40").select(name_key("table_name").alias("name")).dropna().distinct().withColumn("id", F.xxhash64("name"))
-    return vector.similarity_join(t.select("id", vector.hashed_ngrams(F.col("name")).alias("v")), 0.6)
+    t = cat.tables(spark, d).select(name_key("table_name").alias("name")).dropna().distinct().withColumn("id", F.xxhash64("name"))
+    return vector.similarity_join(t.select("id", vector.hashed_ngrams(F.col("name")).alias("v")), 0.9)
 
 
 def j25_pair_scores(spark, d):
     """Predicted pairs against pairs with the same label."""
     v = cat.vectors(spark, d)
-    lab = v.select("id", "label")
-    truth = lab.alias("x").join(lab.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     got = vector.similarity_join(v, 0.3).select(F.col("src").alias("a"), F.col("tgt").alias("b"))
-    return vector.pair_scores(got, truth).select("n_predicted", "n_true", "n_hit", R6("precision"), R6("recall"), R6("f1"))
+    return vector.pair_scores(got, v.select("id", F.col("label").alias("grp"))).select("n_predicted", "n_true", "n_hit", R6("precision"), R6("recall"), R6("f1"))
 
 
 def _name_sets(spark, d):
@@ -175,14 +171,14 @@ def j26_relation_lookup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    v1_unit_vectors, v2_all_pairs, v3_all_pairs_expressions, v4_nearest_neighbours, v4_nearest_one_sided, v5_closest_to_query, v6_pair_cosine, v7_weighted_column_match, v8_top_matrix, w3_greedy_column_match, v10_text_vectors,
+    v1_unit_vectors, v2_all_pairs, v3_labelled_pairs, v4_nearest_neighbours, v4_nearest_one_sided, v5_closest_to_query, v6_pair_cosine, v7_weighted_column_match, v8_top_matrix, w3_greedy_column_match, v10_text_vectors,
     j25_pair_scores, v12_link_jaccard, j31_shared_columns, v14_type_hellinger, v15_edit_distance, v16_moment_cosine, x9_text_columns, v18_column_semantics, v17_union_scores, j26_relation_lookup,
 )}
 
 _V = cat.SQL_VECTORS
 _PAIRS = f"{_V}, s AS (SELECT a.id AS src, b.id AS tgt, list_cosine_similarity(a.v, b.v) AS similarity FROM v a JOIN v b ON a.id < b.id)"
 _KNN = f"{_V}, s AS (SELECT a.id AS src, b.id AS tgt, list_cosine_similarity(a.v, b.v) AS similarity FROM v a JOIN v b ON a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, tgt) AS k FROM s)"
-_CV = f"{_V}, c AS (SELECT 't' || label AS tab, 'c' || lpad(CAST(id % 37 AS VARCHAR), 2, '0') || '_' || lpad(CAST(id AS VARCHAR), 6, '0') AS col, v FROM v WHERE id % 12 = 0)"
+_CV = f"{_V}, c AS (SELECT 't' || label AS tab, 'c' || lpad(CAST(id % 37 AS VARCHAR), 2, '0') || '_' || lpad(CAST(id AS VARCHAR), 6, '0') AS col, v FROM v)"
 _K = "nullif(regexp_replace(lower({}), '[^a-z0-9]', '', 'g'), '')"
 _S = f"{cat.SQL_COLUMNS}, s AS (SELECT db, list_sort(list(DISTINCT {_K.format('column_name')}) FILTER ({_K.format('column_name')} IS NOT NULL)) AS cols, list(DISTINCT {_K.format('table_name')}) FILTER ({_K.format('table_name')} IS NOT NULL) AS tabs, list(DISTINCT dtype) FILTER (dtype IS NOT NULL) AS types FROM c GROUP BY db)"
 _CLEAN = "trim(regexp_replace(replace(regexp_replace(lower(value), '[^a-z0-9_\\s]', ' ', 'g'), 'nbsp', ''), '\\s+', ' ', 'g'))"
@@ -195,7 +191,7 @@ z AS (SELECT tab, col, count(*) AS n FROM i GROUP BY 1, 2), m AS (SELECT a.tab,
 SQL = {
     "v1_unit_vectors": "SELECT DISTINCT db_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 4) AS length, CASE WHEN list_sum(list_transform(e, lambda x: x * x)) > 0 THEN CAST(1 AS DOUBLE) END AS unit_length FROM (SELECT db_id, CAST(embedding AS DOUBLE[]) AS e FROM database_embeddings WHERE len(embedding) = 64) WHERE NOT list_bool_or(list_transform(e, lambda x: isnan(x)))",
     "v2_all_pairs": f"WITH {_PAIRS} SELECT src, tgt, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.35",
-    "v3_all_pairs_expressions": f"WITH {_V}, s AS (SELECT a.id AS src, b.id AS tgt, list_cosine_similarity(a.v, b.v) AS similarity, a.label = b.label AS same FROM v a JOIN v b ON a.id < b.id WHERE a.label IN (1, 2) AND b.label IN (1, 2)) SELECT src, tgt, round(similarity, 6) AS similarity, CAST(same AS INT) AS same_label FROM s WHERE similarity > 0.25",
+    "v3_labelled_pairs": f"WITH {_V}, s AS (SELECT a.id AS src, b.id AS tgt, list_cosine_similarity(a.v, b.v) AS similarity, a.label = b.label AS same FROM v a JOIN v b ON a.id < b.id) SELECT src, tgt, round(similarity, 6) AS similarity, CAST(same AS INT) AS same_label FROM s WHERE similarity > 0.3",
     "v4_nearest_neighbours": f"WITH {_KNN} SELECT DISTINCT least(src, tgt) AS src, greatest(src, tgt) AS tgt, round(similarity, 6) AS similarity FROM r WHERE k <= 3",
     "v4_nearest_one_sided": f"WITH {_KNN} SELECT src, tgt, round(similarity, 6) AS similarity FROM r WHERE k <= 3 AND src < tgt",
     "v5_closest_to_query": f"WITH {_V}, s AS (SELECT id, list_cosine_similarity(v, list_transform(range(64), lambda i: CAST(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END AS DOUBLE))) AS s FROM v) SELECT id, round(s, 6) AS similarity FROM s ORDER BY s DESC, id LIMIT 10",
