@@ -63,6 +63,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     work = Workspace(edges.sparkSession, "components")
     links = work.write(mirrored(edges.select("src", "tgt").filter("src <> tgt")).distinct())
+    if links.isEmpty():
+        return links.select(F.col("src").alias("id"), F.col("tgt").alias("component"))
     labels = work.write(links.groupBy("src").agg(F.least(F.col("src"), F.min("tgt")).alias("label")).withColumnRenamed("src", "id"))
     for _ in range(max_rounds):
         seen = Observation()
@@ -139,6 +141,8 @@ def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """
     work = Workspace(edges.sparkSession, "louvain")
     links = work.write(mirrored(edges.select("src", "tgt")))
+    if links.isEmpty():
+        return links.select(F.col("src").alias("id"), F.col("tgt").alias("community"))
     deg = work.write(links.groupBy("src").agg(F.count("*").alias("deg")).withColumnRenamed("src", "id"))
     two_m = float(links.count() or 1)
     labels, still = work.write(deg.select("id", F.col("id").alias("community"))), 0
