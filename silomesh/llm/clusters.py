@@ -30,6 +30,17 @@ def _slot(name: str, dims: int, seed: int) -> tuple[int, int]:
     return h % dims, 1 if (h >> 16) & 1 else -1
 
 
+def _token_slots(name: str, weight: float, dims: int) -> Column:
+    """The slots of one token field: +weight or -weight for each of its elements."""
+    held = F.coalesce(F.filter(F.col(name), lambda t: t.isNotNull()), F.array().cast("array<string>"))
+
+    def share(i: Column, t: Column) -> Column:
+        h = F.xxhash64(F.lit(name), t)
+        return F.when(F.pmod(h, F.lit(dims)) != i, 0.0).when(F.pmod(F.shiftright(h, 40), F.lit(2)) == 0, weight).otherwise(-weight)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(held, F.lit(0.0), lambda acc, t: acc + share(i, t)))
+
+
 def hashed_features(numeric: Mapping[str, float], tokens: Mapping[str, float] | None = None, dims: int = 16) -> Column:
     """A dense feature vector of ``dims`` slots.
 
@@ -45,10 +56,7 @@ def hashed_features(numeric: Mapping[str, float], tokens: Mapping[str, float] |
         parts.setdefault(slot, []).append(F.coalesce(F.col(name).cast("double"), F.lit(0.0)) * float(sign * weight))
     dense = F.array(*(sum(parts[i][1:], parts[i][0]) if i in parts else F.lit(0.0) for i in range(dims)))
     for name, weight in tokens.items():
-        h = lambda t, n=name: F.xxhash64(F.lit(n), t)
-        held = F.coalesce(F.col(name), F.array().cast("array<string>"))
-        for_slot = lambda i, n=name, w=weight, held=held, h=h: F.aggregate(held, F.lit(0.0), lambda acc, t: acc + F.when(F.pmod(h(t), F.lit(dims)) == i, F.when(F.shiftright(h(t), 40) % 2 == 0, w).otherwise(-w)).otherwise(0.0))
-        dense = F.zip_with(dense, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), for_slot), lambda x, y: x + y)
+        dense = F.zip_with(dense, _token_slots(name, float(weight), dims), lambda x, y: x + y)
     return dense
 
 

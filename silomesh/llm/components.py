@@ -36,6 +36,8 @@ def hash_to_min(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
     """
     work = Workspace(pairs.sparkSession, "hash-to-min")
     sets = work.write(links(pairs, a, b))
+    if sets.isEmpty():
+        return sets.select(F.col("v").alias("node"), F.col("u").alias("root"))
     for _ in range(max_rounds):
         seen = Observation()
         met = sets.join(_least(sets), "v").observe(seen, F.count_if((F.col("u") != F.col("m")) & (F.col("v") != F.col("m"))).alias("open"))
