@@ -123,7 +123,8 @@ def poisson_bootstrap(df: DataFrame, value: str, key: str, draws: int = 20, seed
 
 
 def sample_values(counts: DataFrame, keys: Sequence[str], n: int, mode: str, seed: int = 0) -> DataFrame:
-    """Up to ``n`` values of each column from (keys..., value, n) (E10): frequent, random, weighted or priority."""
+    """Up to ``n`` values of each column from (keys..., value, n) (E10): frequent, random, weighted, or priority,
+    which divides the frequency by a hash in place of a Fibonacci hash (M6)."""
     h = draw(F.col("value"), seed)
     order = {"frequent": F.desc("n"), "random": h, "weighted": F.desc(F.log(1 - h) / F.col("n")), "priority": F.desc(F.col("n") / (h + 1e-9))}[mode]
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "value"))).filter(F.col("rank") <= n)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silomesh.operators import report
+from silomesh.operators import encode, report
 from silomesh.runtime import read
 from silomesh.sources import catalog as cat
 
@@ -109,10 +109,54 @@ def p17_labelled_sources(spark, d):
     return read(spark, d, "documents").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
+def p15_feature_matrix(spark, d):
+    """Node properties as one vector in the order of their names, absent ones as 0."""
+    c = cat.columns(spark, d).groupBy("db").agg(F.count("*").alias("n_columns"), F.count_distinct("table_name").alias("n_tables"), F.count("prop").alias("n_props"))
+    k = cat.foreign_keys(spark, d).groupBy("db").agg(F.count("*").alias("n_fks"))
+    names = sorted(["n_columns", "n_tables", "n_props", "n_fks"])
+    return c.join(k, "db", "left").select("db", F.array_join(F.array(*(F.coalesce(n, F.lit(0)).cast("string") for n in names)), ",").alias("features"))
+
+
+def f10_dynamic_labels(spark, d):
+    """one-against-rest labels whose positive share is in range and that a feature tells something about."""
+    o = read(spark, d, "lineitem")
+    parts = None
+    for flag in METHODS:
+        y = o.withColumn("y", (F.col("l_returnflag") == flag).cast("int"))
+        row = encode.mutual_information(y, "l_linestatus", "y").join(F.broadcast(y.agg(F.avg("y").alias("share"), F.count("*").alias("n")))).select(F.lit(flag).alias("positive"), "n", R6("share"), R6("mi"))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts.filter("n >= 200 and share between 0.2 and 0.8 and mi >= 0")
+
+
+def x19_path_ids(spark, d):
+    """Silo id and table key taken from paths."""
+    p = read(spark, d, "pair_metadata").select(F.concat(F.lit("/data/"), F.col("folder1"), F.lit("/tables/t.csv")).alias("path")).dropna().distinct()
+    return p.select(F.regexp_extract("path", r"/(\d+) [^/]*/", 1).alias("db"), F.concat_ws("/", F.regexp_extract("path", r"/(\d+) [^/]*/", 1), F.regexp_extract("path", r"/([^/]+\.csv)$", 1)).alias("key"))
+
+
+def m3_math(spark, d):
+    """M3, M7: logarithm, root, exponential, power and sigmoid of prices and balances."""
+    p = read(spark, d, "part")
+    x = F.col("p_retailprice") / 1000
+    return p.select("p_partkey", F.round(F.log2(x), 6).alias("log"), F.round(F.sqrt(x), 6).alias("root"), F.round(F.exp(-x), 6).alias("decay"), F.round(F.pow(x, F.lit(1.5)), 6).alias("power"), F.round(1 / (1 + F.exp(-x)), 6).alias("sigmoid"))
+
+
+def l17_missing_experiments(spark, d):
+    """Pairs and methods that have no result yet; each would be one task."""
+    r = _results(spark, d)
+    expected = r.select("pair_id").distinct().select("pair_id", F.explode(F.array(*map(F.lit, [*METHODS, "Z"]))).alias("method"))
+    return expected.join(r.select("pair_id", "method").distinct(), ["pair_id", "method"], "left_anti")
+
+
+def o7_first_rows(spark, d):
+    """The first thousand orders by price, where a limit is what is asked for."""
+    return read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1000).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
 QUERIES = {f.__name__: f for f in (
-    a18_source_summary, a19_distribution, a24_improvements, a25_gains, a26_raw_and_changed, a27_gain_percent, a29_seed_means, a31_worst_clients, a34_ratios, a39_trend, a40_log_bins, a41_shares_below, a44_mean_without_nulls, o9_best_methods,
+    f10_dynamic_labels, x19_path_ids, m3_math, l17_missing_experiments, o7_first_rows, a18_source_summary, a19_distribution, a24_improvements, a25_gains, a26_raw_and_changed, a27_gain_percent, a29_seed_means, a31_worst_clients, a34_ratios, a39_trend, a40_log_bins, a41_shares_below, a44_mean_without_nulls, o9_best_methods,
 )}
-QUERIES |= {"wide_results": p16_wide_results, "labelled_sources": p17_labelled_sources}
+QUERIES |= {"feature_matrix": p15_feature_matrix, "wide_results": p16_wide_results, "labelled_sources": p17_labelled_sources}
 
 _E = cat.SQL_EDGES
 _R = "r AS (SELECT l_suppkey AS pair_id, l_returnflag AS method, l_linenumber % 3 AS seed, l_linestatus AS client, avg(l_discount) AS value, sum(l_quantity) AS size FROM lineitem GROUP BY 1, 2, 3, 4)"
@@ -136,4 +180,12 @@ SELECT bin, count(g) AS n, round(avg(g), 6) AS mean, round(median(g), 6) AS medi
     "a44_mean_without_nulls": "SELECT db_id, round(avg(n_distinct), 5) AS mean, count(*) AS n FROM column_cardinality WHERE regexp_full_match(db_id, '[0-9]{7}') GROUP BY 1",
     "o9_best_methods": f"WITH {_R}, m AS (SELECT client, method, round(avg(value), 9) AS value FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY value DESC, method) AS rank FROM m) SELECT client, CAST(rank AS INT) AS rank, method, round(value, 6) AS value FROM k WHERE rank <= 2",
     "labelled_sources": "SELECT CASE WHEN starts_with(source, 'silo') THEN 'silo' WHEN ends_with(source, 'cards') THEN 'cards' ELSE 'other' END AS label, count(*) AS n FROM documents GROUP BY 1",
+    "feature_matrix": f"WITH {cat.SQL_COLUMNS}, {cat.SQL_FKS}, f AS (SELECT db, count(*) AS n FROM k GROUP BY 1) SELECT c.db, count(*) || ',' || coalesce(any_value(f.n), 0) || ',' || count(prop) || ',' || count(DISTINCT table_name) AS features FROM c LEFT JOIN f ON f.db = c.db GROUP BY c.db",
+    "f10_dynamic_labels": """WITH p AS (SELECT unnest(['A', 'N', 'R']) AS positive), n AS (SELECT positive, l_linestatus AS a, l_returnflag = positive AS b, count(*) AS n FROM lineitem, p GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY positive, a) AS na, sum(n) OVER (PARTITION BY positive, b) AS nb, sum(n) OVER (PARTITION BY positive) AS t FROM n)
+SELECT positive, CAST(any_value(t) AS BIGINT) AS n, round(sum(n) FILTER (b) / any_value(t), 6) AS share, round(sum(n / t * ln(n * t / (na * nb))), 6) AS mi FROM q GROUP BY 1 HAVING any_value(t) >= 200 AND sum(n) FILTER (b) / any_value(t) BETWEEN 0.2 AND 0.8 AND round(sum(n / t * ln(n * t / (na * nb))), 6) >= 0""",
+    "x19_path_ids": "SELECT DISTINCT regexp_extract(folder1, '^(\\d+) ', 1) AS db, concat_ws('/', regexp_extract(folder1, '^(\\d+) ', 1), 't.csv') AS key FROM pair_metadata WHERE folder1 IS NOT NULL",
+    "m3_math": "SELECT p_partkey, round(log2(p_retailprice / 1000), 6) AS log, round(sqrt(p_retailprice / 1000), 6) AS root, round(exp(-p_retailprice / 1000), 6) AS decay, round(pow(p_retailprice / 1000, 1.5), 6) AS power, round(1 / (1 + exp(-p_retailprice / 1000)), 6) AS sigmoid FROM part",
+    "l17_missing_experiments": f"WITH {_R} SELECT pair_id, m AS method FROM (SELECT DISTINCT pair_id FROM r), (SELECT unnest(['A', 'N', 'R', 'Z']) AS m) EXCEPT SELECT pair_id, method FROM r",
+    "o7_first_rows": "SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 1000",
 }
