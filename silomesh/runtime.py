@@ -6,6 +6,7 @@ is on storage that all executors share, so a lost executor never loses the state
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,10 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever their working directory is."""
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 class Workspace:
     """Written intermediate tables of one operator call; :meth:`drop` frees those that are no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        share_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -54,6 +65,7 @@ class Workspace:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
