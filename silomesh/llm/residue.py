@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silomesh.llm.slots import FILLER_RE, slot
+from silomesh.llm.slots import FILLER_HINTS, FILLER_RE, slot
 from silomesh.runtime import Workspace
 
 DEPTH = 3  # words of a segment that lead to its leaf
@@ -55,6 +55,14 @@ MESSAGES = [
     rf"\b{_SCRIPT}\b.*\b(?:desactivad|activad|necesari|permitid)\w*\b|\b(?:necesita|activar|active|activa|sin|permita|habilite|requiere|habilitar)\b.*\b{_SCRIPT}\b",
 ]
 
+#: Parts of which every message holds one; a template without any is not tried against the patterns.
+MESSAGE_HINTS = (
+    "http", "error", "fehler", "erreur", "page", "not ", "bad", "service", "internal", "gateway", "gone", "forbidden", "unauthori", "unavailable", "too ", "request", "seite", "página", "denied", "required", "offline", "again", "could not", "overloaded", "problem",
+    "fault", " been ", "was blocked", "exist", "can't", "cannot", "failed", "available", "went wrong", "expired", "connect", "timed out", "permission", "maintenance", "temporarily", "nicht", "wurde", "gestört", "schief", "zugriff", "überlast", "viele anfragen",
+    "abgelaufen", "keine ", "zeitüber", "wartung", "introuvable", "été ", "n'existe", "accès", "disponible", "n'est", "n'a pas", "surcharg", "trop de", "expiré", "mal passé", "délai", "encontrad", " se ", "no pud", "no puede", "no ha pod", "ya no", "ha sido", "fue ",
+    "acceso", "sobrecarg", "demasiadas", "sesión", "salió", "mantenimiento", "produjo", "script", "js", "active content", "aktive inhalte", "browser", "starten", "démarrer", "no se ", "not\t", "time-out", "timeout", "no carg", "no mostr",
+)
+
 #: Sentences that write about errors and scripts.
 ABOUT = [
     r"\bwas the title of\b", r"\bis one of the\b", r"\blists web replies\b", r"\banswered with error\b", r"\bviewer is written in\b", r"\bone reader asked\b", r"\bavant l'apprentissage\b", r"\bvor dem training\b", r"\bantes del entrenamiento\b", r"\bsecond run fetched\b", r"\bis empty in\b", r"\bsteward\b", r"\bpercent\b", r"\brows?\b", r"\bloader\b", r"\bcolumns?\b(?! report| list)", r"\blabel\b",
@@ -106,12 +114,13 @@ def mask(segment: str) -> str:
 def classify(template: str) -> str:
     """The verdict of one template: message, frame (title, menu, foot line), filler or content."""
     t = template.strip()
-    rest = _ITEMS.sub(" ", re.sub(r"<\w+>", " ", t.lower()))
+    rest = _ITEMS.sub(" ", re.sub(r"<\w+>", " ", t.lower())) if len(t) < 200 else t
     if not re.search(r"\w", rest) or _FOOT.fullmatch(t):
         return "frame"
-    if FILLER_RE.search(t):
+    low = t.lower()
+    if any(h in low for h in FILLER_HINTS) and FILLER_RE.search(t):
         return "filler"
-    if _MESSAGE.search(t) and not _ABOUT.search(t):
+    if any(h in low for h in MESSAGE_HINTS) and not _ABOUT.search(t) and _MESSAGE.search(t):
         return "message"
     return "frame" if _TITLE.match(t) else "content"
 
@@ -147,8 +156,25 @@ def mine_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"masked": pdf["masked"].to_numpy(), "template": [texts[k] for k in of], "example": [" ".join(seen[k]) for k in of]})
 
 
-def mine_templates(distinct: DataFrame) -> DataFrame:
-    """(masked, template, example) of distinct segments (masked, n); a leaf with many segments is mined in slices."""
+def mine_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``mine_leaf`` of each leaf of a bucket; a segment that is alone in its leaf is its own template."""
+    leaf = pdf.groupby(["size", "head", "part"], sort=False).ngroup().to_numpy()
+    alone = np.bincount(leaf)[leaf] == 1
+    single = pdf.loc[alone, "masked"]
+    parts = [pd.DataFrame({"masked": single, "template": single, "example": single})]
+    rest, of = pdf.loc[~alone, ["masked", "n"]], leaf[~alone]
+    order = np.argsort(of, kind="stable")
+    ends = np.flatnonzero(np.diff(of[order])) + 1
+    parts += [mine_leaf(rest.iloc[at]) for at in np.split(order, ends) if len(at)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def mine_templates(distinct: DataFrame, bucket: int = 20_000) -> DataFrame:
+    """(masked, template, example) of distinct segments (masked, n).
+
+    A leaf with many segments is mined in slices, and leaves are worked on in buckets of about ``bucket`` segments, so a
+    group is neither too large nor one of very many.
+    """
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,7 +184,9 @@ def mine_templates(distinct: DataFrame) -> DataFrame:
     placed = distinct.mapInPandas(place, "masked string, n long, size int, head string")
     crowded = placed.groupBy("size", "head").agg(F.count("*").alias("held")).filter(f"held > {SLICE}")
     cut = placed.join(crowded, ["size", "head"], "left").withColumn("part", F.pmod(F.xxhash64("masked"), F.coalesce(F.ceil(F.col("held") / SLICE), F.lit(1))).cast("int"))
-    return cut.select("size", "head", "part", "masked", "n").groupBy("size", "head", "part").applyInPandas(lambda p: mine_leaf(p), "masked string, template string, example string")
+    n_buckets = max(1, -(-distinct.count() // bucket))
+    held = cut.select(F.pmod(F.xxhash64("size", "head", "part"), F.lit(n_buckets)).alias("bucket"), "size", "head", "part", "masked", "n")
+    return held.groupBy("bucket").applyInPandas(mine_bucket, "masked string, template string, example string")
 
 
 def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,7 +200,7 @@ def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text")
 
     held = documents.filter(F.col(text).rlike(r"\S")).select(F.col(doc).alias("doc"), F.col(text).alias("txt"))
     parsed = work.write(held.mapInPandas(read_texts, f"doc {kind}, slot boolean, segs array<string>"))
-    words = parsed.select(F.explode("segs").alias("masked")).groupBy("masked").agg(F.count("*").alias("n"))
+    words = work.write(parsed.select(F.explode("segs").alias("masked")).groupBy("masked").agg(F.count("*").alias("n")))
     mined = work.write(mine_templates(words))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

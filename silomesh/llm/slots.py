@@ -40,6 +40,9 @@ FILLER = [
     r"\btexte (?:provisoire|factice)\b", r"\btexte de remplissage\b", r"\bparagraphe (?:factice|provisoire)\b", r"\bviendra plus tard\b",
 ]
 
+#: Parts of which every filler sentence holds one.
+FILLER_HINTS = ("text", "paragraph", "box", "part", "wording", "block", "section", "sentence", "page", "field", "take up room", "filler", "write something", "content", "absatz", "kasten", "steht später", "muestra", "provisional", "aquí irá", "párrafo", "viendra", "replace this")
+
 #: Sentences about markers and filler.
 MENTIONS = [
     r"Serialized text starts with[^\n]*?for each table\.", r"The word (?:placeholder|dummy|filler) in [^\n]{1,60}? is a real value[^.\n]*\.",
