@@ -59,7 +59,7 @@ def g8_degrees(spark, d):
 def a11_degree_stats(spark, d):
     """Least, largest, mean and lower median degree, and the mirrored edge count."""
     deg = g8_degrees(spark, d)
-    return deg.agg(F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY degree)").alias("median_degree"), F.sum("degree").alias("n_mirrored"))
+    return deg.agg(F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY degree)").cast("bigint").alias("median_degree"), F.sum("degree").alias("n_mirrored"))
 
 
 def g1_mirrored_edges(spark, d):
