@@ -180,33 +180,35 @@ def attach(edges: DataFrame, properties: DataFrame, names: Sequence[str]) -> Dat
     return edges.join(pair, ["src", "tgt"], "left")
 
 
-def grow_subgraphs(edges: DataFrame, component: DataFrame, size: int = 5, samples: int = 3, seed: int = 1) -> DataFrame:
-    """(component, sample, id): random connected node sets, one component at a time.
+def grow_subgraphs(edges: DataFrame, component: DataFrame, size: int = 5, samples: int = 3, seed: int = 1, min_edges: int = 2) -> DataFrame:
+    """(rank, component, start, sample, edges, density, id): random connected node sets over the whole graph (G12), ranked.
 
-    Meant for small components; a component is read by one task.
+    Every node of ``component`` (id, component) starts ``samples`` sets.  In each round a set takes one node of its frontier,
+    all nodes linked to a member with equal chance, by the least hash of set, round and node.  A set that can't reach ``size``
+    or has fewer than ``min_edges`` edges doesn't count, equal sets count once, as their first draw.  Ranks go by density
+    ascending, edges descending and size ascending; sets with the same of all three share one.  A round reads the links of all members.
     """
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["src"], pdf["tgt"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        comp, rows, seen = int(pdf["component"].iloc[0]), [], set()
-        rng, nodes = np.random.default_rng(seed + comp), sorted(near)
-        for s in range(samples):
-            held = {nodes[int(rng.integers(len(nodes)))]}
-            while len(held) < size:
-                front = sorted(set().union(*(near[h] for h in held)) - held)
-                if not front:
-                    break
-                held.add(front[int(rng.integers(len(front)))])
-            if frozenset(held) not in seen:
-                seen.add(frozenset(held))
-                rows += [(comp, s, h) for h in sorted(held)]
-        return pd.DataFrame(rows, columns=["component", "sample", "id"])
-
-    tagged = edges.join(component.withColumnRenamed("id", "src"), "src").select("component", "src", "tgt")
-    return tagged.groupBy("component").applyInPandas(grow, "component long, sample long, id long")
+    work = Workspace(edges.sparkSession, "grow")
+    links = work.write(mirrored(edges.select("src", "tgt").filter("src <> tgt")).distinct())
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))
+    sets = work.write(component.select("component", F.col("id").alias("start"), numbers.alias("sample"), F.array("id").alias("held")))
+    for step in range(1, size):
+        front = sets.withColumn("src", F.explode("held")).join(links, "src").filter(~F.array_contains("held", F.col("tgt")))
+        drawn = F.min_by("tgt", F.struct(F.xxhash64("start", "sample", "tgt", F.lit(seed), F.lit(step)).alias("h"), "tgt"))
+        new = front.groupBy("component", "start", "sample", "held").agg(drawn.alias("new"))
+        grown = work.write(new.select("component", "start", "sample", F.array_sort(F.concat("held", F.array("new"))).alias("held")))
+        work.drop(sets)
+        sets = grown
+    once = work.write(sets.groupBy("held").agg(F.min(F.struct("start", "sample", "component")).alias("first")).select("first.*", "held"))
+    pairs = once.select("start", "sample", "held", F.explode("held").alias("src")).select("start", "sample", "src", F.explode(F.filter("held", lambda x: x > F.col("src"))).alias("tgt"))
+    inside = pairs.join(links, ["src", "tgt"], "left_semi").groupBy("start", "sample").agg(F.count("*").alias("edges"))
+    density = F.col("edges") / F.lit(max(1.0, size * (size - 1) / 2))
+    found = once.join(inside, ["start", "sample"], "left").withColumn("edges", F.coalesce("edges", F.lit(0))).filter(F.col("edges") >= min_edges)
+    found = work.write(found.withColumns({"density": density, "size": F.size("held")}))
+    kinds = found.groupBy("density", "edges", "size").agg(F.count("*").alias("n"))  # at most one for each number of edges
+    before = Window.orderBy("density", F.desc("edges"), "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = kinds.select("density", "edges", "size", (1 + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("rank"))
+    return found.join(F.broadcast(ranks), ["density", "edges", "size"]).select("rank", "component", "start", "sample", "edges", "density", F.explode("held").alias("id"))
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

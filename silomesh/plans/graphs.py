@@ -146,11 +146,10 @@ def g11_collapse(spark, d):
 
 
 def g12_random_subgraphs(spark, d):
-    """Random connected silo sets of the small components, thinnest first."""
+    """Random connected sets of four silos from every linked silo, thinnest first."""
     e = _near(spark, d)
-    comp = graph.connected_components(e)
-    small = comp.join(comp.groupBy("component").agg(F.count("*").alias("size")).filter("size <= 50"), "component", "left_semi")
-    return graph.grow_subgraphs(e, small, size=4, samples=2)
+    sets = graph.grow_subgraphs(e, graph.connected_components(e), size=4, samples=2)
+    return sets.orderBy("rank", "start", "sample", "id").withColumn("density", F.round("density", 6))
 
 
 def g13_neighbour_lists(spark, d):

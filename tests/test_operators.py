@@ -51,6 +51,30 @@ def test_subgraph_falls_back_to_clique(spark):
     assert graph.subgraph(e.unionByName(spark.createDataFrame([(1, 2, 0.4)], e.schema)), ids).count() == 2
 
 
+def test_random_subgraphs_of_large_components_are_ranked(spark, tmp_path):
+    from silomesh.plans.graphs import QUERIES
+
+    path, clique = [(i, i + 1) for i in range(1, 70)], [(a, b) for a in range(100, 104) for b in range(a + 1, 104)]
+    links = path + clique + [(200, 201), (201, 202)]
+    spark.createDataFrame([(a, b, 0.95, 1) for a, b in links], "db_id1 long, db_id2 long, similarity double, num_common_columns long").write.parquet(str(tmp_path / "pair_metadata.parquet"))
+    got = QUERIES["g12_random_subgraphs"](spark, str(tmp_path)).collect()
+    sets = {}
+    for r in got:
+        sets.setdefault((r.start, r.sample), []).append(r)
+    assert {r.id for r in got} == {*range(1, 71), *range(100, 104)}  # no set of four fits into 200 to 202
+    assert len({frozenset(r.id for r in s) for s in sets.values()}) == len(sets)
+    for (start, _), s in sets.items():
+        ids = {r.id for r in s}
+        inside = [(a, b) for a, b in links if a in ids and b in ids]
+        assert len(ids) == 4 and start in ids and {(r.edges, r.density) for r in s} == {(len(inside), round(len(inside) / 6, 6))}
+        near = {start}
+        for _ in ids:
+            near |= {x for e in inside for x in e if near & set(e)}
+        assert near == ids
+    assert [r.rank for r in got] == sorted(r.rank for r in got)
+    assert {r.rank for r in got if r.start < 100} == {1} and {r.rank for r in got if r.start >= 100} == {len(sets)}
+
+
 def test_louvain_splits_two_cliques(spark):
     left = [(a, b) for a in range(5) for b in range(a + 1, 5)]
     e = spark.createDataFrame([*left, *((a + 10, b + 10) for a, b in left), (4, 10)], "src long, tgt long")
