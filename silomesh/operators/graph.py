@@ -132,37 +132,106 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), F.lit(2.0))).alias("modularity"), F.count("*").alias("n_communities"))
 
 
-def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): synchronous Louvain moves over the whole graph as joins.
+def louvain(edges: DataFrame, max_rounds: int = 1000, small: int = 1_000_000) -> DataFrame:
+    """(id, community): multi-level Louvain (G6); communities are named by their least member.
 
-    In each round every node computes the gain of joining each neighbouring community and moves to the best one if it gains;
-    only nodes of one hash parity may move in a round, which keeps neighbours from swapping places.  Communities are named
-    by one of their first members.  The loop ends early when two rounds in a row move nothing.
+    A level moves nodes to neighbouring communities until no move gains, then communities become nodes with added weights;
+    the levels end when one moves nothing.  Levels of more than ``small`` directed links run as joins (`_settle`); as soon as
+    a level has no more than that, one task of that bounded size does it and the rest node by node.
     """
     work = Workspace(edges.sparkSession, "louvain")
-    links = work.write(mirrored(edges.select("src", "tgt")))
-    if links.isEmpty():
-        return links.select(F.col("src").alias("id"), F.col("tgt").alias("community"))
-    deg = work.write(links.groupBy("src").agg(F.count("*").alias("deg")).withColumnRenamed("src", "id"))
-    two_m = float(links.count() or 1)
-    labels, still = work.write(deg.select("id", F.col("id").alias("community"))), 0
-    for i in range(rounds):
+    links = work.write(mirrored(edges.select("src", "tgt")).groupBy("src", "tgt").agg(F.count("*").cast("double").alias("w")))
+    labels = work.write(links.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct())
+    if labels.isEmpty():
+        return labels
+    while True:
+        last = links.count() <= small
+        if last:
+            found = links.groupBy().applyInPandas(_louvain_levels, labels.schema)
+        else:
+            found, moved = _settle(work, links, max_rounds)
+            if not moved:
+                break
+        found = work.write(found)
+        labels = work.write(labels.join(found.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")))
+        if last:
+            break
+        ends = [found.select(F.col("id").alias(c), F.col("community").alias(f"{c}_c")) for c in ("src", "tgt")]
+        links = work.write(links.join(ends[0], "src").join(ends[1], "tgt").groupBy(F.col("src_c").alias("src"), F.col("tgt_c").alias("tgt")).agg(F.sum("w").alias("w")))
+    names = labels.groupBy("community").agg(F.min("id").alias("name"))
+    return labels.join(names, "community").select("id", F.col("name").alias("community"))
+
+
+def _louvain_levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(id, community) of all levels over one table of directed weighted links, node by node in a seeded order."""
+    ids, ends = np.unique(np.concatenate([pdf["src"], pdf["tgt"]]), return_inverse=True)
+    links = pd.DataFrame({"s": ends[: len(pdf)], "t": ends[len(pdf) :], "w": pdf["w"].to_numpy()})
+    label, two_m, rng = np.arange(len(ids)), float(pdf["w"].sum()), np.random.default_rng(1)
+    while True:
+        links = links.groupby(["s", "t"], as_index=False)["w"].sum()
+        n = int(links["s"].max()) + 1
+        at = np.searchsorted(links["s"], np.arange(n + 1)).tolist()
+        near, weight, deg = links["t"].tolist(), links["w"].tolist(), links.groupby("s")["w"].sum().tolist()
+        held, volume, order, moved = list(range(n)), list(deg), rng.permutation(n).tolist(), True
+        while moved:
+            moved = False
+            for v in order:
+                own, k = held[v], {}
+                for i in range(at[v], at[v + 1]):
+                    if near[i] != v:
+                        k[held[near[i]]] = k.get(held[near[i]], 0.0) + weight[i]
+                volume[own] -= deg[v]
+                best, top = own, k.get(own, 0.0) - deg[v] * volume[own] / two_m
+                for c, w in k.items():
+                    if w - deg[v] * volume[c] / two_m > top + 1e-9:
+                        best, top = c, w - deg[v] * volume[c] / two_m
+                volume[best] += deg[v]
+                held[v], moved = best, moved or best != own
+        names, to = np.unique(held, return_inverse=True)
+        if len(names) == n:
+            return pd.DataFrame({"id": ids, "community": ids[np.unique(label, return_index=True)[1]][label]})
+        label = to[label]
+        links = pd.DataFrame({"s": to[links["s"]], "t": to[links["t"]], "w": links["w"]})
+
+
+def _settle(work: Workspace, links: DataFrame, max_rounds: int) -> tuple[DataFrame, bool]:
+    """(id, community) where no single move gains, and whether any node moved: one level of Louvain as joins.
+
+    In each round every node finds its best neighbouring community, and of those that would gain a share drawn by hash moves.
+    If the modularity doesn't rise by that, the round is taken back and a smaller share moves, at last only the best node,
+    whose gain is certain.  So modularity rises with every round that is kept.
+    """
+    deg = work.write(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")))
+    two_m = deg.agg(F.sum("deg")).first()[0]
+    apart = links.filter("src <> tgt")
+    labels, kept, sure, thin, moved = deg.select("id", F.col("id").alias("community")), None, True, 1, False
+    for i in range(max_rounds):
         seen = Observation()
         volume = labels.join(deg, "id").groupBy("community").agg(F.sum("deg").alias("vol"))
-        to = links.join(labels.select(F.col("id").alias("tgt"), "community"), "tgt").groupBy("src", "community").agg(F.count("*").alias("k_in"))
+        to = apart.join(labels.select(F.col("id").alias("tgt"), "community"), "tgt").select("src", "community", "w")
+        to = to.unionByName(labels.select(F.col("id").alias("src"), "community", F.lit(0.0).alias("w"))).groupBy("src", "community").agg(F.sum("w").alias("k_in"))
         here = labels.select(F.col("id").alias("src"), F.col("community").alias("own")).join(deg.withColumnRenamed("id", "src"), "src")
-        gain = to.join(here, "src").join(volume, "community")
-        gain = gain.withColumn("score", F.col("k_in") - F.col("deg") * (F.col("vol") - F.when(F.col("community") == F.col("own"), F.col("deg")).otherwise(0)) / two_m)
-        best = gain.groupBy("src").agg(F.max_by(F.struct("community", "score"), F.struct("score", -F.col("community"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("score"))).alias("stay"))
-        may = F.pmod(F.xxhash64("id", F.lit(i // 2)), F.lit(2)) == i % 2
-        moved = labels.join(best, labels.id == best.src, "left").select("id", F.col("community").alias("old"), F.when(may & (F.col("best.score") > F.coalesce("stay", F.lit(0.0)) + 1e-9), F.col("best.community")).otherwise(F.col("community")).alias("community"))
-        new = work.write(moved.observe(seen, F.count_if(F.col("old") != F.col("community")).alias("moved")).select("id", "community"))
-        work.drop(labels)
-        labels = new
-        still = still + 1 if not seen.get["moved"] else 0
-        if still == 2:
-            break
-    return labels
+        own = F.col("community") == F.col("own")
+        gain = to.join(here, "src").join(volume, "community").withColumn("score", F.col("k_in") - F.col("deg") * (F.col("vol") - F.when(own, F.col("deg")).otherwise(0)) / two_m)
+        best = gain.groupBy("src", "own").agg(F.max_by(F.struct("community", "score"), F.struct("score", -F.col("community"))).alias("best"), F.max(F.when(own, F.col("score"))).alias("stay"), F.max(F.when(own, F.col("k_in") - F.col("deg") * F.col("vol") / two_m)).alias("q"))
+        moves = best.select(F.col("src").alias("id"), F.col("own").alias("community"), F.col("best.community").alias("target"), (F.col("best.score") - F.col("stay")).alias("gain"), "q").withColumn("wants", F.col("gain") > 1e-9)
+        new = work.write(moves.observe(seen, F.sum("q").alias("q"), F.count_if("wants").alias("n"), F.max(F.struct("gain", "id")).alias("top")))
+        got = seen.get
+        if kept is None or sure or got["q"] > kept[1]["q"]:
+            if kept:
+                work.drop(kept[0])
+                moved, thin = True, max(1, thin - 1)
+            kept = (new, got)
+        else:
+            work.drop(new)
+            thin += 1
+        table, state = kept
+        if not state["n"]:
+            return table.select("id", "community"), moved
+        sure = 2**thin > state["n"]
+        chosen = F.col("id") == state["top"]["id"] if sure else F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2**thin)) == 0
+        labels = table.select("id", F.when(F.col("wants") & chosen, F.col("target")).otherwise(F.col("community")).alias("community"))
+    raise RuntimeError("communities did not settle")
 
 
 def compare_edges(left: DataFrame, right: DataFrame, tolerance: float = 1e-5) -> DataFrame:

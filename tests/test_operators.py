@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -51,6 +52,48 @@ def test_subgraph_falls_back_to_clique(spark):
     assert graph.subgraph(e.unionByName(spark.createDataFrame([(1, 2, 0.4)], e.schema)), ids).count() == 2
 
 
+def plain_louvain(links):
+    """Modularity of multi-level Louvain as written down, with dense matrices."""
+    ids = sorted({x for e in links for x in e})
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in links:
+        a[ids.index(x), ids.index(y)] += 1
+        a[ids.index(y), ids.index(x)] += 1
+    while True:
+        m2, deg, com, moved = a.sum(), a.sum(1), np.arange(len(a)), True
+        while moved:
+            moved = False
+            for v in range(len(a)):
+                rest = np.arange(len(a)) != v
+                score = np.array([a[v, rest & (com == c)].sum() - deg[v] * deg[rest & (com == c)].sum() / m2 for c in range(len(a))])
+                if score.max() > score[com[v]] + 1e-9:
+                    com[v], moved = score.argmax(), True
+        one = (com[:, None] == np.unique(com)[None, :]).astype(float)
+        if one.shape[1] == len(a):
+            return np.trace(a) / m2 - ((deg / m2) ** 2).sum()
+        a = one.T @ a @ one
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_louvain_modularity_against_plain_louvain(spark, small):
+    rng = np.random.default_rng(5)
+    ring = [(8 * c + i, 8 * c + i + 1) for c in range(6) for i in range(7)] + [(8 * c, (8 * c + 12) % 48) for c in range(6)]
+    blocks = [(a, b) for a in range(100, 160) for b in range(a + 1, 160) if rng.random() < (0.5 if a // 15 == b // 15 else 0.03)]
+    links = sorted({(min(e), max(e)) for e in ring + blocks})
+    e = spark.createDataFrame(links, "src long, tgt long")
+    labels = graph.louvain(e, small=small).localCheckpoint()
+    assert sorted(r.id for r in labels.collect()) == sorted({x for e in links for x in e})
+    assert all(min(g) == c for c, g in labels.groupBy("community").agg(F.collect_list("id")).collect())
+    assert graph.modularity(e, labels).first().modularity > plain_louvain(links) - 0.02
+    assert graph.louvain(e.limit(0), small=small).count() == 0
+
+
+def test_louvain_raises_when_rounds_run_out(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, tgt long")
+    with pytest.raises(RuntimeError):
+        graph.louvain(e, max_rounds=1, small=0)
+
+
 def test_random_subgraphs_of_large_components_are_ranked(spark, tmp_path):
     from silomesh.plans.graphs import QUERIES
 
