@@ -76,10 +76,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar other vectors of every vector whose class id is divisible by 50, at any cosine, as classes."""
+    """The most similar other vectors of every silo whose id is divisible by 50, at any cosine, as classes of equal vectors.
+
+    ``class_id`` is the silo's own class; it is listed as its own neighbour, without the silo itself, if it has other members.
+    """
     near, members = forest.neighbours(read(spark, d, "database_embeddings"), "db_id", "embedding", k=5)
+    asked = members.filter("rec % 50 = 0").select(F.col("rec").alias("db_id"), F.col("rep").alias("class_id"), "n")
     size = members.filter("rec = rep").select(F.col("rep").alias("s"), F.col("n").alias("n_members"))
-    return near.filter("q % 50 = 0").join(size, "s").select(F.col("q").alias("db_id"), F.col("s").alias("near_class"), "n_members", F.round("cosine", 9).alias("cosine"))
+    others = asked.join(near, asked.class_id == near.q).join(size, "s").select("db_id", "class_id", F.col("s").alias("near_class"), "n_members", F.round("cosine", 9).alias("cosine"))
+    copies = asked.filter("n > 1").select("db_id", "class_id", F.col("class_id").alias("near_class"), (F.col("n") - 1).alias("n_members"), F.lit(1.0).alias("cosine"))
+    return others.unionByName(copies)
 
 
 def _sized(spark: SparkSession, d: str, *keep: str) -> DataFrame:

@@ -141,3 +141,22 @@ def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("word " * 20000,)], "text string")
     got = [r[0] for r in df.select(tokens.token_count("text")).collect()]
     assert got[:3] == [2, 0, 0] and got[3] > 1 and 20000 <= got[4] <= 20001
+
+
+def test_query_set_of_neighbours_is_by_record(spark, tmp_path):
+    from silomesh.llm.queries import QUERIES
+
+    x = np.random.default_rng(3).normal(size=(12, 64)).astype("float32")
+    vectors = {7: 0, 50: 0, 9: 1, **{100 + i: 1 for i in range(6)}, 150: 2, **{i: i for i in range(3, 7)}, **{i + 3: i for i in range(7, 12)}}
+    df = spark.createDataFrame([(k, x[v].tolist()) for k, v in vectors.items()], "db_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "database_embeddings.parquet"))
+    got = QUERIES["p6_neighbours"](spark, str(tmp_path)).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rep = {v: min(k for k in vectors if vectors[k] == v) for v in vectors.values()}
+    for q in (50, 100, 150):
+        by_cosine = sorted(((float(unit[vectors[q]] @ unit[v]), k) for k, v in vectors.items() if k != q), reverse=True)
+        want = {rep[vectors[k]] for c, k in by_cosine if c >= by_cosine[4][0] - 1e-6}
+        mine = [r for r in got if r.db_id == q]
+        assert {r.near_class for r in mine} == want and {r.class_id for r in mine} == {rep[vectors[q]]}
+        assert all(r.n_members == sum(rep[vectors[k]] == r.near_class for k in vectors if k != q) for r in mine)
+    assert {r.db_id for r in got} == {50, 100, 150}
