@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def heavy_hashes(df: DataFrame, key: Column, share: float = 0.02) -> list[int]:
-    """``xxhash64`` values of the keys that hold at least ``share`` of the rows.
+    """``xxhash64`` values (``key`` is a hash) of the keys that hold at least ``share`` of the rows.
 
     Two passes, the second counting at most ``1 / share`` candidates of the first; no key is shuffled.  Ties and nulls hash
     like any other key and an empty table gives an empty list.

@@ -2,7 +2,7 @@
 
 The state of a profile is a table of (group..., value, n): how often each value of a column occurs now.  A load changes it
 by signed deltas: +1 for a row that arrives, -1 for a row that goes.  Every metric (null rate, distinct values, range,
-entropy, pattern violations, distance between two loads) is a function of the counts alone, so no load is read twice.
+entropy, pattern violations, distance between two loads, drift of a column's current values) is a function of the counts.
 
 Nulls are a value of their own (``value`` is null), NaN counts as null, an empty table has an empty state, repeated rows
 raise a count, and columns that aren't named are never read.
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silomesh.operators.skew import heavy_hashes, split_heavy
-from silomesh.runtime import is_nan
+from silomesh.runtime import Workspace, is_nan
 
 #: Fixed value: what a well-formed silo id is.
 ID_PATTERN = r"\A[0-9]{7}\z"
@@ -61,9 +61,12 @@ class ValueCountTable:
         found = self.versions()
         return self.spark.read.parquet(f"{self.path}/v{found[-1]:06d}") if found else None
 
-    def apply(self, deltas: DataFrame) -> DataFrame:
+    def apply(self, deltas: DataFrame, summed: bool = False) -> DataFrame:
+        """The state after ``deltas``; ``summed`` deltas have one row for each value, so a first load needs no exchange."""
         found = self.versions()
         new = f"{self.path}/v{(found[-1] + 1 if found else 0):06d}"
+        if not found and not summed:
+            deltas = deltas.groupBy(*(c for c in deltas.columns if c != "n")).agg(F.sum("n").alias("n"))
         apply_deltas(self.state(), deltas).write.mode("overwrite").parquet(new)
         fs, _ = self._fs()
         make = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -115,57 +118,117 @@ def distribution_change(state: DataFrame, groups: Sequence[str], load: str) -> D
     return left.join(both, on, "left").select(*(left[c] for c in groups), left[load], "load_before", (1 - F.coalesce("shared", F.lit(0.0))).alias("total_variation"))
 
 
-def _drifts(kind: Column, a: Column, b: Column, share: float, factor: int) -> Column:
-    low, high = F.least(a, b), F.greatest(a, b)
-    return F.when(kind == "sparsity", F.abs(a - b) >= share).otherwise(high + 1 >= factor * (low + 1))
+def digest(*cols: Column | str) -> list[Column]:
+    """Two independent 64-bit hashes of some columns; a null differs from every value.
 
+    Together they stand for the columns in shuffles and states: among 10^11 keys two collide with a chance below 10^-16.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    marked = [x for c in cols for x in (c, c.isNull())]
+    return [F.xxhash64(F.lit(seed), *marked) for seed in (17, 71)]
+
+
+#: What one value count of a load is kept by: the column (as a digest), the form of its id, whether the value is
+#: impossible for another reason than itself, and the value.
+COUNT_KEY = ["field_name", "k1", "k2", "load_no", "id_form", "over", "named", "value"]
+_SOUND = "(id_form = 'sound' and value is not null and not over and named)"
+
+
+def observations(cardinality: DataFrame, sparsity: DataFrame) -> DataFrame:
+    """(COUNT_KEY..., k3, stat_id): what every row of both statistics tables says, NaN as null."""
+    form = F.when(F.col("db_id").isNull(), "null").when(~F.col("db_id").rlike(ID_PATTERN), "pattern").otherwise("sound")
+    named = F.col("table_name").isNotNull() & F.col("column_name").isNotNull()
+    s = F.col("sparsity")
+
+    def told(df: DataFrame, field: str, value: Column, over: Column) -> DataFrame:
+        k1, k2 = digest(F.lit(field), "db_id", "table_name", "column_name")
+        return df.select(F.lit(field).alias("field_name"), k1.alias("k1"), k2.alias("k2"), F.col("load_no").cast("int").alias("load_no"), form.alias("id_form"), F.coalesce(over, F.lit(False)).alias("over"), named.alias("named"), value.alias("value"), "stat_id")
+
+    card = told(cardinality, "n_distinct", F.col("n_distinct").cast("double"), (F.col("n_distinct") < 0) | (F.col("n_distinct") > F.col("n_rows")))
+    both = card.unionByName(told(sparsity, "sparsity", F.when(~is_nan(s), s), (s < 0) | (s > 1)))
+    return both.withColumn("k3", digest("load_no", "id_form", "over", "value")[0])
+
+
+def _far(v: Column, share: float, factor: int) -> Column:
+    """Whether a value is far from either end of its column's values before; the distance is largest at an end."""
 
-def drift_rows(clean: DataFrame, keys: Sequence[str], load: str, share: float = 0.3, factor: int = 5) -> DataFrame:
-    """Observations of ``clean`` (keys..., load, stat_table, stat_id, value) that drift from their key's load before.
+    def drifts(b: Column) -> Column:
+        low, high = F.least(v, b), F.greatest(v, b)
+        return F.when(F.col("field_name") == "sparsity", F.abs(v - b) >= share).otherwise(high + 1 >= factor * (low + 1))
 
-    The value counts of each (key, load) give the least and the largest value of the load before that has one; a row
-    drifts when it is far from either (the distance is largest at an end of the range).  The counts keep the observation,
-    so the rows to report come from the same state and a table partitioned by the keys is shuffled no further.
+    return F.coalesce(drifts(F.col("lo_before")) | drifts(F.col("hi_before")), F.lit(False))
+
+
+def replace_values(state: DataFrame | None, deltas: DataFrame, heavy: Sequence[int] = ()) -> DataFrame:
+    """The value counts after a load, with what they were before.
+
+    ``deltas`` are the signed rows (COUNT_KEY..., n) of one load.  For each column that the load has sound values of, they
+    replace its current ones: the old counts leave the state and the new ones enter it, with the least and the largest
+    value replaced (``lo_before``, ``hi_before``).  Columns the load says nothing about stay as they are.  Values that
+    aren't sound are counted for the load and replace nothing.
+
+    Rows of light columns meet in one exchange.  Columns whose ``k1`` is in ``heavy`` are summed up before they are
+    exchanged and meet the few ranges of their own.
     """
-    keys = list(keys)
-    counts = apply_deltas(None, value_deltas(clean, [*keys, load, "stat_table", "stat_id"], F.col("value")))
-    ranges = counts.groupBy(*keys, load).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    order = Window.partitionBy(*keys).orderBy(load)
-    before = ranges.withColumn("lo_before", F.lag("lo").over(order)).withColumn("hi_before", F.lag("hi").over(order))
-    far = lambda v: _drifts(F.col("field_name"), v, F.col("lo_before"), share, factor) | _drifts(F.col("field_name"), v, F.col("hi_before"), share, factor)
-    moved = before.filter(far(F.col("lo")) | far(F.col("hi"))).select(*keys, load, "lo_before", "hi_before")
-    return counts.join(moved, [*keys, load]).filter(far(F.col("value")))
+    if state is None:
+        state = deltas.limit(0)
+    old = state.filter(_SOUND).select(*COUNT_KEY, "n", F.lit(False).alias("new"))
+    new = deltas.select(*COUNT_KEY, "n", F.lit(True).alias("new"))
+    h = F.col("k1")
+
+    def light(rows: DataFrame) -> DataFrame:
+        by = Window.partitionBy("k1", "k2")
+        summed = rows.repartition("k1", "k2").groupBy(*COUNT_KEY, "new").agg(F.sum("n").alias("n")).filter("n <> 0")
+        seen = summed.withColumns({"lo_before": F.min(F.when(~F.col("new"), F.col("value"))).over(by), "hi_before": F.max(F.when(~F.col("new"), F.col("value"))).over(by), "replaced": F.max(F.expr(f"new and {_SOUND}")).over(by)})
+        return seen.filter("new or not replaced").select(*COUNT_KEY, "n", "new", "lo_before", "hi_before")
+
+    def hot(before: DataFrame, came: DataFrame) -> DataFrame:
+        now = came.groupBy(*COUNT_KEY, "new").agg(F.sum("n").alias("n")).filter("n <> 0")
+        ranges = before.groupBy("k1", "k2").agg(F.min("value").alias("lo_before"), F.max("value").alias("hi_before"))  # one row for each heavy column
+        fresh = now.filter(_SOUND).select("k1", "k2").distinct()
+        stays = before.join(fresh, ["k1", "k2"], "left_anti").select(*COUNT_KEY, "n", "new", F.lit(None).cast("double").alias("lo_before"), F.lit(None).cast("double").alias("hi_before"))
+        return now.join(ranges, ["k1", "k2"], "left").select(*COUNT_KEY, "n", "new", "lo_before", "hi_before").unionByName(stays)
+
+    (old, old_hot), (new, new_hot) = split_heavy(old, h, list(heavy)), split_heavy(new, h, list(heavy))
+    out = light(new.unionByName(old))
+    return out if new_hot is None else out.unionByName(hot(old_hot, new_hot))
 
 
 def quality_findings(cardinality: DataFrame, sparsity: DataFrame, share: float = 0.3, factor: int = 5, heavy_share: float = 0.02) -> DataFrame:
     """All findings (stat_table, stat_id, field_name, finding) over the column statistics of every load.
 
-    Null and ill-formed ids, null and impossible values, and drift of clean values against the nearest earlier load that
-    has a clean one.  NaN counts as null.  A null ``n_rows`` allows any ``n_distinct``.  A finding that several rows of
-    one ``stat_id`` share comes out once.  Light keys are partitioned once for counting, comparing and joining back;
-    rows of keys that may hold more than ``heavy_share`` of all rows go through pre-aggregated counts and a join that
-    adaptive execution can split.
+    The loads are applied in order to a maintained state, the current value counts of every column: each load's rows are
+    signed deltas, and ``replace_values`` writes the next version of the state from the last one and the load alone.  All
+    findings are verdicts on value counts of the version in which they came: null and ill-formed ids, null and impossible
+    values, and drift of sound values against those they replaced, which are the column's values in the nearest earlier
+    load that has any.  The rows that a finding is about are then looked up by the digest of their column and value.
+
+    NaN counts as null.  A null ``n_rows`` allows any ``n_distinct``.  Rows without a load number have findings of their
+    own but no earlier load, columns without a table or column name don't drift.  A finding that several rows of one
+    ``stat_id`` share comes out once; empty tables have none; other columns aren't read.
     """
-    keys = ["field_name", "db_id", "table_name", "column_name"]
-    value = F.col("n_distinct").cast("double")
-    card = cardinality.select(
-        F.lit("column_cardinality").alias("stat_table"), "stat_id", "db_id", "table_name", "column_name", "load_no", F.lit("n_distinct").alias("field_name"), value.alias("value"),
-        F.when(F.col("n_distinct").isNull(), "null").when((F.col("n_distinct") < 0) | (F.col("n_distinct") > F.col("n_rows")), "range").alias("bad_value"),
-    )
-    s = F.col("sparsity")
-    spars = sparsity.select(
-        F.lit("column_sparsity").alias("stat_table"), "stat_id", "db_id", "table_name", "column_name", "load_no", F.lit("sparsity").alias("field_name"), s.alias("value"),
-        F.when(s.isNull() | is_nan(s), "null").when((s < 0) | (s > 1), "range").alias("bad_value"),
-    )
-    rows = card.unionByName(spars).withColumn("bad_id", F.when(F.col("db_id").isNull(), "null").when(~F.col("db_id").rlike(ID_PATTERN), "pattern"))
-    single = rows.filter("bad_id is not null or bad_value is not null").select(
-        "stat_table", "stat_id", F.inline(F.array(F.struct(F.lit("db_id").alias("field_name"), F.col("bad_id").alias("finding")), F.struct("field_name", F.col("bad_value").alias("finding"))))
-    ).filter("finding is not null")
-    clean = rows.filter("bad_id is null and bad_value is null and load_no is not null").select(*keys, "load_no", "stat_table", "stat_id", "value")
-    h = F.xxhash64(*keys)
-    light, hot = split_heavy(clean, h, heavy_hashes(clean, h, heavy_share))
-    drift = drift_rows(light.repartition(*keys), keys, "load_no", share, factor)
-    if hot is not None:
-        drift = drift.unionByName(drift_rows(hot, keys, "load_no", share, factor))
-    drift = drift.select("stat_table", "stat_id", "field_name", F.lit("drift").alias("finding"))
-    return single.unionByName(drift).distinct()
+    work = Workspace(cardinality.sparkSession, "value-counts")
+    rows = observations(cardinality, sparsity)
+    heavy = heavy_hashes(rows, F.col("k1"), heavy_share)
+    loads = sorted(r[0] for r in rows.select("load_no").distinct().collect() if r[0] is not None)  # one number for each load
+    state, found = None, []
+    for load in [None, *loads]:
+        came = rows.filter(F.col("load_no").eqNullSafe(F.lit(load)))
+        deltas = came.select(*COUNT_KEY, F.lit(1).cast("bigint").alias("n"))
+        if load is None:
+            counted = deltas.groupBy(*COUNT_KEY).agg(F.sum("n").alias("n")).withColumns({"new": F.lit(True), "lo_before": F.lit(None).cast("double"), "hi_before": F.lit(None).cast("double")})
+            found.append(counted)
+            continue
+        state = work.write(replace_values(state, deltas, heavy))
+        found.append(state.filter("new"))
+    verdict = lambda field, finding: F.struct(F.coalesce(field, F.lit("")).alias("field_name"), finding.alias("finding"))
+    field = F.col("field_name")
+    of_id = verdict(F.lit("db_id"), F.when(F.col("id_form") != "sound", F.col("id_form")))
+    of_value = verdict(field, F.when(F.col("value").isNull(), "null").when(F.col("over"), "range").when(F.expr(_SOUND) & _far(F.col("value"), share, factor), "drift"))
+    told = lambda df: df.select("k1", "k2", digest("load_no", "id_form", "over", "value")[0].alias("k3"), F.filter(F.array(of_id, of_value), lambda x: x["finding"].isNotNull()).alias("found")).filter(F.size("found") > 0)
+    cases = told(found[0])
+    for part in found[1:]:
+        cases = cases.unionByName(told(part))
+    table = F.when(field == "sparsity", "column_sparsity").otherwise("column_cardinality").alias("stat_table")
+    met = rows.select(table, "stat_id", "k1", "k2", "k3").join(cases.hint("merge"), ["k1", "k2", "k3"])
+    return met.select("stat_table", "stat_id", F.inline("found")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silomesh.operators import references, value_counts
-from silomesh.runtime import is_nan, read
+from silomesh.runtime import Workspace, is_nan, read
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,17 +14,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _field_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Value counts of every profiled statistics column by load."""
+    """Value counts of every profiled statistics column by load: a maintained table to which each load is applied."""
     card, spars = read(spark, d, "column_cardinality"), read(spark, d, "column_sparsity")
     s = F.col("sparsity")
     parts = [(card, "column_cardinality", "db_id", F.col("db_id")), (card, "column_cardinality", "n_distinct", F.col("n_distinct")), (spars, "column_sparsity", "db_id", F.col("db_id")), (spars, "column_sparsity", "sparsity", F.when(~is_nan(s), s))]
-    state = None
-    for df, table, field, value in parts:
-        tagged = df.withColumns({"stat_table": F.lit(table), "field_name": F.lit(field)})
-        text = value if field == "db_id" else value.cast("double").cast("string")
-        delta = value_counts.value_deltas(tagged, ["stat_table", "field_name", "load_no"], text)
-        state = delta if state is None else state.unionByName(delta)
-    return value_counts.apply_deltas(None, state)
+    table = value_counts.ValueCountTable(spark, Workspace(spark, "field-counts").root)
+    loads = {r[0] for df in (card, spars) for r in df.select("load_no").distinct().collect()}
+    for load in sorted(loads, key=lambda x: (x is not None, x)):
+        deltas = None
+        for df, name, field, value in parts:
+            tagged = df.filter(F.col("load_no").eqNullSafe(F.lit(load))).withColumns({"stat_table": F.lit(name), "field_name": F.lit(field)})
+            text = value if field == "db_id" else value.cast("double").cast("string")
+            delta = value_counts.value_deltas(tagged, ["stat_table", "field_name", "load_no"], text)
+            deltas = delta if deltas is None else deltas.unionByName(delta)
+        table.apply(deltas, summed=True)
+    return table.state() if loads else value_counts.value_deltas(card.limit(0).withColumns({"stat_table": F.lit(""), "field_name": F.lit("")}), ["stat_table", "field_name", "load_no"], F.col("db_id"))
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -124,3 +124,39 @@ def test_orphans_of_empty_tables(spark):
     assert rows(references.orphan_cases(none, fk)) == [(1, "source"), (1, "target")]
     assert references.orphan_cases(none, fk.limit(0)).count() == 0
     assert rows(references.orphan_report(none, fk), "period", "n_source", "n_target", "n_references") == [("2025-01", 1, 1, 1)]
+
+
+def test_orphans_follow_columns_that_go_and_come_back(spark, tmp_path):
+    cols = spark.createDataFrame([("1", "a", "x", t(0), None, 0), ("1", "a", "y", t(0), t(5), 0)], COLS)
+    fks = spark.createDataFrame([(1, "1", "a", "x", "a", "y", t(3), None), (2, "1", "a", "x", "a", "y", t(6), None)], FKS)
+    table = value_counts.ValueCountTable(spark, f"file://{tmp_path}/refs")
+    lost = lambda s: rows(references.lost_references(references.orphan_keys(s), fks), "fk_id", "side")
+    state = table.apply(references.signed_counts(references.reference_changes(fks)))
+    assert lost(state) == [(1, "source"), (1, "target"), (2, "source"), (2, "target")]
+    state = table.apply(references.signed_counts(references.existence_changes(cols)))
+    assert lost(state) == [(2, "target")]
+    gone = references.signed_counts(references.existence_changes(cols.filter("column_name = 'x'"), -1))
+    assert lost(table.apply(gone)) == [(1, "source"), (2, "source"), (2, "target")]
+    state = table.apply(references.signed_counts(references.existence_changes(cols.filter("column_name = 'x'"))))
+    assert lost(state) == [(2, "target")]
+    back = spark.createDataFrame([("1", "A", "y ", t(6), None, 0)], COLS)
+    assert lost(table.apply(references.signed_counts(references.existence_changes(back)))) == []
+
+
+def test_hot_keys_are_summed_by_month(spark):
+    g = random.Random(8)
+    cols = spark.createDataFrame([("1", "a", "x", t(a), t(a + g.randrange(1, 20)), 0) for a in range(0, 400, 15)], COLS)
+    fks = spark.createDataFrame([(i, "1", "a", "x", "a", "x", t(g.choice([None, *range(420)])), None) for i in range(200)], FKS)
+    state = references.signed_counts(references.existence_changes(cols).unionByName(references.reference_changes(fks)))
+    assert rows(references.orphan_keys(state, 0.01)) == rows(references.orphan_keys(state, 0.99)) != []
+
+
+def test_a_load_replaces_values_and_can_be_taken_back(spark):
+    load = lambda n, v, sign=1: value_counts.observations(spark.createDataFrame([(1, "0000001", "t", "c", v, 1000, n, "x")], CARD), spark.createDataFrame([], SPARS)).withColumn("n", F.lit(sign).cast("bigint"))
+    one = value_counts.replace_values(None, load(1, 10))
+    two = value_counts.replace_values(one, load(2, 100))
+    assert rows(two, "load_no", "value", "n", "lo_before", "new") == [(2, 100.0, 1, 10.0, True)]
+    three = value_counts.replace_values(two, load(4, None))
+    assert rows(three, "load_no", "value", "new") == [(2, 100.0, False), (4, None, True)]
+    nothing = load(3, 5).unionByName(load(3, 5, -1))
+    assert rows(value_counts.replace_values(two, nothing), "load_no", "value") == [(2, 100.0)]
