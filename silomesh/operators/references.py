@@ -28,11 +28,18 @@ def _silo() -> Column:
     return F.expr("try_cast(trim(db_id) AS BIGINT)")
 
 
-def _key(table: str, column: str) -> list[Column]:
-    """The digest of a key; null when one of its parts is none, so it meets no other."""
-    parts = [_silo(), name_key(table), name_key(column)]
-    usable = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
-    return [F.when(usable, k).alias(n) for n, k in zip(KEY, digest(*parts))]
+_NAMED = ["silo", "tab", "col"]
+
+
+def _names(table: str, column: str) -> list[Column]:
+    """The parts of a key; the caller selects them before ``_key`` reads each of them several times."""
+    return [_silo().alias("silo"), name_key(table).alias("tab"), name_key(column).alias("col")]
+
+
+def _key() -> list[Column]:
+    """The digest of a key's parts; null when one of them is null, so it has no existence."""
+    usable = F.expr("silo is not null and tab is not null and col is not null")
+    return [F.when(usable, k).alias(n) for n, k in zip(KEY, digest(*_NAMED))]
 
 
 def existence_changes(columns: DataFrame, sign: int = 1) -> DataFrame:
@@ -40,8 +47,8 @@ def existence_changes(columns: DataFrame, sign: int = 1) -> DataFrame:
     lives = columns.filter("added_at is not null and (removed_at is null or removed_at > added_at)")
     mark = lambda ts, n: F.struct(F.col(ts).alias("ts"), F.lit(n * sign).cast("bigint").alias("n"))
     marks = F.array(mark("added_at", 1), mark("removed_at", -1))
-    ends = lives.select(*_key("table_name", "column_name"), F.when(F.col("removed_at").isNull(), F.slice(marks, 1, 1)).otherwise(marks).alias("marks"))
-    return ends.filter("k1 is not null").select(*KEY, F.inline("marks")).select(*KEY, "ts", F.lit("exists").alias("kind"), "n")
+    ends = lives.select(*_names("table_name", "column_name"), F.when(F.col("removed_at").isNull(), F.slice(marks, 1, 1)).otherwise(marks).alias("marks"))
+    return ends.select(*_key(), "marks").filter("k1 is not null").select(*KEY, F.inline("marks")).select(*KEY, "ts", F.lit("exists").alias("kind"), "n")
 
 
 def reference_sides(references: DataFrame) -> DataFrame:
@@ -49,7 +56,7 @@ def reference_sides(references: DataFrame) -> DataFrame:
     side = lambda name, t, c: F.struct(F.lit(name).alias("kind"), F.col(t).alias("side_table"), F.col(c).alias("side_column"))
     both = references.select("fk_id", "db_id", F.col("recorded_at").alias("ts"), F.col("table_name").alias("of_table"), F.inline(F.array(side("source", "table_name", "column_name"), side("target", "reference_table_name", "reference_column_name"))))
     held = both.filter(F.col("side_table").rlike(r"\S") & F.col("side_column").rlike(r"\S"))
-    return held.select(*_key("side_table", "side_column"), "ts", "kind", "fk_id", _silo().alias("silo"), "of_table")
+    return held.select(*_names("side_table", "side_column"), "ts", "kind", "fk_id", "of_table").select(*_key(), "ts", "kind", "fk_id", "silo", "of_table")
 
 
 def reference_changes(references: DataFrame, sign: int = 1) -> DataFrame:
@@ -97,10 +104,9 @@ def orphans(columns: DataFrame, references: DataFrame) -> DataFrame:
 
 def lost_references(keys: DataFrame, references: DataFrame) -> DataFrame:
     """The reference sides (fk_id, side, ts, silo, of_table) of orphan keys."""
-    refs, lost = reference_sides(references).alias("r"), keys.filter("k1 is not null").alias("o")
-    on = (F.col("r.k1") == F.col("o.k1")) & (F.col("r.k2") == F.col("o.k2")) & F.col("r.ts").eqNullSafe(F.col("o.ts")) & (F.col("r.kind") == F.col("o.kind"))
-    keyless = reference_sides(references).filter("k1 is null")
-    return refs.join(lost.hint("merge"), on, "left_semi").unionByName(keyless).select("fk_id", F.col("kind").alias("side"), "ts", "silo", "of_table")
+    refs, lost = reference_sides(references).alias("r"), keys.alias("o")
+    on = F.col("r.k1").eqNullSafe(F.col("o.k1")) & F.col("r.k2").eqNullSafe(F.col("o.k2")) & F.col("r.ts").eqNullSafe(F.col("o.ts")) & (F.col("r.kind") == F.col("o.kind"))
+    return refs.join(lost.hint("merge"), on, "left_semi").select("fk_id", F.col("kind").alias("side"), "ts", "silo", "of_table")
 
 
 def orphan_cases(columns: DataFrame, references: DataFrame) -> DataFrame:
