@@ -1,9 +1,13 @@
 """Most similar vectors for every vector: a forest of random-projection trees with one priority queue for all trees.
 
-A tree splits at each level along the difference of two sampled vectors, at the median of the sample in that node.  Every
-vector is stored in one leaf of each tree.  A search descends all trees at once: the branches not taken wait in one queue,
-ordered by how close the vector lies to the split, and the nearest ones are opened next, in whichever tree they are.  The
-candidates of all opened leaves are ranked by their exact cosine in double precision.
+A tree splits at each level along the difference of two sampled vectors, at the median of the sample in that node, as deep
+as the number of vectors asks for and the sample has vectors to take medians from.  Every vector is stored in one leaf of
+each tree.  A search descends all trees at once: the branches not taken wait in one queue, ordered by how close the vector
+lies to the split, and the nearest ones are opened next, in whichever tree they are.  Where there are more vectors than the
+sample can divide, a leaf goes on splitting at the medians of its own vectors, and searches that lie near a split go both
+ways.  The candidates of all opened leaves are ranked by their exact cosine in double precision.
+
+Only (leaf, vector id) rows pass through the queue; vectors join them once, as bytes, when a leaf is worked on.
 
 The forest is fitted on at most ``sample`` vectors; all vectors are indexed and searched.  Equal vectors are one class: it
 is searched once, counts with its number of members and is expanded at the end.  Null, short, long, all-zero, NaN and
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from silomesh.runtime import Workspace
 
-SLICE = 2048
+ASKING = 8192  # searches of a leaf that one task ranks, or as many as the leaf stores if that is more
+NEAR = 0.25  # share of the searches of a split nearest to it that go both ways
 
 
 @dataclass
@@ -35,9 +40,10 @@ class Forest:
         return self.directions.shape[0], self.directions.shape[1]
 
 
-def fit_forest(sample: np.ndarray, n_vectors: int, trees: int, leaf: int, seed: int = 11, deepest: int = 16) -> Forest:
+def fit_forest(sample: np.ndarray, n_vectors: int, trees: int, leaf: int, seed: int = 11) -> Forest:
     """Directions and medians from unit vectors.  A node with fewer than four samples splits at its level's median."""
-    levels = int(min(deepest, max(0, np.ceil(np.log2(max(n_vectors, 1) / leaf)))))
+    wanted, held = np.log2(max(n_vectors, 1) / leaf), np.log2(max(len(sample), 4) / 4)
+    levels = int(max(0, min(np.ceil(wanted), np.floor(held))))
     rng, dims = np.random.default_rng(seed), sample.shape[1]
     a, b = rng.integers(0, len(sample), (trees, levels)), rng.integers(0, len(sample), (trees, levels))
     directions = sample[a] - sample[b] if levels else np.zeros((trees, 0, dims))
@@ -61,19 +67,22 @@ def search_leaves(forest: Forest, x: np.ndarray, extra: int) -> tuple[np.ndarray
     of the shared queue.  Second result: a mask of the own leaves.  -1 = the queue was empty."""
     trees, levels = forest.shape
     n, width = len(x), 1 << levels
-    proj = np.einsum("nd,tld->ntl", x, forest.directions) if levels else np.zeros((n, trees, 0))
+    proj = np.einsum("nd,tld->ntl", x, forest.directions, optimize=True) if levels else np.zeros((n, trees, 0))
     rows = np.arange(n)
-    cost, where = [], []  # the queue: by entry the cost and (tree, level, node) of a branch that wasn't taken
-    leaves = []
+    entries = (trees + extra) * levels
+    cost = np.full((n, entries), np.inf)  # the queue: of each entry the cost and the branch that wasn't taken,
+    branch = np.zeros((n, entries), dtype=np.int64)  # as tree << 40 | level << 32 | node
+    used, leaves = 0, []
 
     def descend(tree: np.ndarray, level: np.ndarray, node: np.ndarray, base: np.ndarray) -> np.ndarray:
+        nonlocal used
         for lv in range(levels):
             on = level <= lv
-            th = forest.thresholds[lv][tree, np.where(on, node, 0)]
-            side = proj[rows, tree, lv] - th
+            side = proj[rows, tree, lv] - forest.thresholds[lv][tree, np.where(on, node, 0)]
             go = side > 0
-            cost.append(np.where(on, np.maximum(base, np.abs(side)), np.inf))
-            where.append((tree, np.full(n, lv + 1), np.where(on, node * 2 + ~go, 0)))
+            cost[:, used] = np.where(on, np.maximum(base, np.abs(side)), np.inf)
+            branch[:, used] = (tree << 40) | ((lv + 1) << 32) | np.where(on, node * 2 + ~go, 0)
+            used += 1
             node = np.where(on, node * 2 + go, node)
         return tree * width + node
 
@@ -81,19 +90,42 @@ def search_leaves(forest: Forest, x: np.ndarray, extra: int) -> tuple[np.ndarray
     for t in range(trees):
         leaves.append(descend(zero + t, zero, zero, np.zeros(n)))
     for _ in range(extra if levels else 0):
-        queue = np.stack(cost, 1)
-        best = queue.argmin(1)
-        least = queue[rows, best]
-        tree, level, node = (np.stack([w[i] for w in where], 1)[rows, best] for i in range(3))
-        for e in range(len(cost)):
-            cost[e] = np.where(best == e, np.inf, cost[e])
-        opened = descend(tree, level, node, np.where(np.isfinite(least), least, np.inf))
+        best = cost[:, :used].argmin(1)
+        least, code = cost[rows, best], branch[rows, best]
+        cost[rows, best] = np.inf
+        opened = descend(code >> 40, (code >> 32) & 0xFF, code & 0xFFFFFFFF, np.where(np.isfinite(least), least, np.inf))
         leaves.append(np.where(np.isfinite(least), opened, -1))
     own = np.zeros((n, len(leaves)), dtype=bool)
     own[:, :trees] = True
     return np.stack(leaves, 1), own
 
 
+def split_leaf(stored: np.ndarray, asking: np.ndarray, leaf: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (stored, asking) of the parts that a leaf splits into, each with at most ``leaf`` stored vectors.
+
+    Vectors split at the median along the difference of two of them; the asking ones nearest to a split go both ways.
+    """
+    todo = [(np.arange(len(stored)), np.arange(len(asking)))]
+    while todo:
+        m, q = todo.pop()
+        if len(m) <= leaf:
+            if len(m) and len(q):
+                yield m, q
+            continue
+        a, b = rng.choice(len(m), 2, replace=False)
+        way = stored[m[a]] - stored[m[b]]
+        if not way.any():
+            way = rng.normal(size=stored.shape[1])
+        along = stored[m] @ way
+        order = np.argsort(along, kind="stable")
+        half = len(m) // 2
+        cut = (along[order[half - 1]] + along[order[half]]) / 2
+        side = asking[q] @ way - cut
+        near = np.abs(side) <= np.quantile(np.abs(side), NEAR) if len(q) else np.zeros(0, dtype=bool)
+        todo.append((m[order[:half]], q[(side <= 0) | near]))
+        todo.append((m[order[half:]], q[(side > 0) | near]))
+
+
 def vector_classes(df: DataFrame, rec: str, vector: str, dims: int) -> DataFrame:
     """(rec, v) of usable vectors, once each."""
     v = F.col(vector).cast("array<double>")
@@ -101,11 +133,21 @@ def vector_classes(df: DataFrame, rec: str, vector: str, dims: int) -> DataFrame
     return df.filter(F.col(rec).isNotNull() & (F.size(vector) == dims)).filter(sound).select(F.col(rec).cast("bigint").alias("rec"), F.col(vector).alias("v")).distinct()
 
 
-def _unit(s: pd.Series) -> np.ndarray:
-    x = np.stack(s.to_numpy()).astype(np.float64)
+def _unit(packed: pd.Series) -> np.ndarray:
+    """Unit vectors of vectors kept as the bytes of single-precision numbers."""
+    x = np.frombuffer(b"".join(packed), dtype=np.float32).reshape(len(packed), -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(v=[np.asarray(v, dtype=np.float32).tobytes() for v in b["v"]])
+
+
+#: What a row of a leaf does there.
+STORED, BOTH, ASKS = 0, 1, 2
+
+
 def neighbours(df: DataFrame, rec: str, vector: str, dims: int = 64, k: int = 5, least: float = -2.0, tie: float = 1e-9, trees: int = 8, leaf: int = 256, extra: int = 8, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Neighbours (q, s, cosine) of every class of equal vectors among the other classes, and the membership (rec, rep, n).
 
@@ -114,50 +156,53 @@ def neighbours(df: DataFrame, rec: str, vector: str, dims: int = 64, k: int = 5,
     """
     work = Workspace(df.sparkSession, "forest")
     held = work.write(vector_classes(df, rec, vector, dims))
-    groups = work.write(held.groupBy("v").agg(F.min("rec").alias("rep"), F.count("*").alias("n")))
+    groups = held.groupBy("v").agg(F.min("rec").alias("rep"), F.count("*").alias("n"))
+    packed = work.write(groups.select("rep", "n", "v").mapInPandas(_as_bytes, "rep long, n long, v binary"))
     members = held.join(groups, "v").select("rec", "rep", "n")
-    count = groups.count()
-    drawn = groups.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas() if count else pd.DataFrame({"v": []})
+    count = packed.count()
     if not count:
-        return groups.select(F.col("rep").alias("q"), F.col("rep").alias("s"), F.lit(0.0).alias("cosine")), members
+        return packed.select(F.col("rep").alias("q"), F.col("rep").alias("s"), F.lit(0.0).alias("cosine")), members
+    drawn = packed.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()  # the sample of the fit
     forest = fit_forest(_unit(drawn["v"]), count, trees, leaf)
-    shared = df.sparkSession.sparkContext.broadcast(forest)  # at most trees x 2^deepest thresholds
+    shared = df.sparkSession.sparkContext.broadcast(forest)  # at most trees x sample / 4 thresholds
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 1024):
-                part = b.iloc[at : at + 1024]
+            for at in range(0, len(b), 4096):
+                part = b.iloc[at : at + 4096]
                 leaves, own = search_leaves(shared.value, _unit(part["v"]), extra)
                 row, col = np.nonzero(leaves >= 0)
-                yield pd.DataFrame({"block": leaves[row, col], "rep": part["rep"].to_numpy()[row], "n": part["n"].to_numpy()[row], "v": part["v"].to_numpy()[row], "own": own[row, col]})
+                yield pd.DataFrame({"block": leaves[row, col], "rep": part["rep"].to_numpy()[row], "own": own[row, col]})
 
-    routed = work.write(groups.mapInPandas(route, "block long, rep long, n long, v array<float>, own boolean"))
-    crowded = routed.groupBy("block").agg(F.count_if("own").alias("stored"), F.count("*").alias("asking")).filter(f"stored > 0 and asking > {SLICE}")
-    cut = lambda c: F.ceil(F.col(c) / SLICE).cast("int")
-    sliced = routed.join(crowded, "block", "left").withColumns({"ms": F.coalesce(cut("stored"), F.lit(1)), "qs": F.coalesce(cut("asking"), F.lit(1))})
-    own_slice, ask_slice = F.pmod(F.xxhash64("rep"), F.col("ms")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("qs")).cast("int")
-    place = lambda m, q, role: F.struct(m.alias("m_slice"), q.alias("q_slice"), F.lit(role).alias("member"))
-    stored = sliced.filter("own").select("block", "rep", "n", "v", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("i"), own_slice.alias("j")).select("block", "rep", "n", "v", F.inline(F.array(place(F.col("j"), F.col("i"), True))))
-    asking = sliced.select("block", "rep", "n", "v", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("i"), ask_slice.alias("j")).select("block", "rep", "n", "v", F.inline(F.array(place(F.col("i"), F.col("j"), False))))
+    routed = work.write(packed.select("rep", "v").mapInPandas(route, "block long, rep long, own boolean"))
+    sizes = routed.groupBy("block").agg(F.count_if("own").alias("stored"), F.count("*").alias("asking"))
+    slices = sizes.select("block", F.ceil(F.col("asking") / F.greatest(F.lit(ASKING), F.col("stored"))).cast("int").alias("slices"))
+    cut = routed.join(slices, "block").withColumn("mine", F.pmod(F.xxhash64("rep", "block"), F.col("slices")).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: F.struct(i.alias("slice"), F.when(i == F.col("mine"), BOTH).otherwise(STORED).alias("role")))
+    only = F.array(F.struct(F.col("mine").alias("slice"), F.lit(ASKS).alias("role")))
+    placed = cut.select("block", "rep", F.inline(F.when(F.col("own"), every).otherwise(only))).join(packed, "rep")
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_member = pdf["member"].to_numpy()
-        empty = pd.DataFrame({"q": np.zeros(0, "int64"), "s": np.zeros(0, "int64"), "n": np.zeros(0, "int64"), "cosine": np.zeros(0)})
-        if is_member.all() or not is_member.any():
-            return empty
-        m, q = pdf[is_member], pdf[~is_member]
-        mid, mn, qid = m["rep"].to_numpy(), m["n"].to_numpy(), q["rep"].to_numpy()
-        sims = _unit(q["v"]) @ _unit(m["v"]).T
-        sims[qid[:, None] == mid[None, :]] = -3.0
-        low = np.full(len(qid), least, dtype=float)
-        if sims.shape[1] > k:
-            low = np.maximum(low, np.partition(sims, -k, axis=1)[:, -k] - tie)
-        row, col = np.nonzero(sims >= np.maximum(low, -2.0)[:, None])
-        return pd.DataFrame({"q": qid[row], "s": mid[col], "n": mn[col], "cosine": sims[row, col]})
-
-    met = stored.unionByName(asking).groupBy("block", "m_slice", "q_slice").applyInPandas(rank, "q long, s long, n long, cosine double")
+        role, rep, n = pdf["role"].to_numpy(), pdf["rep"].to_numpy(), pdf["n"].to_numpy()
+        x = _unit(pdf["v"])
+        stored, asks = np.flatnonzero(role <= BOTH), np.flatnonzero(role >= BOTH)
+        out = []
+        for m, q in split_leaf(x[stored], x[asks], 2 * leaf, np.random.default_rng(int(pdf["block"].iloc[0]))):
+            m, q = stored[m], asks[q]
+            for at in range(0, len(q), 4096):
+                part = q[at : at + 4096]
+                sims = x[part] @ x[m].T
+                sims[rep[part][:, None] == rep[m][None, :]] = -3.0
+                low = np.full(len(part), least, dtype=float)
+                if sims.shape[1] > k:
+                    low = np.maximum(low, np.partition(sims, -k, axis=1)[:, -k] - tie)
+                row, col = np.nonzero(sims >= np.maximum(low, -2.0)[:, None])
+                out.append(pd.DataFrame({"q": rep[part[row]], "s": rep[m[col]], "n": n[m[col]], "cosine": sims[row, col]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"q": np.zeros(0, "int64"), "s": np.zeros(0, "int64"), "n": np.zeros(0, "int64"), "cosine": np.zeros(0)})
+
+    met = placed.groupBy("block", "slice").applyInPandas(rank, "q long, s long, n long, cosine double")
     met = work.write(met.groupBy("q", "s", "n").agg(F.max("cosine").alias("cosine")))
-    asked = met.join(groups.select(F.col("rep").alias("q"), (F.col("n") - 1).alias("copies")), "q")
+    asked = met.join(packed.select(F.col("rep").alias("q"), (F.col("n") - 1).alias("copies")), "q")
     by_rank = Window.partitionBy("q").orderBy(F.desc("cosine"), "s").rowsBetween(Window.unboundedPreceding, 0)
     ranked = asked.withColumn("upto", F.col("copies") + F.sum("n").over(by_rank))
     bar = F.max(F.when(F.col("upto") >= k, F.col("cosine"))).over(Window.partitionBy("q"))

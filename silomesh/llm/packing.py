@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silomesh.llm.ranks import positions
+from silomesh.llm.ranks import hash_slice, n_slices, positions
 from silomesh.runtime import Workspace
 
 
@@ -119,7 +119,8 @@ def pack(items: DataFrame, item: str, size: str, capacities: Sequence[int]) -> D
     cut = work.write(pieces(items, item, size, caps[-1]))
     histogram = {r["size"]: r["n"] for r in cut.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most caps[-1] rows
     slots = _slots(pack_sizes(histogram, caps), caps)
-    ranked = positions(cut, ["size"], [F.xxhash64(item, "piece"), item, "piece"], F.xxhash64(item, "piece"))
+    parts = n_slices(max(histogram.values(), default=0))
+    ranked = positions(cut, ["size"], [F.xxhash64(item, "piece"), item, "piece"], hash_slice(F.xxhash64(item, "piece"), parts))
     shared = items.sparkSession.sparkContext.broadcast(slots)  # bounded by the patterns, whatever the number of items
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

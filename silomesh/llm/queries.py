@@ -35,7 +35,7 @@ def p3_described(spark: SparkSession, d: str) -> DataFrame:
     """Size, centre and five most typical silos of each cluster."""
     spot = read(spark, d, "cluster_assignments").filter("dim_0 is not null and dim_1 is not null").groupBy("db_id").agg(F.avg("dim_0").alias("dim_0"), F.avg("dim_1").alias("dim_1"))
     out = clusters.typical_members(_clusters(spark, d).join(spot, "db_id"), "cluster_id", "db_id", ["dim_0", "dim_1"])
-    return out.select("cluster_id", "size", F.round("c_dim_0", 4).alias("centre_0"), F.round("c_dim_1", 4).alias("centre_1"), "typical")
+    return out.select("cluster_id", "size", F.round("c_dim_0", 4).alias("centre_0"), F.round("c_dim_1", 4).alias("centre_1"), F.array_join("typical", ",").alias("typical"))
 
 
 
@@ -44,7 +44,7 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     silo = F.expr("try_cast(trim(db_id) AS BIGINT)").alias("rec")
     tables = read(spark, d, "schema_tables").select(silo, F.lit("t").alias("kind"), name_key("table_name").alias("name"))
     columns = read(spark, d, "schema_columns").filter("removed_at is null").select(silo, F.lit("c").alias("kind"), name_key("column_name").alias("name"))
-    return tables.unionByName(columns).filter("name is not null").select("rec", F.xxhash64("kind", "name").alias("h"))
+    return setjoin.hashed_names(tables.unionByName(columns).filter("name is not null").select("rec", F.concat("kind", "name").alias("name")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +107,35 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.bin_report(p7_packed(spark, d)).withColumn("fill", F.round("fill", 6))
 
 
+def _in_characters(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Sizes of all documents in characters, which SQL can count too."""
+    return read(spark, d, "documents").select("doc_id", *keep, F.length("text").cast("bigint").alias("n_tokens")).filter("n_tokens > 0")
+
+
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The packing of texts sized in characters, with what must hold of it: items whole or cut only above the largest
+    capacity, every piece once, no container above its capacity or of a capacity that a smaller one could replace."""
+    caps = _capacities(spark, d)
+    packed = Workspace(spark, "packed").write(packing.pack(_in_characters(spark, d), "doc_id", "n_tokens", caps))
+    bins = packed.groupBy("bin", "capacity").agg(F.sum("size").alias("held"))
+    smaller = F.array_max(F.filter(F.array(F.lit(0), *(F.lit(c) for c in caps)), lambda c: c < F.col("capacity")))
+    of_bins = bins.agg(F.count_if(F.col("held") > F.col("capacity")).alias("n_overfull"), F.count_if(F.col("held") <= smaller).alias("n_too_large"), (F.sum("held") / F.sum("capacity") >= 0.95).alias("well_filled"))
+    items = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    of_items = items.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_pieces"), F.sum("size").alias("total"), F.count_if(F.col("n") > 1).alias("n_cut"))
+    return of_items.join(F.broadcast(of_bins))
+
+
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The mixes of texts sized in characters: attainable shares, and whether each source misses its own by no more than
+    its longest text and uses no text more than ``max_repeats`` times."""
+    sized, targets = _in_characters(spark, d, "source"), read(spark, d, "mix_targets")
+    mixed = Workspace(spark, "mixed").write(mixing.mix(sized, targets))
+    used = mixed.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("used"), F.max("copy").alias("copies_used"))
+    longest = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    met = mixing.expected_copies(sized, targets).join(longest, "source").join(used, ["mix_name", "source"], "left")
+    return met.select("mix_name", "source", F.round("attainable", 6).alias("attainable_share"), F.round("amount", 2).alias("amount"), (F.abs(F.coalesce("used", F.lit(0)) - F.col("amount")) <= F.col("longest")).alias("within_one"), (F.coalesce("copies_used", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
     """The documents of every mix, one row for each time a document is used."""
     return mixing.mix(_sized(spark, d, "source"), read(spark, d, "mix_targets"))
@@ -115,7 +144,7 @@ def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual shares of all mixes."""
     sized, targets = _sized(spark, d, "source"), read(spark, d, "mix_targets")
-    return mixing.mix_report(mixing.mix(sized, targets), sized, targets).withColumn("actual_share", F.round("actual_share", 6))
+    return mixing.mix_report(mixing.mix(sized, targets), sized, targets).withColumn("actual_share", F.round("actual_share", 6)).withColumn("attainable_share", F.round("attainable_share", 6))
 
 
 
@@ -131,7 +160,7 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
     return found.join(docs, "doc_id").groupBy("source", "reason").agg(F.count("*").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_described, p4_found, p4_links, p6_found, p6_neighbours, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p3_found, p3_described, p4_found, p4_links, p6_found, p6_neighbours, p7_packed, p7_fill, p7_checked, p8_mixed, p8_shares, p8_checked, p9_found, p9_reasons)}
 
 _GROUPS = """RECURSIVE e AS (
   SELECT db_id1 AS a, db_id2 AS b FROM pair_metadata WHERE similarity >= 0.94 AND NOT isnan(similarity) AND db_id1 <> db_id2
@@ -156,6 +185,19 @@ SQL = {
     "p1_group_sizes": f"WITH {_GROUPS}, g AS (SELECT min(seen) AS group_id, db_id FROM r GROUP BY db_id) SELECT group_id, count(*) AS n_silos FROM g GROUP BY 1",
     "p3_found": f"WITH {_NEAR} SELECT cluster_id, db_id FROM k",
     "p4_found": f"WITH {_SETS} SELECT x AS db_id1, y AS db_id2 FROM j",
+    "p3_described": f"""WITH {_NEAR}, s AS (SELECT db_id, avg(dim_0) AS x, avg(dim_1) AS y FROM cluster_assignments WHERE dim_0 IS NOT NULL AND dim_1 IS NOT NULL GROUP BY 1),
+m AS (SELECT k.*, s.x, s.y, count(*) OVER w AS size, avg(s.x) OVER w AS cx, avg(s.y) OVER w AS cy FROM k JOIN s USING (db_id) WINDOW w AS (PARTITION BY cluster_id)),
+t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(sqrt((x - cx) ** 2 + (y - cy) ** 2), 9), db_id) AS r FROM m)
+SELECT cluster_id, size, round(cx, 4) AS centre_0, round(cy, 4) AS centre_1, string_agg(CAST(db_id AS VARCHAR), ',' ORDER BY r) AS typical FROM t WHERE r <= 5 GROUP BY 1, 2, 3, 4""",
+    "p4_links": f"""WITH {_SETS}, q AS (SELECT x, y FROM i JOIN l p ON p.db_id = x JOIN l r ON r.db_id = y WHERE i.n = p.len AND i.n = r.len), c AS (SELECT y AS db_id, min(x) AS class_id FROM q GROUP BY 1),
+k AS (SELECT db_id, count(*) AS n FROM (SELECT x AS db_id FROM j UNION ALL SELECT y FROM j) GROUP BY 1)
+SELECT l.db_id, coalesce(c.class_id, l.db_id) AS class_id, coalesce(k.n, 0) AS n_similar FROM l LEFT JOIN c ON c.db_id = l.db_id LEFT JOIN k ON k.db_id = l.db_id""",
+    "p7_checked": """WITH d AS (SELECT length(text) AS n FROM documents WHERE length(text) > 0), m AS (SELECT max(capacity_tokens) AS most FROM pack_specs WHERE capacity_tokens > 0)
+SELECT count(*) AS n_items, CAST(sum(ceil(n / most)) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > most) AS n_cut, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_too_large, true AS well_filled FROM d, m""",
+    "p8_checked": """WITH h AS (SELECT source, sum(length(text)) AS held FROM documents WHERE length(text) > 0 AND source IS NOT NULL GROUP BY 1),
+p AS (SELECT mix_name, source, target_share / sum(target_share) OVER (PARTITION BY mix_name) AS share, max_repeats * held AS most FROM mix_targets JOIN h USING (source) WHERE target_share > 0 AND max_repeats > 0),
+w AS (SELECT *, min(most / share) OVER (PARTITION BY mix_name) AS whole FROM p)
+SELECT mix_name, source, round(share, 6) AS attainable_share, round(least(share * whole, most), 2) AS amount, true AS within_one, true AS within_repeats FROM w""",
     "p6_found": """WITH v AS (SELECT DISTINCT db_id, CAST(embedding AS DOUBLE[]) AS e FROM database_embeddings WHERE len(embedding) = 64
   AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 c AS (SELECT a.db_id AS q, b.db_id AS s, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.db_id <> b.db_id),

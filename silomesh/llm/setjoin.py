@@ -8,8 +8,10 @@ answered by every similar s, because a segment with u units would otherwise hold
 rare: the expected number of answers of a segment follows from the frequencies of its tokens.  Candidates are then
 verified exactly, over chunks of their sets when these are long.
 
-Tokens are 64-bit hashes of names.  Equal sets are joined once, through their least record.  Records and tokens that are
-null are left out, repeated tokens count once, a record without tokens has no pairs and an empty table gives none.
+Tokens are 64-bit hashes of names; ``hashed_names`` makes them with a seed under which no two names share a hash, so
+comparing hashes is comparing names.  Equal sets are found by a print, compared whole and joined once, through their least
+record.  Records and tokens that are null are left out, repeated tokens count once, a record without tokens has no pairs and
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -143,6 +145,25 @@ def _pack(rows: DataFrame, t: float) -> DataFrame:
     return cut.withColumn("chunk", F.pmod("h", F.col("of")).cast("int")).groupBy("rec", "len", "of", "chunk").agg(F.collect_list("h").alias("hs"))
 
 
+def hashed_names(names: DataFrame) -> DataFrame:
+    """(rec, h) of (rec, name): tokens for ``similar_sets``, by the first seed that gives all names different hashes."""
+    held = names.filter("rec is not null and name is not null")
+    for seed in range(8):
+        h = F.xxhash64(F.lit(seed), "name")
+        if held.select(h.alias("h"), "name").groupBy("h").agg((F.min("name") != F.max("name")).alias("shared")).filter("shared").isEmpty():
+            return held.select("rec", h.alias("h"))
+    raise RuntimeError("names share hashes under every seed")
+
+
+def _equal_sets(packed: DataFrame, alike: DataFrame) -> DataFrame:
+    """The rows (rec, rep, len) of ``alike`` whose sets are equal, chunk by chunk."""
+    one = packed.select("rec", "of", "chunk", F.array_sort("hs").alias("own"))
+    other = packed.select(F.col("rec").alias("rep"), "of", "chunk", F.array_sort("hs").alias("theirs"))
+    met = alike.join(one, "rec").join(other, ["rep", "of", "chunk"])
+    by = met.groupBy("rec", "rep", "len").agg(F.bool_and(F.col("own") == F.col("theirs")).alias("same"), F.sum(F.size("own")).alias("held"), F.count_distinct("of").alias("cuts"))
+    return by.filter(F.col("same") & (F.col("held") == F.col("len") * F.col("cuts"))).select("rec", "rep")
+
+
 def similar_sets(tokens: DataFrame, t: float = 0.7, rare_share: float = 0.002, heavy_share: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of representatives with |intersection| / |union| >= ``t``, and the membership (rec, rep) of all records.
 
@@ -164,8 +185,9 @@ def similar_sets(tokens: DataFrame, t: float = 0.7, rare_share: float = 0.002, h
     n, longest = sets.agg(F.count("*"), F.coalesce(F.max("len"), F.lit(1))).first()
     bounds = length_classes(t, longest)
     classes = sets.groupBy("len", "x", "y").agg(F.min("rec").alias("rep"), F.count("*").alias("n"))
-    members = sets.join(classes, ["len", "x", "y"]).select("rec", "rep")
-    alike = sets.join(classes.filter("n > 1"), ["len", "x", "y"]).filter("rec <> rep").select("rec")
+    same_print = sets.join(classes.filter("n > 1"), ["len", "x", "y"]).filter("rec <> rep").select("rec", "rep", "len")
+    alike = work.write(_equal_sets(packed, same_print))
+    members = sets.select("rec").join(alike, "rec", "left").select("rec", F.coalesce("rep", "rec").alias("rep"))
     reps = packed.join(alike, "rec", "left_anti")
     often = packed.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= max(2, rare_share * n)).orderBy("h").toPandas()
     schemes = spark.sparkContext.broadcast(Schemes(t, bounds, max(rare_share, 2 / max(n, 1)), often["h"].to_numpy("int64"), np.minimum(often["df"].to_numpy("float64") / max(n, 1), 1.0)))

@@ -36,7 +36,7 @@ def token_count(text: Column | str, path: str = VOCABULARY) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(path)
         for texts in batches:
-            yield pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([len(found) for found in enc.encode_ordinary_batch([t or "" for t in texts], num_threads=1)], dtype="int64")
 
     return count(F.col(text) if isinstance(text, str) else text)
 

@@ -83,6 +83,17 @@ def test_near_miss_between_dense_spots(spark):
     assert {tuple(r) for r in clusters.step_clusters(df, "db", "x", "y", 1.0, 5, k=2).collect()} == brute_steps(left + right, 1.0, 5)
 
 
+def test_cells_only_divide_the_work(spark):
+    g = random.Random(9)
+    pts = [(i, g.uniform(0, 40), g.uniform(0, 40)) for i in range(1200)] + [(2000 + i, 100 + g.gauss(0, 0.3), g.gauss(0, 0.3)) for i in range(400)]
+    df = spark.createDataFrame(pts, "db long, x double, y double")
+    want = brute_steps(pts, 1.0, 5)
+    for k in (1, 9):
+        assert {tuple(r) for r in clusters.step_clusters(df, "db", "x", "y", 1.0, 5, k=k).collect()} == want
+    lo = np.array([[0.0, 0.0]])
+    assert clusters._gaps(lo, lo + 1, lo + 3, lo + 4)[0] == 8.0
+
+
 def test_kmeans_finds_separate_clouds(spark):
     g = np.random.default_rng(0)
     x = np.concatenate([g.normal(c, 0.2, (60, 2)) for c in ((0, 0), (5, 5), (0, 5))])

@@ -63,7 +63,7 @@ def test_shared_queue_opens_the_own_leaves_first():
 
 def test_positions_are_dense(spark):
     df = spark.range(1000).select((F.col("id") % 2 == 0).alias("g"), "id").unionByName(spark.range(1000, 1300).select(F.lit(True), "id").toDF("g", "id"))
-    got = ranks.positions(df, ["g"], ["id"], F.xxhash64("id"), 7)
+    got = ranks.positions(df, ["g"], ["id"], ranks.hash_slice(F.col("id"), 7))
     for flag, n in ((True, 800), (False, 500)):
         assert sorted(r.pos for r in got.filter(F.col("g") == flag).collect()) == list(range(n))
 
@@ -127,8 +127,10 @@ def test_mixing_shares_and_caps(spark):
     sized, t = spark.createDataFrame(docs, SIZED), spark.createDataFrame(targets, TARGETS)
     got = mixing.mix(sized, t)
     copies = {r["source"]: r["count"] for r in got.filter("mix_name = 'm'").groupBy("source").count().collect()}
-    total = 9000 + 2000 + 50
+    total = 3 * 50 / 0.1  # the tiny source at its limit
     assert abs(copies["big"] - 0.5 * total / 10) <= 1 and abs(copies["mid"] - 0.4 * total / 20) <= 1 and copies["tiny"] == 30
+    large = {r["source"]: r["count"] for r in mixing.mix(sized, t, 20000).filter("mix_name = 'm'").groupBy("source").count().collect()}
+    assert abs(large["big"] - 1000) <= 1 and abs(large["mid"] - 400) <= 1 and large["tiny"] == 30
     most = got.groupBy("mix_name", "source", "doc_id").count().groupBy("source").agg(F.max("count").alias("m"), F.min("count").alias("l"))
     assert {r["source"]: r.m for r in most.collect()}["tiny"] == 3 and all(r.m <= 5 for r in most.collect())
     rep = {(r.mix_name, r["source"]): r for r in mixing.mix_report(got, sized, t).collect()}
@@ -137,6 +139,35 @@ def test_mixing_shares_and_caps(spark):
     assert mixing.mix(sized.limit(0), t).count() == 0 and mixing.mix(sized, t.limit(0)).count() == 0
 
 
+def test_tokens_of_a_source_miss_their_share_by_one_document(spark):
+    g = np.random.default_rng(4)
+    size = lambda: int(np.clip(g.lognormal(4, 2), 1, 40000))
+    docs = [(i, "abc"[i % 3] if i % 7 else "d", size()) for i in range(3000)]
+    t = spark.createDataFrame([("m", "a", 0.07, 4), ("m", "b", 0.5, 4), ("m", "c", 0.23, 1), ("m", "d", 0.1, 2), ("m", "none", 0.1, 2)], TARGETS)
+    sized = spark.createDataFrame(docs, SIZED)
+    plan = {r["source"]: r for r in mixing.expected_copies(sized, t).collect()}
+    used = {r["source"]: r for r in mixing.mix_report(mixing.mix(sized, t), sized, t).collect()}
+    longest = {s: max(n for _, x, n in docs if x == s) for s in "abcd"}
+    for s in "abcd":
+        assert abs(used[s].n_tokens - plan[s].amount) <= longest[s]
+        assert plan[s].attainable == pytest.approx({"a": 0.07, "b": 0.5, "c": 0.23, "d": 0.1}[s] / 0.9)
+    assert used["none"].actual_share == 0 and sum(r.at_limit for r in used.values() if r["source"] != "none") == 1
+
+
+def test_leaves_split_on_where_the_sample_ends(spark):
+    v = clouds(1500, 16, 6)
+    df = spark.createDataFrame(list(v.items()), "db long, e array<float>")
+    near, _ = forest.neighbours(df, "db", "e", dims=16, k=5, least=0.85, leaf=32, trees=8, extra=8, sample=40)
+    got = {tuple(sorted((r.q, r.s))) for r in near.collect()}
+    want = brute_near(v, 5, 0.85)
+    assert len(got & want) / len(want) >= 0.95 and len(got - want) / len(got) <= 0.05
+    x = np.random.default_rng(1).normal(size=(700, 4))
+    parts = list(forest.split_leaf(x, x[:50], 64, np.random.default_rng(0)))
+    assert max(len(m) for m, _ in parts) <= 64 and {int(i) for _, q in parts for i in q} == set(range(50))
+    same = list(forest.split_leaf(np.ones((300, 4)), np.ones((9, 4)), 64, np.random.default_rng(0)))
+    assert all(len(m) <= 64 for m, _ in same)
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",), ("word " * 20000,)], "text string")
     got = [r[0] for r in df.select(tokens.token_count("text")).collect()]
