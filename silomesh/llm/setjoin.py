@@ -147,7 +147,7 @@ def _pack(rows: DataFrame, t: float) -> DataFrame:
 
 def hashed_names(names: DataFrame) -> DataFrame:
     """(rec, h) of (rec, name): tokens for ``similar_sets``, by the first seed that gives all names different hashes."""
-    held = names.filter("rec is not null and name is not null")
+    held = Workspace(names.sparkSession, "names").write(names.filter("rec is not null and name is not null").select("rec", "name"))
     for seed in range(8):
         h = F.xxhash64(F.lit(seed), "name")
         if held.select(h.alias("h"), "name").groupBy("h").agg((F.min("name") != F.max("name")).alias("shared")).filter("shared").isEmpty():
