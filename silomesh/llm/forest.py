@@ -155,10 +155,13 @@ def neighbours(df: DataFrame, rec: str, vector: str, dims: int = 64, k: int = 5,
     that are within ``tie`` of the k-th, and the cosine is at least ``least``.  Copies of q itself fill ranks first.
     """
     work = Workspace(df.sparkSession, "forest")
-    held = work.write(vector_classes(df, rec, vector, dims))
-    groups = held.groupBy("v").agg(F.min("rec").alias("rep"), F.count("*").alias("n"))
+    prints = [f(F.col("v")).alias(n) for f, n in ((lambda v: F.xxhash64(v), "p1"), (lambda v: F.hash(v), "p2"))]
+    held = work.write(vector_classes(df, rec, vector, dims).select("rec", "v", *prints))
+    groups = work.write(held.groupBy("p1", "p2", "v").agg(F.min("rec").alias("rep"), F.count("*").alias("n")))
     packed = work.write(groups.select("rep", "n", "v").mapInPandas(_as_bytes, "rep long, n long, v binary"))
-    members = held.join(groups, "v").select("rec", "rep", "n")
+    h, g = held.alias("h"), groups.alias("g")  # sorted by their prints, compared whole
+    same = (F.col("h.p1") == F.col("g.p1")) & (F.col("h.p2") == F.col("g.p2")) & (F.col("h.v") == F.col("g.v"))
+    members = work.write(h.join(g, same).select("rec", "rep", "n"))
     count = packed.count()
     if not count:
         return packed.select(F.col("rep").alias("q"), F.col("rep").alias("s"), F.lit(0.0).alias("cosine")), members
