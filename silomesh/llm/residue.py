@@ -1,12 +1,23 @@
 """Template residue and error-page text.
 
-Texts are cut into segments (lines, sentences, menu items) whose variable parts are masked.  Message templates are mined
-from the distinct masked segments by a prefix tree of fixed depth: the number of words and the first words of a segment
-lead to a leaf, and within a leaf a segment joins the first template that agrees with it in enough words.  Each template is
-classified once; its verdict holds for all its segments.  A text is a case if a segment is filler, if an unresolved slot is
-found in it, or if it has an error message or script notice and otherwise only titles, menus and foot lines.
-
-Null and blank texts are no cases, repeated texts are judged alike, an empty table has no cases, other columns are dropped.
+Texts are cut into segments (lines, sentences, menu items) whose slots, names, numbers and codes are masked.  Message
+templates are mined from the distinct masked segments by a prefix tree of fixed depth: the number of words and the first
+words of a segment lead to a leaf, and within a leaf a segment joins the first template that agrees with it in enough words.
+A leaf is mined in parts, whose templates are then mined together, so it is no larger for one task when there is more text.
+
+Each template is classified once, from two kinds of evidence, and its verdict holds for all its segments:
+
+* what it says: general vocabulary of errors, script notices and filler, and the form of titles and menu items, suggest a
+  class;
+* where it stands: over all documents, how often it is part of a page that says little else.  A suggested message that mostly
+  stands among ordinary sentences writes about errors and is content; a sentence of any wording that mostly stands on pages
+  of messages is a foot line or a message itself; a sentence that mostly stands beside filler is filler, and filler that
+  stands alone among ordinary sentences is a remark about filler.  A sentence that always has a slot in the same
+  place talks about slots, while a slot where other records have a value is unresolved.
+
+A text is a case if a slot of an ordinary template is unresolved in it, if it has filler, or if it has a message and
+otherwise only titles, menus and foot lines.  Null and blank texts are no cases, repeated texts are judged alike, an empty
+table has no cases, other columns are dropped.
 """
 
 from __future__ import annotations
@@ -16,25 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silomesh.llm.slots import FILLER_HINTS, FILLER_RE, slot
+from silomesh.llm.slots import MASK, mask_slots
 from silomesh.runtime import Workspace
 
 DEPTH = 3  # words of a segment that lead to its leaf
 AGREE = 0.75  # share of words in which a segment agrees with its template
-SLICE = 2000  # distinct segments of a leaf that one group holds
-
-#: Items of menus, foot lines and what a portal adds to a title.
-MENU = (
-    "home|help|about|downloads?|tables|graph|search|sign in|log in|start|hilfe|anmelden|suche|tabellen|über|über uns|startseite|impressum|accueil|aide|connexion|graphe|recherche|à propos|"
-    "téléchargements|inicio|ayuda|entrar|buscar|grafo|tablas|descargas|acerca de|silo portal|data card|loading"
-).split("|")
+PART = 2000  # distinct segments of a leaf that are mined together before their templates are
+SPREAD = 4  # documents that a template must stand in to be judged by where it stands alone
+PAGE = 0.4  # share of a page's segments, titles left out, that suggest a message
+MOSTLY = 0.5  # share of a template's documents that decides
+TALK = 6  # words of its own that a sentence about slots has
+STYLES = 3  # styles of markers in which a name stands unresolved if it is a field
+
+#: Foot lines in general use, by language.
 FOOT = [
-    r"back to the (?:start|home) ?page", r"contact the help desk", r"all rights with\b.*", r"we use cookies\b.*", r"zur startseite", r"retour à l.accueil", r"volver al inicio", r"(?:please )?try again(?: later)?", r"(?:bitte )?versuchen sie es später(?: noch einmal| erneut)?", r"(?:veuillez )?réessaye[rz] plus tard", r"(?:por favor,? )?(?:inténtelo|intente|vuelva a intentarlo)(?: de nuevo)? más tarde", r"go back or use the menu",
-    r"our team has been told", r"reload the page or come back later", r"reference:? [\w<>]+", r"kennung [\w<>]+", r"code [\w<>]+", r"código [\w<>]+", r"it may have been moved or deleted", r"wait a few minutes and retry", r"cardserver/.*", r"loading\W*", r"please wait\W*",
-    r"(?:wir verwenden|dieses portal verwendet) cookies\b.*", r"(?:nous utilisons|ce site utilise) des cookies\b.*", r"(?:usamos|utilizamos) cookies\b.*", r"alle rechte\b.*", r"tous droits\b.*", r"todos los derechos\b.*", r"hilfe anfordern", r"contacter l'aide", r"contactar con la ayuda",
+    r"(?:please )?try again(?: later)?", r"back to\b.*", r"contact\b.*", r"all rights\b.*", r".*\bcookies\b.*", r"please wait\W*", r"loading\W*", r"(?:reference|code|error code):? [\w<>]+", r"zur(?:ück)?\b.*", r"alle rechte\b.*", r"(?:bitte )?versuchen sie es später\b.*", r"kennung:? [\w<>]+",
+    r"retour\b.*", r"tous droits\b.*", r"(?:veuillez )?réessaye[rz]\b.*", r"volver\b.*", r"todos los derechos\b.*", r"(?:por favor,? )?(?:inténtelo|intente|vuelva a intentarlo)\b.*", r"código:? [\w<>]+",
 ]
 
 _SCRIPT = r"(?:java ?scripts?|ecma ?script|js|(?:active |browser )?script(?:s|ing| support|e)?|active content|aktive inhalte|skripte?)"
@@ -55,6 +66,16 @@ MESSAGES = [
     rf"\b{_SCRIPT}\b.*\b(?:desactivad|activad|necesari|permitid)\w*\b|\b(?:necesita|activar|active|activa|sin|permita|habilite|requiere|habilitar)\b.*\b{_SCRIPT}\b",
 ]
 
+#: Words for filler, by language, and what a sentence says that is filler.
+_WORDS = r"(?:placeholder|dummy|filler|mock|sample|example|stand-?in|temporary)"
+FILLER = [
+    rf"\b{_WORDS} (?:text|content|wording|paragraph|copy|section|words)\b", r"\bis (?:only |just )?(?:a )?(?:placeholder|dummy|filler|mock|stand-?in|made up)\b", r"\bstands? in for\b", r"\bfills? (?:up )?(?:the )?(?:space|room)\b|\btakes? up (?:the )?(?:space|room)\b",
+    r"\b(?:swapped|replaced?|changed|exchanged)\b.{0,}\b(?:real|true|final|actual)\b", r"\byour (?:text|content)\b.{0,}\bhere\b", r"\b(?:text|content|summary|description) (?:goes|comes|follows) here\b", r"\bwrite something\b", r"\bsome filler\b", r"\breplace this\b",
+    r"\b(?:blind|füll|platzhalter|beispiel|muster)text\b", r"\bplatzhalter\b", r"\bdient nur dem layout\b", r"\bhier steht später\b",
+    r"\btexto (?:de (?:relleno|prueba|ejemplo)|provisional|ficticio)\b", r"\bpárrafo (?:de (?:muestra|relleno|prueba)|provisional)\b", r"\baquí irá\b",
+    r"\b(?:texte|paragraphe|contenu) (?:provisoire|factice|de remplissage|d'exemple)\b", r"\bviendra plus tard\b",
+]
+
 #: Parts of which every message holds one; a template without any is not tried against the patterns.
 MESSAGE_HINTS = (
     "http", "error", "fehler", "erreur", "page", "not ", "bad", "service", "internal", "gateway", "gone", "forbidden", "unauthori", "unavailable", "too ", "request", "seite", "página", "denied", "required", "offline", "again", "could not", "overloaded", "problem",
@@ -63,74 +84,55 @@ MESSAGE_HINTS = (
     "acceso", "sobrecarg", "demasiadas", "sesión", "salió", "mantenimiento", "produjo", "script", "js", "active content", "aktive inhalte", "browser", "starten", "démarrer", "no se ", "not\t", "time-out", "timeout", "no carg", "no mostr",
 )
 
-#: Sentences that write about errors and scripts.
-ABOUT = [
-    r"\bwas the title of\b", r"\bis one of the\b", r"\blists web replies\b", r"\banswered with error\b", r"\bviewer is written in\b", r"\bone reader asked\b", r"\bavant l'apprentissage\b", r"\bvor dem training\b", r"\bantes del entrenamiento\b", r"\bsecond run fetched\b", r"\bis empty in\b", r"\bsteward\b", r"\bpercent\b", r"\brows?\b", r"\bloader\b", r"\bcolumns?\b(?! report| list)", r"\blabel\b",
-    r"\blicen[cs]e\b", r"\bskipped\b", r"\bretry \w+ of\b", r"^\W*<TIME>", r"\bdistinct\b", r"\bSamples?\b",
-]
-
 _TAGS = re.compile(r"<hr>\s*<center>[^<]*</center>|</?(?:html|head|title|body|h[1-6]|noscript|center|hr|p|div|br|span|main|section)\b[^<>]*>", re.I)
+#: Words that begin a sentence after a menu or a title that has no end mark.
 _STARTERS = (
     "The|This|That|Your|You|An|A|We|We're|HTTP|Error|Request|Please|To|For|Before|Access|Back|Contact|All|Oops|Sorry|Too|Forbidden|Checking|Loading|Table preview|It|Page|Scripts?|Our|"
     "Die|Der|Das|Dieser?|Ihre?|Leider|Ein|Eine|Fehler|Seite nicht|Interner|Zugriff|Zur|Um|Bitte|Ohne|Zu|"
     "La|Le|Les|Cette|Ce|Votre|Une|Un|Erreur|Accès|Retour|Pour|Veuillez|Sans|El|Esta|Este|Su|Se|Página|Acceso|Volver|Para|Por|Sin|Demasiadas|Trop"
 )
-_START = re.compile(rf"(?<=[\w)!?.]) (?=(?:{_STARTERS}) )")
-_CUT = re.compile(r"(?<=[.!?…])\s+| [|·>»•] | - (?=data card)")
-_STRUCT = re.compile(r"^\s*-?\s*(Table|Column|Database Name):.*$|^(\s*-.*Samples: \[).*$", re.S)
-_TIME = re.compile(r"^\d\d:\d\d(?::\d\d)?\b")
+_START = re.compile(rf"(?<=[\w)!?.>]) (?=(?:{_STARTERS}) )|(?<=^[#=] <ID>) (?=[A-ZÀ-Ý])|(?<=^== <ID>) (?=[A-ZÀ-Ý])")
+_CUT = re.compile(r"\n|\s+(?=##+ |== )|(?<=[.!?…])\s+| [|·>»•] | - (?=data card)")
+_TIME = re.compile(r"^\s*\d\d:\d\d(?::\d\d)?\b", re.M)
 _ID = re.compile(r"\b\w+_\w+\b|\b(?:[A-Z]?[a-z]+[A-Z]\w*)\b|\b\w+(?:\.\w+)+\b|\b\w+-\w+(?:-\w+)+\b")
 _JS = re.compile(r"(?i)\b(?:java ?script|ecma ?script)\b")
 _NUM = re.compile(r"\b(?=\w*\d)[0-9a-fA-F]{6,}\b|\d+(?:[.,:]\d+)*")
-_ITEMS = re.compile(r"(?<!\w)(?:" + "|".join(sorted(MENU, key=len, reverse=True)) + r")(?!\w)")
 _FOOT = re.compile(r"\W*(?:" + "|".join(FOOT) + r")\W*", re.I)
-_MESSAGE, _ABOUT = re.compile("|".join(MESSAGES), re.I), re.compile("|".join(ABOUT), re.I)
-_TITLE = re.compile(r"^[#=*\s]*(?:<ID>|[^\W\d_][\w'’-]*(?: [^\W\d_][\w'’-]*){0,3})[:\s]*$")
+_MESSAGE, _FILLER = re.compile("|".join(MESSAGES), re.I), re.compile("|".join(FILLER), re.I)
+_TITLE = re.compile(r"^[#=*\s]*(?:<ID>|<N>|[^\W\d_][\w'’-]*)(?: (?:<ID>|<N>|[^\W\d_][\w'’-]*)){0,3}(?:[:\s]*|\.{3}|…)$")
 
 
 def segments(text: str) -> list[str]:
     """The masked segments of a text, in order."""
-    out = []
-    for line in _TAGS.sub("\n", text).split("\n"):
-        if not line.strip():
-            continue
-        if m := _STRUCT.match(line):
-            out.append(m.group(1) or "- <ID>, Samples: <LIST>")
-            continue
-        if _TIME.match(line):
-            out.append("<TIME> " + " ".join(mask(_TIME.sub("", line)).split()[:3]))
-            continue
-        for piece in _CUT.split(line):
-            out.extend(m for s in _START.split(piece) if (m := mask(s)))
-    return out
-
-
-def mask(segment: str) -> str:
-    """The segment with its names, numbers and codes replaced."""
-    s = _JS.sub("javascript", segment)
-    return " ".join(_NUM.sub("<N>", _ID.sub("<ID>", s)).split())
+    s = _TIME.sub("<TIME>", text)
+    if "cript" in s or "CRIPT" in s:
+        s = _JS.sub("javascript", s)
+    if "<" in s:
+        s = _TAGS.sub("\n", s)
+    s = _NUM.sub("<N>", _ID.sub("<ID>", s))
+    return [m for piece in _CUT.split(s) for part in _START.split(piece) if (m := " ".join(part.split()))]
 
 
 def classify(template: str) -> str:
-    """The verdict of one template: message, frame (title, menu, foot line), filler or content."""
+    """The class that the words of a template suggest: message, frame (title, menu item, foot line), filler or content.
+
+    A line of a log, which begins with a time, and a slot in words are content.
+    """
     t = template.strip()
-    rest = _ITEMS.sub(" ", re.sub(r"<\w+>", " ", t.lower())) if len(t) < 200 else t
-    if not re.search(r"\w", rest) or _FOOT.fullmatch(t):
+    if not re.search(r"\w", re.sub(r"<[\w*]+>", " ", t)):
         return "frame"
+    if t.startswith("<TIME>"):
+        return "content"
     low = t.lower()
-    if any(h in low for h in FILLER_HINTS) and FILLER_RE.search(t):
+    if _FILLER.search(low):
         return "filler"
-    if any(h in low for h in MESSAGE_HINTS) and not _ABOUT.search(t) and _MESSAGE.search(t):
+    if _FOOT.fullmatch(t):
+        return "frame"
+    if any(h in low for h in MESSAGE_HINTS) and _MESSAGE.search(t):
         return "message"
     return "frame" if _TITLE.match(t) else "content"
 
 
-def leaf_of(masked: str) -> tuple[int, str]:
-    """The path of a segment through the prefix tree: its length, then its first words, masked ones as one branch."""
-    words = masked.split()
-    return len(words), " ".join("<*>" if w.startswith("<") else w for w in words[:DEPTH])
-
-
 def mine_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
     """(masked, template) for the distinct masked segments of one leaf, the most frequent first."""
     pdf = pdf.sort_values(["n", "masked"], ascending=[False, True])
@@ -153,15 +155,15 @@ def mine_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         shapes = np.vstack([shapes, row])
         seen.append(words[i])
     texts = [" ".join(w if s else "<*>" for w, s in zip(ws, shape)) for ws, shape in zip(seen, shapes)]
-    return pd.DataFrame({"masked": pdf["masked"].to_numpy(), "template": [texts[k] for k in of], "example": [" ".join(seen[k]) for k in of]})
+    return pd.DataFrame({"masked": pdf["masked"].to_numpy(), "template": [texts[k] for k in of]})
 
 
 def mine_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """``mine_leaf`` of each leaf of a bucket; a segment that is alone in its leaf is its own template."""
+    """``mine_leaf`` of each leaf part of a bucket; a segment that is alone in its part is its own template."""
     leaf = pdf.groupby(["size", "head", "part"], sort=False).ngroup().to_numpy()
     alone = np.bincount(leaf)[leaf] == 1
     single = pdf.loc[alone, "masked"]
-    parts = [pd.DataFrame({"masked": single, "template": single, "example": single})]
+    parts = [pd.DataFrame({"masked": single, "template": single})]
     rest, of = pdf.loc[~alone, ["masked", "n"]], leaf[~alone]
     order = np.argsort(of, kind="stable")
     ends = np.flatnonzero(np.diff(of[order])) + 1
@@ -169,47 +171,87 @@ def mine_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def mine_templates(distinct: DataFrame, bucket: int = 20_000) -> DataFrame:
-    """(masked, template, example) of distinct segments (masked, n).
+def _leaf(df: DataFrame) -> DataFrame:
+    """``df`` with the path of ``masked`` through the prefix tree: its length and first words, masked ones as one branch."""
+    words = F.split("masked", " ")
+    head = F.array_join(F.transform(F.slice(words, 1, DEPTH), lambda w: F.when(w.startswith("<"), "<*>").otherwise(w)), " ")
+    return df.withColumns({"size": F.size(words), "head": head})
 
-    A leaf with many segments is mined in slices, and leaves are worked on in buckets of about ``bucket`` segments, so a
-    group is neither too large nor one of very many.
-    """
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            paths = [leaf_of(m) for m in b["masked"]]
-            yield b.assign(size=[p[0] for p in paths], head=[p[1] for p in paths])
+def _mined(df: DataFrame, buckets: int) -> DataFrame:
+    held = df.select(F.pmod(F.xxhash64("size", "head", "part"), F.lit(buckets)).alias("bucket"), "size", "head", "part", "masked", "n")
+    return held.groupBy("bucket").applyInPandas(mine_bucket, "masked string, template string")
+
+
+def mine_templates(work: Workspace, distinct: DataFrame, bucket: int = 20_000) -> DataFrame:
+    """(masked, template) of distinct segments (masked, n); the leaves are worked on in buckets of about ``bucket`` segments."""
+    placed = _leaf(distinct)
+    crowded = placed.groupBy("size", "head").agg(F.count("*").alias("held")).filter(f"held > {PART}")
+    cut = placed.join(crowded, ["size", "head"], "left").withColumn("part", F.pmod(F.xxhash64("masked"), F.coalesce(F.ceil(F.col("held") / PART), F.lit(1))).cast("int"))
+    first = work.write(_mined(cut, max(1, -(-distinct.count() // bucket))))
+    shapes = first.join(distinct, "masked").groupBy(F.col("template").alias("masked")).agg(F.sum("n").alias("n"))
+    shapes = work.write(_leaf(shapes).withColumn("part", F.lit(0)))
+    second = _mined(shapes, max(1, -(-shapes.count() // bucket)))
+    return first.join(second.select(F.col("masked").alias("template"), F.col("template").alias("whole")), "template").select("masked", F.col("whole").alias("template"))
 
-    placed = distinct.mapInPandas(place, "masked string, n long, size int, head string")
-    crowded = placed.groupBy("size", "head").agg(F.count("*").alias("held")).filter(f"held > {SLICE}")
-    cut = placed.join(crowded, ["size", "head"], "left").withColumn("part", F.pmod(F.xxhash64("masked"), F.coalesce(F.ceil(F.col("held") / SLICE), F.lit(1))).cast("int"))
-    n_buckets = max(1, -(-distinct.count() // bucket))
-    held = cut.select(F.pmod(F.xxhash64("size", "head", "part"), F.lit(n_buckets)).alias("bucket"), "size", "head", "part", "masked", "n")
-    return held.groupBy("bucket").applyInPandas(mine_bucket, "masked string, template string, example string")
+
+def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for t in b["txt"]:
+            masked, found, left = mask_slots(t)
+            rows.append((segments(masked), found, [{"name": n, "style": s} for n, s in left if n]))
+        yield pd.DataFrame({"doc": b["doc"], "segs": [r[0] for r in rows], "slot": [r[1] for r in rows], "markers": [r[2] for r in rows]})
+
+
+def template_evidence(seen: DataFrame) -> DataFrame:
+    """(template, n_docs, n_pages, n_slots, n_fillers) of (doc, template, suggested, has_slot) segments.
+
+    ``n_pages`` are the documents of a template that read like a page of messages, ``n_slots`` those that have a slot in
+    it, ``n_fillers`` those with another template that suggests filler.
+    """
+    of_doc = Window.partitionBy("doc")
+    once = seen.groupBy("doc", "template", "suggested").agg(F.max("has_slot").alias("has_slot"))
+    says = lambda c: F.sum((F.col("suggested") == c).cast("int")).over(of_doc)
+    told = once.withColumns({"messages": says("message"), "fillers": says("filler"), "plain": says("content")})
+    page = (F.col("messages") > 0) & (F.col("messages") >= PAGE * (F.col("messages") + F.col("plain")))
+    others = F.col("fillers") - (F.col("suggested") == "filler").cast("int")
+    return told.groupBy("template").agg(F.count("*").alias("n_docs"), F.count_if(page).alias("n_pages"), F.count_if("has_slot").alias("n_slots"), F.count_if(others > 0).alias("n_fillers"))
 
 
 def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, reason): texts with an unresolved slot or filler, and texts that are an error page or a script notice."""
     work = Workspace(documents.sparkSession, "residue")
     kind = dict(documents.dtypes)[doc]
-
-    def read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "slot": [slot(t) is not None for t in b["txt"]], "segs": [segments(t) for t in b["txt"]]})
-
     held = documents.filter(F.col(text).rlike(r"\S")).select(F.col(doc).alias("doc"), F.col(text).alias("txt"))
-    parsed = work.write(held.mapInPandas(read_texts, f"doc {kind}, slot boolean, segs array<string>"))
+    parsed = work.write(held.mapInPandas(_read_texts, f"doc {kind}, segs array<string>, slot boolean, markers array<struct<name:string,style:int>>"))
     words = work.write(parsed.select(F.explode("segs").alias("masked")).groupBy("masked").agg(F.count("*").alias("n")))
-    mined = work.write(mine_templates(words))
+    mined = work.write(mine_templates(work, words))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suggest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(verdict=[classify(e) for e in b["example"]])
-
-    shapes = mined.select("template", "example").distinct().mapInPandas(judge, "template string, example string, verdict string").filter("verdict <> 'content'")
-    verdicts = work.write(mined.join(shapes, ["template", "example"]).select("masked", "verdict").distinct())
-    seen = parsed.filter("not slot").select("doc", F.posexplode("segs").alias("pos", "masked")).join(verdicts, "masked", "left")
-    by_doc = seen.groupBy("doc").agg(F.count_if(F.col("verdict") == "message").alias("messages"), F.count_if(F.col("verdict") == "filler").alias("fillers"), F.count_if(F.col("verdict").isNull()).alias("contents"))
-    pages = by_doc.select("doc", F.when(F.col("fillers") > 0, "filler").when((F.col("messages") > 0) & (F.col("contents") == 0), "message").alias("reason")).filter("reason is not null")
-    return parsed.filter("slot").select("doc", F.lit("slot").alias("reason")).unionByName(pages).select(F.col("doc").alias(doc), "reason")
+            yield b.assign(suggested=[classify(e) for e in b["example"]])
+
+    shapes = mined.join(words, "masked").groupBy("template").agg(F.max_by("masked", F.struct("n", "masked")).alias("example"))
+    shapes = shapes.mapInPandas(suggest, "template string, example string, suggested string")
+    classes = work.write(mined.join(shapes, "template").select("masked", F.xxhash64("template").alias("template"), "suggested", F.col("masked").contains(MASK).alias("has_slot"), F.size(F.filter(F.split("masked", " "), lambda w: ~w.contains("<"))).alias("words")))
+    seen = work.write(parsed.select("doc", F.explode("segs").alias("masked")).join(classes, "masked").select("doc", "template", "suggested", "has_slot", "words"))
+    known = work.write(template_evidence(seen))
+
+    spread, mostly = F.col("n_docs") >= SPREAD, lambda c: F.col(c) >= MOSTLY * F.col("n_docs")
+    on_page, beside = mostly("n_pages"), mostly("n_fillers")
+    verdict = (
+        F.when(F.col("suggested") == "message", F.when(on_page, "message").otherwise("content"))
+        .when(F.col("suggested") == "filler", F.when(beside | ~spread | on_page, "filler").otherwise("content"))
+        .when(F.col("suggested") == "content", F.when(spread & beside, "filler").when(spread & on_page, "frame").otherwise("content"))
+        .otherwise("frame")
+    )
+    talk = (F.col("n_slots") == F.col("n_docs")) & spread & (F.col("words") >= TALK)
+    judged = seen.join(known, "template").select("doc", verdict.alias("verdict"), (F.col("has_slot") & ~talk).alias("slot"))
+    by_doc = judged.groupBy("doc").agg(F.count_if("slot").alias("slots"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("message", "filler", "content")))
+    reason = F.when(F.col("slots") > 0, "slot").when(F.col("filler") > 0, "filler").when((F.col("message") > 0) & (F.col("content") == 0), "message")
+    pages = by_doc.select("doc", reason.alias("reason")).filter("reason is not null")
+    markers = parsed.select("doc", F.inline("markers"))
+    fields = markers.groupBy("name").agg(F.count_distinct("style").alias("styles"), F.count_distinct("doc").alias("docs")).filter(f"styles >= {STYLES} and docs >= {SPREAD}")
+    named = markers.join(fields, "name").select("doc", F.lit("slot").alias("reason"))
+    return pages.unionByName(named).groupBy("doc").agg(F.max("reason").alias("reason")).select(F.col("doc").alias(doc), "reason")

@@ -1,10 +1,11 @@
-"""Unresolved template slots and filler inside ordinary records.
+"""Unresolved template slots and runs of dummy text.
 
 A slot is a marker whose content names a field of a card (``{{ owner }}``, ``%%title%%``), an instruction to a writer
-(``[Insert licence here]``, ``TODO: write owner``) or a blank that was never filled (``?????``).  Filler is dummy Latin, a
-word repeated over and over, keyboard rows, or a sentence that says that it is filler.  Markers in quotation marks or
-backticks are talked about, names that are no card field (``${BASE_DIR}``, ``{db_id}``) belong to code, and filler words
-in a data sample are data: none of them counts.
+(``[Insert licence here]``, ``TODO: write owner``), a blank that was never filled (``?????``), dummy Latin, a word repeated
+over and over, or keyboard rows.  Markers in quotation marks or backticks are talked about and don't count.  A marker whose
+content is no known field is left open: its name and style are told, as a name that stands unresolved in several styles of
+markers is a field, while a variable of code (``${BASE_DIR}``, ``{db_id}``) keeps the style of its language.  Markers of any
+length are read.
 """
 
 from __future__ import annotations
@@ -28,27 +29,7 @@ LATIN = (
 
 #: Keyboard rows and repeated dummy words.
 KEYS = "asdf asdasd sdfg fghj hjkl jkl; qwerty qwertz uiop zxcv yxcv aaaa".split()
-DUMMY = ["blah", "bla", "test", "dummy", "sample text", "text", "foo", "bar", "xyz", "lorem", "your text goes here", "filler"]
-
-#: Sentences that say that they are filler.
-FILLER = [
-    r"(?:this|the) (?:is|paragraph|box|part|text|wording|block|section|sentence|page|field)\b[^.!?\n]{0,40}?\b(?:is (?:placeholder|dummy|filler|mock|sample)|placeholder text|dummy (?:text|content)|says nothing about|stands in for the (?:real|true|final)|is only a stand-in|is made up (?:to|as|for|until|and)|is there to fill|fills? the space|will be (?:swapped|replaced|changed) (?:for|by|with) the (?:true|real|final))",
-    r"\bmock text only\b", r"\bsample paragraph, replace\b", r"\bthe words just take up room\b", r"\bsome filler so that\b", r"\bnothing to read in this block\b",
-    r"\bhere you can write something\b", r"\breplace this (?:paragraph|text|sentence|section|line|block)\b", r"\byour text (?:goes )?here\b", r"\b(?:text|content) (?:goes|comes) here\b",
-    r"\bdies ist ein (?:blindtext|platzhalter|fülltext)", r"\bplatzhaltertext\b", r"\bdieser (?:absatz|text|kasten) dient nur dem layout", r"\bhier steht später\b", r"\bbeispieltext ohne inhalt\b", r"\b(?:blind|füll)text\b",
-    r"\beste es un texto de relleno\b", r"\bpárrafo de muestra\b", r"\btexto provisional\b", r"\btexto de (?:relleno|prueba)\b", r"\baquí irá\b",
-    r"\btexte (?:provisoire|factice)\b", r"\btexte de remplissage\b", r"\bparagraphe (?:factice|provisoire)\b", r"\bviendra plus tard\b",
-]
-
-#: Parts of which every filler sentence holds one.
-FILLER_HINTS = ("text", "paragraph", "box", "part", "wording", "block", "section", "sentence", "page", "field", "take up room", "filler", "write something", "content", "absatz", "kasten", "steht später", "muestra", "provisional", "aquí irá", "párrafo", "viendra", "replace this")
-
-#: Sentences about markers and filler.
-MENTIONS = [
-    r"Serialized text starts with[^\n]*?for each table\.", r"The word (?:placeholder|dummy|filler) in [^\n]{1,60}? is a real value[^.\n]*\.",
-    r"[^.\n]*\b(?:used|uses|using) lorem ipsum;[^.\n]*\.?", r"[^.\n]*\bstill showed a raw [^.\n]*\.", r"Rule \d+: a [^.\n]*\bXXX is the Roman[^.\n]*\.?",
-]
-
+DUMMY = ["blah", "bla", "test", "dummy", "sample text", "text", "foo", "bar", "xyz", "lorem", "your text goes here", "filler", "example", "beispiel", "muster", "exemple", "ejemplo", "prueba", "texto", "texte"]
 
 #: What stands before a field name, and what a template engine puts around it.
 OWNERS = "silo item card".split()
@@ -65,10 +46,10 @@ ASK_AFTER = (
 
 #: Delimiters of markers; the flag tells that a bare field name is enough between them.
 DELIMITERS = [
-    (r"%%([^%\n]{2,50})%%", True), (r"%\(([^()\n]{2,40})\)[sd]\b", True), (r"\$\{([^{}\n]{2,40})\}", True), (r"\$([A-Za-z_][A-Za-z0-9_.-]{2,40})\$", True), (r"<%=?([^%\n]{2,50})%>", True),
-    (r"\{%([^%\n]{2,50})%\}", True), (r"\{\{\{?([^{}\n]{2,70})\}\}", True), (r"#\{([^{}\n]{2,40})\}", True), (r"\{([^{}\n]{2,60})\}", True), (r"<<([^<>\n]{2,60})>>", True), (r"<([A-Za-zÀ-ÿ][^<>\n]{2,60})>", True),
-    (r"&lt;([^&\n]{2,60})&gt;", True), (r"\[\[([^\[\]\n]{2,60})\]\]", True), (r"@@([^@\n]{2,50})@@", True), (r"__([A-Za-z][A-Za-z0-9_.-]{2,45}?)__", True), (r"##([A-Za-z_]{3,40})##", True),
-    (r"\[([^\[\]\n|]{3,70})\]", False), (r"\(([^()\n]{3,70})\)", False),
+    (r"%%([^%\n]{2,})%%", True), (r"%\(([^()\n]{2,})\)[sd]\b", True), (r"\$\{([^{}\n]{2,})\}", True), (r"\$([A-Za-z_][A-Za-z0-9_.-]+)\$", True), (r"<%=?([^%\n]{2,})%>", True),
+    (r"\{%([^%\n]{2,})%\}", True), (r"\{\{\{?([^{}\n]{2,})\}\}", True), (r"#\{([^{}\n]{2,})\}", True), (r"\{([^{}\n]{2,})\}", True), (r"<<([^<>\n]{2,})>>", True), (r"<([A-Za-zÀ-ÿ][^<>\n]{2,})>", True),
+    (r"&lt;([^&\n]{2,})&gt;", True), (r"\[\[([^\[\]\n]{2,})\]\]", True), (r"@@([^@\n]{2,})@@", True), (r"__([A-Za-z][A-Za-z0-9_.-]*?[A-Za-z0-9])__", True), (r"##([A-Za-z_]{3,})##", True),
+    (r"\[([^\[\]\n|]{3,})\]", False), (r"\(([^()\n]{3,})\)", False),
 ]
 
 MARKER_RE = re.compile("|".join(d for d, _ in DELIMITERS))
@@ -80,12 +61,6 @@ _QUOTES = set("\"'`“”„«»")
 _JINJA = re.compile(r"^\s*(?:if|for|include|unless)\b|\|.*$|['\"]", re.S)
 
 
-def is_field(inner: str) -> bool:
-    """Whether the content of a marker is the name of a card field, in any spelling."""
-    inner = re.sub(r"[_ -]?\d{1,2}$", "", _JINJA.sub("", inner).strip())
-    return re.sub(r"[^a-z]", "", inner.lower()) in _FIELD_SET
-
-
 def is_request(inner: str) -> bool:
     """Whether the content of a marker asks a writer for a card field."""
     words = re.findall(r"[^\W_]+", inner.lower())
@@ -101,8 +76,8 @@ def is_request(inner: str) -> bool:
 _names = "|".join(f.replace("-", "[ _-]?") for f in FIELDS)
 LOOSE = [
     rf"\b(?:TODO|FIXME|TBD|TBA|XXX)\b[:,]? ?(?:write |add |insert |fill in |complete )?(?:the )?(?:{_names})\b",
-    rf"_{{3,}} ?\((?:{_names})",
-    rf"\.{{3}} ?\((?:{_names})",
+    rf"_{{3,}} ?\((?:{_names})[^()\n]*\)?",
+    rf"\.{{3}} ?\((?:{_names})[^()\n]*\)?",
 ]
 BLANKS = r"(?<![?\w])\?{4,}(?![?\w])|(?<![\w])X{4,}(?![\w])"
 LOOSE_RE = re.compile("|".join(LOOSE), re.IGNORECASE)
@@ -116,32 +91,61 @@ LATIN_RE = re.compile(rf"(?<![\w])(?:{_latin})(?:[ ,.;]+(?:{_latin})\b){{4,}}",
 KEYS_RE = re.compile(rf"(?<!\w)(?:{_keys})(?: (?:{_keys})){{2,}}", re.IGNORECASE)
 DUMMY_RE = re.compile(rf"(?<!\w)({_dummy})(?:[ ,.;]+\1\b){{3,}}", re.IGNORECASE)
 _LATIN_HINTS = [w for w in LATIN if len(w) > 4]
-FILLER_RE = re.compile("|".join(FILLER), re.IGNORECASE)
-MENTION_RE = re.compile("|".join([*MENTIONS, r"<title>[^<\n]*</title>"]))
-_MENTION_HINTS = ("Serialized", "placeholder", "dummy", "filler", "lorem ipsum;", "raw ", "XXX", "<title>")
-
-
-def slot(text: str) -> str | None:
-    """The first unresolved slot or filler run of a text, or None."""
-    if any(h in text for h in _MENTION_HINTS):
-        text = MENTION_RE.sub(" ", text)
-    at = 0
-    while m := MARKER_RE.search(text, at):
-        g = m.lastindex
-        inner = m.group(g)
-        quoted = text[m.start() - 1 : m.start()] in _QUOTES and m.start() > 0
-        if not quoted and ((_BARE[g - 1] and is_field(inner)) or is_request(inner)):
-            return m.group(0)
-        at = m.start() + 1 if not quoted else m.end()
-    if any(h in text for h in _LOOSE_HINTS) and (m := LOOSE_RE.search(text)):
-        return m.group(0)
-    if ("????" in text or "XXXX" in text) and (m := BLANK_RE.search(text)):
-        return m.group(0)
+_PAGE_TITLE = re.compile(r"<title>[^<\n]*</title>", re.I)
+_OPENERS = ("{", "<", "[", "(", "%", "$", "@@", "__", "##", "&lt;")
+_NAME = re.compile(r"[A-Za-z][A-Za-z]*(?:[ _.-][A-Za-z]+){0,3}(?:[ _-]?\d{1,2})?")
+MASK = "<SLOT>"
+
+
+def field_name(inner: str) -> str:
+    """The name in a marker, whatever its spelling."""
+    inner = re.sub(r"[_ -]?\d{1,2}$", "", _JINJA.sub("", inner).strip())
+    return re.sub(r"[^a-z]", "", inner.lower())
+
+
+def mask_slots(text: str) -> tuple[str, bool, list[tuple[str, int]]]:
+    """The text with ``MASK`` for every slot and run of dummy text, whether there is one, and the (name, style) of markers
+    that are left open."""
+    openers = [o for o in _OPENERS if o in text]
+    open_markers: list[tuple[str, int]] = []
+    any_slot = False
+    if openers:
+        if "<title>" in text:
+            text = _PAGE_TITLE.sub(lambda m: m.group(0)[7:-8] + "\n", text)
+        out, done, at = [], 0, 0
+        while m := MARKER_RE.search(text, at):
+            g = m.lastindex
+            inner = m.group(g)
+            quoted = m.start() > 0 and text[m.start() - 1] in _QUOTES
+            if not quoted and ((_BARE[g - 1] and field_name(inner) in _FIELD_SET) or is_request(inner)):
+                out += [text[done : m.start()], MASK]
+                done = at = m.end()
+                any_slot = True
+                continue
+            if not quoted and _BARE[g - 1] and _NAME.fullmatch(inner.strip()):
+                open_markers.append((field_name(inner), g))
+                quoted = True
+            at = m.end() if quoted else m.start() + 1
+        if out:
+            text = "".join(out) + text[done:]
+    rules = []
+    if any(h in text for h in _LOOSE_HINTS):
+        rules.append(LOOSE_RE)
+    if "????" in text or "XXXX" in text:
+        rules.append(BLANK_RE)
     low = text.lower()
-    if any(h in low for h in _LATIN_HINTS) and (m := LATIN_RE.search(text)):
-        return m.group(0)
-    if any(h in low for h in KEYS) and (m := KEYS_RE.search(text)):
-        return m.group(0)
-    if any(low.count(h) > 3 for h in DUMMY) and (m := DUMMY_RE.search(text)):
-        return m.group(0)
-    return None
+    if any(h in low for h in _LATIN_HINTS):
+        rules.append(LATIN_RE)
+    if any(h in low for h in KEYS):
+        rules.append(KEYS_RE)
+    if any(low.count(h) > 3 for h in DUMMY):
+        rules.append(DUMMY_RE)
+    for rule in rules:
+        text, n = rule.subn(MASK, text)
+        any_slot |= n > 0
+    return text, any_slot, open_markers
+
+
+def slot(text: str) -> bool:
+    """Whether a text has a slot or a run of dummy text."""
+    return mask_slots(text)[1]
