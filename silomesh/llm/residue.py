@@ -25,9 +25,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silomesh.llm.slots import MASK, mask_slots
@@ -84,6 +85,12 @@ MESSAGE_HINTS = (
     "acceso", "sobrecarg", "demasiadas", "sesión", "salió", "mantenimiento", "produjo", "script", "js", "active content", "aktive inhalte", "browser", "starten", "démarrer", "no se ", "not\t", "time-out", "timeout", "no carg", "no mostr",
 )
 
+#: Parts of which every filler sentence holds one.
+FILLER_HINTS = (
+    "placeholder", "dummy", "filler", "mock", "sample", "example", "stand", "temporary", "made up", "fill", "take", "swapped", "replace", "changed", "exchanged", "your text", "your content", " here", "write something", "text", "platzhalter", "layout", "steht später",
+    "provisional", "ficticio", "muestra", "relleno", "prueba", "aquí irá", "provisoire", "factice", "remplissage", "exemple", "viendra plus tard",
+)
+
 _TAGS = re.compile(r"<hr>\s*<center>[^<]*</center>|</?(?:html|head|title|body|h[1-6]|noscript|center|hr|p|div|br|span|main|section)\b[^<>]*>", re.I)
 #: Words that begin a sentence after a menu or a title that has no end mark.
 _STARTERS = (
@@ -91,17 +98,29 @@ _STARTERS = (
     "Die|Der|Das|Dieser?|Ihre?|Leider|Ein|Eine|Fehler|Seite nicht|Interner|Zugriff|Zur|Um|Bitte|Ohne|Zu|"
     "La|Le|Les|Cette|Ce|Votre|Une|Un|Erreur|Accès|Retour|Pour|Veuillez|Sans|El|Esta|Este|Su|Se|Página|Acceso|Volver|Para|Por|Sin|Demasiadas|Trop"
 )
-_START = re.compile(rf"(?<=[\w)!?.>]) (?=(?:{_STARTERS}) )|(?<=^[#=] <ID>) (?=[A-ZÀ-Ý])|(?<=^== <ID>) (?=[A-ZÀ-Ý])")
+_START = re.compile(rf" (?<=[\w)!?.>] )(?=(?:{_STARTERS}) )| (?<=^[#=] <ID> )(?=[A-ZÀ-Ý])| (?<=^== <ID> )(?=[A-ZÀ-Ý])")
 _CUT = re.compile(r"\n|\s+(?=##+ |== )|(?<=[.!?…])\s+| [|·>»•] | - (?=data card)")
 _TIME = re.compile(r"^\s*\d\d:\d\d(?::\d\d)?\b", re.M)
 _ID = re.compile(r"\b\w+_\w+\b|\b(?:[A-Z]?[a-z]+[A-Z]\w*)\b|\b\w+(?:\.\w+)+\b|\b\w+-\w+(?:-\w+)+\b")
 _JS = re.compile(r"(?i)\b(?:java ?script|ecma ?script)\b")
-_NUM = re.compile(r"\b(?=\w*\d)[0-9a-fA-F]{6,}\b|\d+(?:[.,:]\d+)*")
+_NUM = re.compile(r"\d\w*(?:[.,:]\d\w*)*")
+_WORD, _MASKS = re.compile(r"\w"), re.compile(r"<[\w*]+>")
 _FOOT = re.compile(r"\W*(?:" + "|".join(FOOT) + r")\W*", re.I)
 _MESSAGE, _FILLER = re.compile("|".join(MESSAGES), re.I), re.compile("|".join(FILLER), re.I)
 _TITLE = re.compile(r"^[#=*\s]*(?:<ID>|<N>|[^\W\d_][\w'’-]*)(?: (?:<ID>|<N>|[^\W\d_][\w'’-]*)){0,3}(?:[:\s]*|\.{3}|…)$")
 
 
+_MASKED: dict[str, str] = {}
+
+
+def _mask_word(word: str) -> str:
+    """A word with its name or number replaced."""
+    if len(_MASKED) > 500_000:
+        _MASKED.clear()
+    out = _MASKED[word] = _NUM.sub("<N>", _ID.sub("<ID>", word))
+    return out
+
+
 def segments(text: str) -> list[str]:
     """The masked segments of a text, in order."""
     s = _TIME.sub("<TIME>", text)
@@ -109,8 +128,20 @@ def segments(text: str) -> list[str]:
         s = _JS.sub("javascript", s)
     if "<" in s:
         s = _TAGS.sub("\n", s)
-    s = _NUM.sub("<N>", _ID.sub("<ID>", s))
-    return [m for piece in _CUT.split(s) for part in _START.split(piece) if (m := " ".join(part.split()))]
+    s = "\n".join(" ".join([_MASKED.get(w) or _mask_word(w) for w in line.split()]) for line in s.split("\n"))
+    return [m for piece in _CUT.split(s) for part in _START.split(piece) if (m := part.strip())]
+
+
+def _hints() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for kind, words in ((1, MESSAGE_HINTS), (2, FILLER_HINTS)):
+        for w in words:
+            found.add_word(w, found.get(w, 0) | kind)
+    found.make_automaton()
+    return found
+
+
+_HINTS = _hints()
 
 
 def classify(template: str) -> str:
@@ -119,16 +150,21 @@ def classify(template: str) -> str:
     A line of a log, which begins with a time, and a slot in words are content.
     """
     t = template.strip()
-    if not re.search(r"\w", re.sub(r"<[\w*]+>", " ", t)):
+    if not _WORD.search(_MASKS.sub(" ", t)):
         return "frame"
     if t.startswith("<TIME>"):
         return "content"
     low = t.lower()
-    if _FILLER.search(low):
+    hints = 0
+    for _, kind in _HINTS.iter(low):
+        hints |= kind
+        if hints == 3:
+            break
+    if hints & 2 and _FILLER.search(low):
         return "filler"
     if _FOOT.fullmatch(t):
         return "frame"
-    if any(h in low for h in MESSAGE_HINTS) and _MESSAGE.search(t):
+    if hints & 1 and _MESSAGE.search(t):
         return "message"
     return "frame" if _TITLE.match(t) else "content"
 
@@ -185,38 +221,50 @@ def _mined(df: DataFrame, buckets: int) -> DataFrame:
 
 def mine_templates(work: Workspace, distinct: DataFrame, bucket: int = 20_000) -> DataFrame:
     """(masked, template) of distinct segments (masked, n); the leaves are worked on in buckets of about ``bucket`` segments."""
-    placed = _leaf(distinct)
+    placed = work.write(_leaf(distinct))
     crowded = placed.groupBy("size", "head").agg(F.count("*").alias("held")).filter(f"held > {PART}")
     cut = placed.join(crowded, ["size", "head"], "left").withColumn("part", F.pmod(F.xxhash64("masked"), F.coalesce(F.ceil(F.col("held") / PART), F.lit(1))).cast("int"))
-    first = work.write(_mined(cut, max(1, -(-distinct.count() // bucket))))
-    shapes = first.join(distinct, "masked").groupBy(F.col("template").alias("masked")).agg(F.sum("n").alias("n"))
+    first = work.write(_mined(cut, max(1, -(-placed.count() // bucket))))
+    shapes = first.join(placed, "masked").groupBy(F.col("template").alias("masked")).agg(F.sum("n").alias("n"))
     shapes = work.write(_leaf(shapes).withColumn("part", F.lit(0)))
-    second = _mined(shapes, max(1, -(-shapes.count() // bucket)))
-    return first.join(second.select(F.col("masked").alias("template"), F.col("template").alias("whole")), "template").select("masked", F.col("whole").alias("template"))
+    second = _mined(shapes, max(1, -(-shapes.count() // bucket))).filter("masked <> template")
+    return first.join(second.select(F.col("masked").alias("template"), F.col("template").alias("whole")), "template", "left").select("masked", F.coalesce("whole", "template").alias("template"))
+
+
+_SAID: dict[str, str] = {}
+
+
+def _suggest(segment: str) -> str:
+    if len(_SAID) > 200_000:
+        _SAID.clear()
+    out = _SAID[segment] = classify(segment)
+    return out
+
+
+#: Suggested classes as they are kept with a segment.
+CLASSES = ("content", "frame", "message", "filler")
 
 
 def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text its different segments and their suggested classes, whether it reads like a page of messages, and how
+    many of its segments suggest content and filler."""
     for b in batches:
         rows = []
         for t in b["txt"]:
-            masked, found, left = mask_slots(t)
-            rows.append((segments(masked), found, [{"name": n, "style": s} for n, s in left if n]))
-        yield pd.DataFrame({"doc": b["doc"], "segs": [r[0] for r in rows], "slot": [r[1] for r in rows], "markers": [r[2] for r in rows]})
-
+            masked, _, left = mask_slots(t)
+            segs = list(dict.fromkeys(segments(masked)))
+            said = [_SAID.get(x) or _suggest(x) for x in segs]
+            plain, messages, fillers = (said.count(c) for c in ("content", "message", "filler"))
+            rows.append((segs, [CLASSES.index(c) for c in said], messages > 0 and messages >= PAGE * (messages + plain), plain, fillers, [{"name": n, "style": k} for n, k in left if n]))
+        yield pd.DataFrame({"doc": b["doc"], **{n: [r[i] for r in rows] for i, n in enumerate(("segs", "said", "page", "plain", "fillers", "markers"))}})
 
-def template_evidence(seen: DataFrame) -> DataFrame:
-    """(template, n_docs, n_pages, n_slots, n_fillers) of (doc, template, suggested, has_slot) segments.
 
-    ``n_pages`` are the documents of a template that read like a page of messages, ``n_slots`` those that have a slot in
-    it, ``n_fillers`` those with another template that suggests filler.
-    """
-    of_doc = Window.partitionBy("doc")
-    once = seen.groupBy("doc", "template", "suggested").agg(F.max("has_slot").alias("has_slot"))
-    says = lambda c: F.sum((F.col("suggested") == c).cast("int")).over(of_doc)
-    told = once.withColumns({"messages": says("message"), "fillers": says("filler"), "plain": says("content")})
-    page = (F.col("messages") > 0) & (F.col("messages") >= PAGE * (F.col("messages") + F.col("plain")))
-    others = F.col("fillers") - (F.col("suggested") == "filler").cast("int")
-    return told.groupBy("template").agg(F.count("*").alias("n_docs"), F.count_if(page).alias("n_pages"), F.count_if("has_slot").alias("n_slots"), F.count_if(others > 0).alias("n_fillers"))
+def _needed(words: DataFrame) -> DataFrame:
+    """The segments (masked, n) whose templates matter: those of every leaf that has a slot, a suggested message or filler,
+    or a sentence that stands beside one."""
+    placed = _leaf(words)
+    asked = placed.filter(F.col("masked").contains(MASK) | F.col("said").isin(2, 3) | ((F.col("said") == 0) & ((F.col("n_pages") > 0) | (F.col("n_beside") > 0))))
+    return placed.join(asked.select("size", "head").distinct(), ["size", "head"], "left_semi").select("masked", "n")
 
 
 def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,31 +272,31 @@ def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text")
     work = Workspace(documents.sparkSession, "residue")
     kind = dict(documents.dtypes)[doc]
     held = documents.filter(F.col(text).rlike(r"\S")).select(F.col(doc).alias("doc"), F.col(text).alias("txt"))
-    parsed = work.write(held.mapInPandas(_read_texts, f"doc {kind}, segs array<string>, slot boolean, markers array<struct<name:string,style:int>>"))
-    words = work.write(parsed.select(F.explode("segs").alias("masked")).groupBy("masked").agg(F.count("*").alias("n")))
-    mined = work.write(mine_templates(work, words))
-
-    def suggest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(suggested=[classify(e) for e in b["example"]])
-
-    shapes = mined.join(words, "masked").groupBy("template").agg(F.max_by("masked", F.struct("n", "masked")).alias("example"))
-    shapes = shapes.mapInPandas(suggest, "template string, example string, suggested string")
-    classes = work.write(mined.join(shapes, "template").select("masked", F.xxhash64("template").alias("template"), "suggested", F.col("masked").contains(MASK).alias("has_slot"), F.size(F.filter(F.split("masked", " "), lambda w: ~w.contains("<"))).alias("words")))
-    seen = work.write(parsed.select("doc", F.explode("segs").alias("masked")).join(classes, "masked").select("doc", "template", "suggested", "has_slot", "words"))
-    known = work.write(template_evidence(seen))
+    parsed = work.write(held.mapInPandas(_read_texts, f"doc {kind}, segs array<string>, said array<int>, page boolean, plain int, fillers int, markers array<struct<name:string,style:int>>"))
+    seen = parsed.select("doc", "page", "plain", "fillers", F.inline(F.arrays_zip("segs", "said"))).withColumnRenamed("segs", "masked")
+    beside = F.col("fillers") > (F.col("said") == 3).cast("int")
+    words = work.write(seen.groupBy("masked", "said").agg(F.count("*").alias("n"), F.count_if("page").alias("n_pages"), F.count_if(beside).alias("n_beside")))
+    mined = work.write(mine_templates(work, _needed(words)))
+
+    # the class of a template is that of its most frequent segment
+    classes = mined.join(words, "masked").groupBy("template").agg(F.max_by("said", F.struct("n", "masked")).alias("suggested"))
+    of = work.write(mined.join(classes, "template").select("masked", F.xxhash64("template").alias("template"), "suggested", F.size(F.filter(F.split("masked", " "), lambda w: ~w.contains("<"))).alias("words")))
+    met = work.write(seen.join(of, "masked").select("doc", "page", "plain", "said", "template", "suggested", F.col("masked").contains(MASK).alias("has_slot"), "words", beside.alias("beside")))
+    once = met.groupBy("doc", "template").agg(F.max("page").alias("page"), F.max("beside").alias("beside"), F.max("has_slot").alias("has_slot"))
+    known = once.groupBy("template").agg(F.count("*").alias("n_docs"), F.count_if("page").alias("n_pages"), F.count_if("beside").alias("n_beside"), F.count_if("has_slot").alias("n_slots"))
 
     spread, mostly = F.col("n_docs") >= SPREAD, lambda c: F.col(c) >= MOSTLY * F.col("n_docs")
-    on_page, beside = mostly("n_pages"), mostly("n_fillers")
+    on_page, by_filler, suggested = mostly("n_pages"), mostly("n_beside"), F.col("suggested")
     verdict = (
-        F.when(F.col("suggested") == "message", F.when(on_page, "message").otherwise("content"))
-        .when(F.col("suggested") == "filler", F.when(beside | ~spread | on_page, "filler").otherwise("content"))
-        .when(F.col("suggested") == "content", F.when(spread & beside, "filler").when(spread & on_page, "frame").otherwise("content"))
+        F.when(suggested == 2, F.when(on_page, "message").otherwise("content"))
+        .when(suggested == 3, F.when(by_filler | ~spread | on_page, "filler").otherwise("content"))
+        .when(suggested == 0, F.when(spread & by_filler, "filler").when(spread & on_page, "frame").otherwise("content"))
         .otherwise("frame")
     )
     talk = (F.col("n_slots") == F.col("n_docs")) & spread & (F.col("words") >= TALK)
-    judged = seen.join(known, "template").select("doc", verdict.alias("verdict"), (F.col("has_slot") & ~talk).alias("slot"))
-    by_doc = judged.groupBy("doc").agg(F.count_if("slot").alias("slots"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("message", "filler", "content")))
+    judged = met.join(known, "template").select("doc", "plain", "said", verdict.alias("verdict"), (F.col("has_slot") & ~talk).alias("slot"))
+    freed, added = (F.col("said") == 0) & (F.col("verdict") != "content"), (F.col("said") != 0) & (F.col("verdict") == "content")
+    by_doc = judged.groupBy("doc").agg(F.count_if("slot").alias("slots"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("message", "filler")), (F.max("plain") - F.count_if(freed) + F.count_if(added)).alias("content"))
     reason = F.when(F.col("slots") > 0, "slot").when(F.col("filler") > 0, "filler").when((F.col("message") > 0) & (F.col("content") == 0), "message")
     pages = by_doc.select("doc", reason.alias("reason")).filter("reason is not null")
     markers = parsed.select("doc", F.inline("markers"))

@@ -91,8 +91,8 @@ def test_what_a_sentence_stands_among_decides(spark):
 
 def test_templates_matter(spark, monkeypatch):
     """Without the tree every segment would be judged alone: the same sentence about many things has no evidence then."""
-    docs = [(i, f"The values of label run from {i} to {i + 9}, with a long tail. The board in Zimoun lists {i} mansions. A key is {i}. The {w} could not be found in the old list.") for i, w in enumerate(("heron", "ferry", "mill", "loom", "arch", "quay"))]
-    docs += [(9, "The lantern could not be found in the old list.")]
+    docs = [(i, f"The values of label run from {i} to {i + 9}, with a long tail. The board in Zimoun lists {i} mansions. A key is {i}. A page could not be found under {w} in the old list.") for i, w in enumerate(("heron", "ferry", "mill", "loom", "arch", "quay"))]
+    docs += [(9, "A page could not be found under lantern in the old list.")]
     assert found(spark, docs) == {}
     monkeypatch.setattr(residue, "mine_templates", lambda work, distinct: distinct.selectExpr("masked", "masked as template"))
     assert found(spark, docs) == {9: "message"}
