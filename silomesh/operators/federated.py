@@ -1,7 +1,7 @@
 """The dataflow core of collaborative learning.
 
-Weights are long form (client, layer, idx, value); aggregations are weighted sums per (layer, idx).  Local training runs in
-one task for each client, with plain numpy.
+Weights are long form (client, layer, idx, value); aggregations are weighted sums per (layer, idx).  Local training adds up
+gradients over the rows of each client.
 """
 
 from __future__ import annotations
@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = 100_000  # rows of a client that one task trains on
+from silomesh.runtime import Workspace
 
 
 def fedavg(weights: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -70,39 +69,38 @@ def confidence_weights(soft: DataFrame, classes: int) -> DataFrame:
     return conf.select("client", (F.col("conf") / F.sum("conf").over(Window.partitionBy())).alias("weight"))
 
 
-def train_logistic(rows: DataFrame, features: Sequence[str], label: str, start: DataFrame | None = None, steps: int = 50, rate: float = 0.5, mu: float = 0.0) -> DataFrame:
-    """(client, layer, idx, value, n): logistic regression of each client by gradient descent.
+def train_logistic(rows: DataFrame, features: Sequence[str], label: str, start: DataFrame | None = None, steps: int = 20, rate: float = 0.5, mu: float = 0.0) -> DataFrame:
+    """(client, layer, idx, value, n): logistic regression of each client by full gradient descent.
 
-    ``start`` gives the global weights; ``mu`` pulls the local weights towards them.  A client with more than ``SLICE``
-    rows is trained in slices, whose weights are averaged by rows, so no task holds a whole large client.
+    ``start`` gives the global weights; ``mu`` pulls the local weights towards them.  A step adds up the gradients of all
+    rows where they are and moves one row of weights for each client, so a client of any size is trained as a whole.  Rows
+    with nulls are left out; the last weight is the intercept.
     """
-    d = len(features) + 1
-    first = np.zeros(d)
+    spark, d = rows.sparkSession, len(features) + 1
+    first = [0.0] * d
     if start is not None:
         for r in start.collect():  # as many rows as features
             first[r["idx"]] = r["value"]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.c_[pdf[list(features)].to_numpy(float), np.ones(len(pdf))]
-        y, w = pdf[label].to_numpy(float), first.copy()
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= rate * (x.T @ (p - y) / len(y) + mu * (w - first))
-        return pd.DataFrame({"client": pdf["client"].iloc[0], "layer": "linear", "idx": range(d), "value": w, "n": len(pdf)})
-
-    held = rows.select("client", *features, label).dropna()
-    n = held.groupBy("client").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
-    cut = held.join(n, "client").withColumn("slice", F.pmod(F.xxhash64(*features, label), F.col("slices")).cast("int"))
-    kind = dict(rows.dtypes)["client"]
-    parts = cut.drop("slices").groupBy("client", "slice").applyInPandas(fit, f"client {kind}, layer string, idx int, value double, n long")
-    return parts.groupBy("client", "layer", "idx").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
-
-
-def rounds(rows: DataFrame, features: Sequence[str], label: str, n_rounds: int = 3, mu: float = 0.0) -> DataFrame:
+    work = Workspace(spark, "logistic")
+    held = work.write(rows.select("client", *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)), F.lit(1.0).alias(f"x{d - 1}"), F.col(label).cast("double").alias("y")).dropna())
+    weights = work.write(held.groupBy("client").agg(F.count("*").alias("n"), *(F.lit(w).alias(f"w{i}") for i, w in enumerate(first))))
+    for _ in range(steps):
+        z = sum((F.col(f"w{i}") * F.col(f"x{i}") for i in range(1, d)), F.col("w0") * F.col("x0"))
+        gap = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))) - F.col("y")
+        sums = held.join(weights, "client").groupBy("client").agg(*(F.sum(gap * F.col(f"x{i}")).alias(f"g{i}") for i in range(d)))
+        step = [(F.col(f"w{i}") - rate * (F.col(f"g{i}") / F.col("n") + mu * (F.col(f"w{i}") - first[i]))).alias(f"w{i}") for i in range(d)]
+        new = work.write(weights.join(sums, "client").select("client", "n", *step))
+        work.drop(weights)
+        weights = new
+    long = F.array(*(F.struct(F.lit("linear").alias("layer"), F.lit(i).alias("idx"), F.col(f"w{i}").alias("value")) for i in range(d)))
+    return weights.select("client", F.inline(long), "n")
+
+
+def rounds(rows: DataFrame, features: Sequence[str], label: str, n_rounds: int = 3, mu: float = 0.0, steps: int = 20) -> DataFrame:
     """Global weights after rounds of local training and averaging."""
     state = None
     for _ in range(n_rounds):
-        local = train_logistic(rows, features, label, state, mu=mu)
+        local = train_logistic(rows, features, label, state, steps, mu=mu)
         state = rows.sparkSession.createDataFrame(fedavg(local.drop("n"), local.select("client", "n").distinct()).collect(), "layer string, idx int, value double")
     return state
 

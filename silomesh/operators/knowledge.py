@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strings that stand for a missing value.
-NULL_WORDS = ["nan", "-", "unknown", "null", "na", "none", "nil", "n/a", ""]
+NULL_WORDS = ["nan", "-", "unknown", "other (unknown)", "null", "na", "none", "", " "]
 
 
 def clean_value(v: Column) -> Column:
     """A value in lower case without punctuation and repeated blanks; null for null words."""
     t = F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.lower(v), r"[^\p{L}\p{N}_\s]", " "), F.lit("nbsp"), F.lit("")), r"\s+", " "))
-    return F.when(~F.lower(F.trim(v)).isin(NULL_WORDS) & (t != ""), t)
+    return F.when(~F.lower(v).isin(NULL_WORDS) & (t != ""), t)
 
 
 def text_columns(cells: DataFrame, share: float = 0.5) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from silomesh.operators.encode import range_slices
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
@@ -19,12 +21,18 @@ def ratio(a: Column, b: Column) -> Column:
 def curve(scored: DataFrame) -> DataFrame:
     """(score, tp, fp, n_pos, n_neg): cumulative counts at each distinct score, from the highest.
 
-    The running sums are over distinct scores in one ordered pass; callers with many distinct scores round them first.
+    Running sums are taken inside ranges of the score and shifted by the sums of the ranges above, so no task orders all
+    scores.
     """
     held = scored.filter("y is not null and score is not null")
-    by_score = held.groupBy("score").agg(F.sum(F.col("y").cast("bigint")).alias("pos"), F.count("*").alias("n"))
-    down, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return by_score.select("score", F.sum("pos").over(down).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(down).alias("fp"), F.sum("pos").over(whole).alias("n_pos"), F.sum(F.col("n") - F.col("pos")).over(whole).alias("n_neg"), "pos", "n")
+    by_score = range_slices(held.groupBy("score").agg(F.sum(F.col("y").cast("bigint")).alias("pos"), F.count("*").alias("n")), [F.desc("score")])
+    totals = by_score.groupBy("_slice").agg(F.sum("pos").alias("_p"), F.sum("n").alias("_n"))  # one row for each range
+    above = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("_slice", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"), F.sum("_p").over(Window.partitionBy()).alias("n_pos"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    down = Window.partitionBy("_slice").orderBy(F.desc("score"))
+    run = by_score.withColumns({"_tp": F.sum("pos").over(down), "_seen": F.sum("n").over(down)}).join(F.broadcast(shift), "_slice")
+    tp, seen = F.col("_tp") + F.col("_p"), F.col("_seen") + F.col("_n")
+    return run.select("score", tp.alias("tp"), (seen - tp).alias("fp"), "n_pos", (F.col("_all") - F.col("n_pos")).alias("n_neg"), "pos", "n")
 
 
 def roc(scored: DataFrame) -> DataFrame:
@@ -101,3 +109,8 @@ def info_nce(rows: DataFrame, temperature: float = 0.5) -> DataFrame:
     z = F.col("s") / temperature
     top = rows.groupBy("anchor").agg(F.max(z).alias("m"))
     return rows.join(top, "anchor").groupBy("anchor").agg((F.max("m") + F.log(F.sum(F.exp(z - F.col("m")))) - F.max(F.when(F.col("is_positive"), z))).alias("loss"))
+
+
+def outlying_negatives(scored: DataFrame) -> DataFrame:
+    """Rows with label 0 at or above the score with the best F1 (F18), with that score as ``bar``."""
+    return scored.filter("y = 0").join(F.broadcast(average_precision(scored).select(F.col("best_score").alias("bar")))).filter("score >= bar")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silomesh.operators.encode import position
+from silomesh.operators.encode import draw, position, token
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -25,12 +25,13 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 def fk_left_join(base: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str, dedup_order: Sequence[str] | None = None, cap: int | None = None) -> DataFrame:
     """Left join along a foreign key (J1, J2, J4, J30): clashing columns of the right side get the suffix ``_<name>``.
 
-    With ``dedup_order`` the first right row of each key joins, so no row is multiplied; ``cap`` limits the result.
+    With ``dedup_order`` the first right row of each key joins, so no row is multiplied; ``cap`` keeps that many rows of the
+    result, the first in the order of all its columns.
     """
     r = first_rows(right, [right_key], dedup_order) if dedup_order else right
     r = r.select(F.col(right_key).alias("_key"), *(F.col(c).alias(f"{c}_{name}" if c in base.columns else c) for c in r.columns if c != right_key))
     out = base.join(r, base[left_key] == F.col("_key"), "left").drop("_key")
-    return out if cap is None else out.limit(cap)
+    return out if cap is None else out.orderBy(*out.columns).limit(cap)
 
 
 def join_size(tables: dict[str, DataFrame], links: Sequence[tuple[str, str, str, str]]) -> DataFrame:
@@ -161,7 +162,7 @@ def explode_triplets(t: DataFrame) -> DataFrame:
 
 def one_negative(t: DataFrame, seed: int) -> DataFrame:
     """(anchor, positive, negative): one negative for each triplet and seed."""
-    i = F.pmod(F.xxhash64("anchor", "positive", F.lit(seed)), F.size("negatives")).cast("int") + 1
+    i = F.floor(draw(F.concat_ws("-", "anchor", "positive"), seed) * F.size("negatives")).cast("int") + 1
     return t.filter(F.size("negatives") > 0).select("anchor", "positive", F.element_at("negatives", i).alias("negative"))
 
 
@@ -190,7 +191,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def top_tie_sample(df: DataFrame, score: str, keys: Sequence[str], k: int, seed: int = 0) -> DataFrame:
     """The ``k`` rows with the highest score in steps of 1e-4; the last tie group is cut in hash order."""
     stepped = df.withColumn("_s", F.floor(F.col(score) * 1e4 + 0.5).cast("bigint"))
-    return stepped.orderBy(F.desc("_s"), F.xxhash64(*keys, F.lit(seed)), *keys).limit(k).drop("_s")
+    return stepped.orderBy(F.desc("_s"), token(*keys, F.lit(seed)), *keys).limit(k).drop("_s")
 
 
 def running_share(df: DataFrame, order: Sequence[str], size: str) -> DataFrame:

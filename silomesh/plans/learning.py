@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from silomesh.operators import encode, federated, metrics, profile
 from silomesh.runtime import read
+from silomesh.sources import catalog as cat
 
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
 def _scored(spark, d):
-    s = F.floor(F.col("l_extendedprice") / 100) / 100 + F.col("l_discount")
-    return read(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.round(s, 2).alias("score"), "l_suppkey", "l_linenumber")
+    s = F.col("l_extendedprice") / 10000 + F.col("l_discount")
+    return read(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), s.alias("score"), "l_orderkey", "l_linenumber", "l_suppkey")
 
 
 def _classed(spark, d):
@@ -34,8 +35,13 @@ def q2_at_threshold(spark, d):
     return metrics.at_threshold(_scored(spark, d), 3.0).select("tp", "fp", "fn", "tn", R6("precision"), R6("recall"), R6("f1"), R6("accuracy"))
 
 
+def f18_outlying_negatives(spark, d):
+    """lines that weren't returned with a score at or above the one with the best F1."""
+    return metrics.outlying_negatives(_scored(spark, d)).select("l_orderkey", "l_linenumber", R6("score"), R6("bar"))
+
+
 def q3_average_precision(spark, d):
-    """Average precision and the best F1."""
+    """Q3: average precision and the best F1."""
     return metrics.average_precision(_scored(spark, d)).select(R6("average_precision"), R6("best_f1"), R6("best_score"))
 
 
@@ -92,6 +98,69 @@ def e1_split_counts(spark, d):
     return o.groupBy("o_orderstatus", "part").agg(F.count("*").alias("n"))
 
 
+def e1_split_rows(spark, d):
+    """The part of every order in the stratified split."""
+    return encode.split(read(spark, d, "orders"), "o_orderkey", 0.2, 42, ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", "part")
+
+
+def e4_pair_split(spark, d):
+    """Links of silos in train, validation and test parts of 70, 10 and 20 %, in a random order."""
+    e = cat.edges(spark, d).filter("similarity >= 0.9").select("src", "tgt")
+    n = e.agg(F.count("*").alias("n"))
+    at = encode.position(e, [], ["src", "tgt", F.lit(1)]).join(F.broadcast(n))
+    part = F.when(F.col("pos") < F.floor(F.col("n") * 0.7), "train").when(F.col("pos") < F.floor(F.col("n") * 0.7) + F.floor(F.col("n") * 0.1), "val").otherwise("test")
+    return at.select("src", "tgt", part.alias("part"))
+
+
+def e9_sampled_silos(spark, d):
+    """Forty silos drawn without replacement."""
+    return encode.sample_ids(cat.tables(spark, d).select(F.col("db").alias("id")), 40, 7)
+
+
+def e16_filled(spark, d):
+    """Statistics with null, NaN and infinite numbers as 0 and missing ids as text, counted by id."""
+    s = read(spark, d, "column_sparsity").select("stat_id", "db_id", "sparsity", "load_no")
+    return encode.filled(s, ["sparsity"], ["db_id"]).groupBy("db_id").agg(F.count("*").alias("n"), F.round(F.sum("sparsity"), 6).alias("total"))
+
+
+def e22_class_labels(spark, d):
+    """Binary labels of a number and of a text, and codes of its classes."""
+    c = read(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    one = encode.class_labels(c, "c_acctbal", True).select("c_custkey", F.col("y").alias("rich"))
+    two = encode.class_labels(c, "c_mktsegment", True).select("c_custkey", F.col("y").alias("frequent"))
+    three = encode.class_labels(c, "c_mktsegment", False).select("c_custkey", F.col("y").alias("segment"))
+    return one.join(two, "c_custkey").join(three, "c_custkey")
+
+
+def e23_hash_labels(spark, d):
+    """Labels from a hash of the customer's name."""
+    return encode.hash_labels(read(spark, d, "customer").select("c_custkey", "c_name"), "c_name").select("c_custkey", "y")
+
+
+def l11_target_columns(spark, d):
+    """The target column of each table."""
+    names = ("customer", "orders", "part", "supplier", "embeddings", "events")
+    return spark.createDataFrame([(n, encode.target_column(read(spark, d, n).columns)) for n in names], "table_name string, target string")
+
+
+def l6_varying_columns(spark, d):
+    """Pooled rows of two parties without the columns that are constant in both splits, as rows for a tree model."""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", F.lit(1.0).alias("unit"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    at = encode.split(li.withColumn("key", F.concat_ws("|", "l_orderkey", "l_linenumber")), "key", 0.2, 5)
+    cols = encode.varying(at.filter("part = 'train'"), at.filter("part = 'test'"), ["l_quantity", "l_discount", "unit"])
+    ready = encode.filled(at, cols, [])
+    return ready.groupBy("part").agg(F.count("*").alias("n"), F.lit(",".join(cols)).alias("features"), *(F.round(F.avg(c), 5).alias(f"mean_{c}") for c in ("l_quantity", "l_discount")))
+
+
+def l5_aligned_parties(spark, d):
+    """Rows of two parties aligned on the linking column in one order, as batches for training on both sides."""
+    a = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    b = read(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_acctbal")
+    met = a.join(b, F.col("o_custkey") == F.col("c_custkey"))
+    batch = F.floor(F.col("pos") / 256)
+    return encode.position(met, [], ["o_orderkey", F.lit(3)]).groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("left_sum"), F.round(F.sum("c_acctbal"), 2).alias("right_sum"))
+
+
 def e13_label_codes(spark, d):
     """One dictionary over all parties."""
     return encode.dictionary(read(spark, d, "customer"), "c_mktsegment").select("value", F.col("code").cast("bigint").alias("code"))
@@ -149,25 +218,29 @@ def e10_value_samples(spark, d):
 
 
 def e10_value_samples_random(spark, d):
-    """Hashed random, weighted and priority samples."""
+    """Random, weighted and priority samples."""
     counts = profile.cells(read(spark, d, "part"), ["p_brand", "p_type"]).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return encode.sample_values(counts, ["column_name"], 3, "weighted").unionByName(encode.sample_values(counts, ["column_name"], 3, "priority")).select("column_name", "rank", "value")
+    out = None
+    for mode in ("random", "weighted", "priority"):
+        one = encode.sample_values(counts, ["column_name"], 3, mode).select(F.lit(mode).alias("mode"), "column_name", "rank", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def e11_bootstrap(spark, d):
     """Twenty bootstrap means of the account balance."""
-    return encode.poisson_bootstrap(read(spark, d, "customer"), "c_acctbal", "c_custkey")
+    return encode.poisson_bootstrap(read(spark, d, "customer"), "c_acctbal", "c_custkey").select("draw", F.round("mean", 5).alias("mean"))
 
 
 def e24_outliers(spark, d):
     """Synthetic outliers, as many as rows."""
-    return encode.outliers(read(spark, d, "part"), ["p_retailprice", "p_size"]).agg(F.count("*").alias("n"), F.count_distinct("outlier").alias("n_kinds"))
+    return encode.outliers(read(spark, d, "part"), ["p_retailprice", "p_size"], "p_partkey").select("p_partkey", F.round("p_retailprice", 4).alias("p_retailprice"), F.round("p_size", 4).alias("p_size"), "outlier")
 
 
 def e28_sampled_clients(spark, d):
-    """How many clients take part in each of three rounds."""
+    """The clients that take part in each of three rounds."""
     c = read(spark, d, "nation").select(F.col("n_nationkey").alias("client"))
-    return encode.sample_clients(c, 3, 0.3).groupBy("round").agg(F.count_distinct("client").alias("n"))
+    return encode.sample_clients(c, 3, 0.3)
 
 
 def o6_top_classes(spark, d):
@@ -212,10 +285,9 @@ def l7_masked_mean(spark, d):
 
 
 def l8_attention(spark, d):
-    """neighbours' weights by softmax attention."""
+    """neighbours' weights by softmax attention, over given links of each client to the next two."""
     w = _weights(spark, d)
-    c = w.select("client").distinct()
-    e = c.join(c.withColumnRenamed("client", "other"), F.col("client") != F.col("other")).withColumn("score", (F.col("client") * F.col("other")) / 10.0)
+    e = w.select("client").distinct().select("client", F.explode(F.array((F.col("client") + 1) % 5, (F.col("client") + 2) % 5)).alias("other")).withColumn("score", (F.col("client") * F.col("other")) / 10.0)
     return federated.attention_mean(w, e).select("client", "layer", "idx", F.round("value", 7).alias("value"))
 
 
@@ -226,31 +298,50 @@ def l9_confidence(spark, d):
     return federated.confidence_weights(n.join(t, ["client", "node"]).select("client", "node", F.col("degree").cast("double").alias("degree"), (F.col("k") / F.col("degree")).alias("p")), 3).select("client", R6("weight"))
 
 
+def _trained(spark, d):
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("client"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
 def l15_local_training(spark, d):
-    """Logistic weights of each client from its own rows."""
-    rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("client"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    return federated.train_logistic(rows, ["q", "x"], "y")
+    """Logistic weights of each client after eight steps over all of its rows."""
+    return federated.train_logistic(_trained(spark, d), ["q", "x"], "y", steps=8).select("client", "idx", R6("value"), "n")
 
 
 def l16_federated_rounds(spark, d):
-    """Two rounds of training and averaging, scored on all rows."""
-    rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 4).cast("int").alias("client"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    w = federated.rounds(rows, ["q", "x"], "y", 2)
-    return metrics.at_threshold(federated.predict(rows, ["q", "x"], w), 0.5)
+    """Two rounds of training with a pull to the global weights, and averaging, scored on all rows."""
+    rows = _trained(spark, d)
+    w = federated.rounds(rows, ["q", "x"], "y", 2, 0.1, 4)
+    return metrics.at_threshold(federated.predict(rows, ["q", "x"], w), 0.25).select("tp", "fp", "fn", "tn", R6("f1"), R6("accuracy"))
 
 
 QUERIES = {f.__name__: f for f in (
-    q1_roc, q2_at_threshold, q3_average_precision, q4_confusion, q5_weighted_scores, q6_macro_scores, q7_regression, q9_dirichlet_alpha, q11_info_nce, q12_client_accuracy, q13_unseen_classes, e1_split_counts, e13_label_codes, e15_local_codes, e17_standardised,
+    q1_roc, q2_at_threshold, q3_average_precision, q4_confusion, q5_weighted_scores, q6_macro_scores, q7_regression, q9_dirichlet_alpha, q11_info_nce, q12_client_accuracy, q13_unseen_classes, e1_split_counts, e1_split_rows, e4_pair_split, e9_sampled_silos, e16_filled, e22_class_labels, e23_hash_labels, l11_target_columns, l6_varying_columns, l5_aligned_parties, f18_outlying_negatives, e13_label_codes, e15_local_codes, e17_standardised,
     e18_standardised_by_client, e19_min_max, e20_clean_plan, e21_binned_labels, e25_feature_signal, e10_value_samples, e10_value_samples_random, e11_bootstrap, e24_outliers, e28_sampled_clients, o6_top_classes, l1_fedavg, l3_scaffold, l4_vote, l7_masked_mean, l8_attention,
     l9_confidence, l15_local_training, l16_federated_rounds,
 )}
 
-_SC = "s AS (SELECT CAST(l_returnflag = 'R' AS INT) AS y, round(floor(l_extendedprice / 100) / 100 + l_discount, 2) AS score FROM lineitem)"
+_SC = "s AS (SELECT CAST(l_returnflag = 'R' AS INT) AS y, l_extendedprice / 10000 + l_discount AS score, l_orderkey, l_linenumber FROM lineitem)"
 _CU = f"""{_SC}, g AS (SELECT score, sum(y) AS pos, count(*) AS n FROM s GROUP BY 1), c AS (SELECT score, pos, n, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n - pos) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS np, sum(n - pos) OVER () AS nn FROM g)"""
 _CL = "s AS (SELECT l_returnflag AS y, CASE WHEN l_discount > 0.06 THEN 'A' WHEN l_quantity > 30 THEN 'N' ELSE 'R' END AS pred, l_suppkey FROM lineitem)"
 _PC = f"{_CL}, k AS (SELECT x AS class, count(*) FILTER (y = x) AS support, count(*) FILTER (pred = x) AS said, count(*) FILTER (y = x AND pred = x) AS tp FROM s, (SELECT unnest(['A', 'N', 'R']) AS x) GROUP BY 1), m AS (SELECT class, support, tp, coalesce(tp / nullif(said, 0), 0) AS p, tp / support AS r, 2 * tp / (said + support) AS f FROM k)"
 _W = "w AS (SELECT CAST(l_suppkey % 5 AS INT) AS client, CASE WHEN l_linestatus = 'O' THEN 'input' ELSE 'head' END AS layer, l_linenumber AS idx, round(avg(l_discount), 6) AS value FROM lineitem GROUP BY 1, 2, 3), n AS (SELECT CAST(l_suppkey % 5 AS INT) AS client, count(*) AS n FROM lineitem GROUP BY 1)"
 
+_EDGES = cat.SQL_EDGES
+_ROWS = "r AS (SELECT CAST(l_suppkey % 4 AS INT) AS client, l_quantity / 50 AS q, l_discount * 10 AS x, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem), n AS (SELECT client, count(*) AS n FROM r GROUP BY 1)"
+
+
+def _draw(key, seed):
+    return f"CAST('0x' || substr(md5(concat_ws('|', {key}, {seed})), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+def _descend(name, a, b, c, steps, mu):
+    """A recursive table (client, step, w0, w1, w2) of gradient steps over the rows of each client."""
+    p = "1 / (1 + exp(-(w.w0 * r.q + w.w1 * r.x + w.w2))) - r.y"
+    step = lambda w, x, start: f"any_value(w.{w}) - 0.5 * (avg(({p}) * {x}) + {mu} * (any_value(w.{w}) - {start}))"
+    return f"""{name} AS (SELECT client, 0 AS step, CAST({a} AS DOUBLE) AS w0, CAST({b} AS DOUBLE) AS w1, CAST({c} AS DOUBLE) AS w2 FROM n
+  UNION ALL SELECT w.client, w.step + 1, {step('w0', 'r.q', a)}, {step('w1', 'r.x', b)}, {step('w2', '1', c)} FROM {name} w JOIN r ON r.client = w.client WHERE w.step < {steps} GROUP BY w.client, w.step)"""
+
+
 SQL = {
     "q1_roc": f"WITH {_CU} SELECT round(sum((n - pos) * (tp - pos / 2)) / max(np * nn), 6) AS auc, round(arg_max(score, ROW(tp / np - fp / nn, score)), 6) AS threshold, round(max(tp / np - fp / nn), 6) AS youden FROM c",
     "q2_at_threshold": f"WITH {_SC}, c AS (SELECT count(*) FILTER (score >= 3 AND y = 1) AS tp, count(*) FILTER (score >= 3 AND y = 0) AS fp, count(*) FILTER (score < 3 AND y = 1) AS fn, count(*) FILTER (score < 3 AND y = 0) AS tn FROM s) SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c",
@@ -276,15 +367,35 @@ SELECT r.anchor, round(ln(sum(exp(s / 0.5))) - max(CASE WHEN k = k1 THEN s / 0.5
     "e21_binned_labels": "SELECT CAST(CASE WHEN p_retailprice <= 1050 THEN 900 WHEN p_retailprice <= 1350 THEN 1200 WHEN p_retailprice <= 1650 THEN 1500 ELSE 1800 END AS DOUBLE) AS bin, count(*) AS n FROM part GROUP BY 1",
     "e25_feature_signal": "WITH n AS (SELECT l_linestatus AS a, l_returnflag AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), q AS (SELECT n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM n) SELECT round(sum(n / t * ln(n * t / (na * nb))), 6) AS mi, (SELECT round(abs(corr(l_quantity, CAST(l_returnflag = 'R' AS INT))), 6) FROM lineitem) AS corr FROM q",
     "e10_value_samples": "WITH c AS (SELECT 'p_brand' AS column_name, p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part), n AS (SELECT column_name, value, count(*) AS n FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM n) SELECT column_name, CAST(rank AS INT) AS rank, value, n FROM r WHERE rank <= 3",
-    "e24_outliers": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS n_kinds FROM part",
-    "e28_sampled_clients": "SELECT CAST(r AS INT) AS round, (SELECT CAST(greatest(1, floor(count(*) * 0.3)) AS BIGINT) FROM nation) AS n FROM range(1, 4) x(r)",
+    "e24_outliers": f"WITH t AS (SELECT stddev_pop(p_retailprice) AS a, stddev_pop(p_size) AS b FROM part), s AS (SELECT *, CASE WHEN {_draw('p_partkey', 3)} < 0.5 THEN 1 ELSE -1 END AS w FROM part) SELECT p_partkey, round(p_retailprice + w * 3 * a, 4) AS p_retailprice, round(p_size + w * 3 * b, 4) AS p_size, 1 AS outlier FROM s, t",
+    "e28_sampled_clients": "WITH c AS (SELECT n_nationkey AS client, CAST(r AS INT) AS round, row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', n_nationkey, r, 4)), n_nationkey) AS k FROM nation, range(1, 4) x(r)) SELECT round, client FROM c WHERE k <= (SELECT greatest(1, floor(count(*) * 0.3)) FROM nation)",
+    "e1_split_rows": "WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(concat_ws('|', o_orderkey, 42)), o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderkey, o_orderstatus, CASE WHEN n > 1 AND k <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM r",
+    "e4_pair_split": f"WITH {_EDGES}, r AS (SELECT src, tgt, row_number() OVER (ORDER BY md5(concat_ws('|', src, tgt, 1)), src, tgt) - 1 AS k, count(*) OVER () AS n FROM e WHERE similarity >= 0.9) SELECT src, tgt, CASE WHEN k < floor(n * 0.7) THEN 'train' WHEN k < floor(n * 0.7) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS part FROM r",
+    "e9_sampled_silos": "WITH t AS (SELECT DISTINCT try_cast(trim(db_id) AS BIGINT) AS id FROM schema_tables WHERE table_name IS NOT NULL AND try_cast(trim(db_id) AS BIGINT) IS NOT NULL) SELECT id FROM t ORDER BY md5(concat_ws('|', id, 7)), id LIMIT 40",
+    "e16_filled": "SELECT coalesce(db_id, '__MISSING__') AS db_id, count(*) AS n, round(sum(CASE WHEN sparsity IS NULL OR isnan(sparsity) OR isinf(sparsity) THEN 0 ELSE sparsity END), 6) AS total FROM column_sparsity GROUP BY 1",
+    "e22_class_labels": "WITH t AS (SELECT c_mktsegment AS s FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT c_custkey, CAST(c_acctbal > (SELECT avg(c_acctbal) FROM customer) AS INT) AS rich, CAST(c_mktsegment = (SELECT s FROM t) AS INT) AS frequent, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS segment FROM customer",
+    "e23_hash_labels": f"SELECT c_custkey, CAST({_draw('c_name', 0)} < 0.5 AS INT) AS y FROM customer",
+    "l11_target_columns": "SELECT * FROM (VALUES ('customer', 'c_mktsegment'), ('orders', 'o_orderpriority'), ('part', 'p_retailprice'), ('supplier', 's_acctbal'), ('embeddings', 'label'), ('events', 'props')) v(table_name, target)",
+    "l6_varying_columns": "WITH r AS (SELECT l_quantity, l_discount, row_number() OVER (ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, 5)), l_orderkey, l_linenumber) AS k, count(*) OVER () AS n FROM lineitem) SELECT CASE WHEN k <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS part, count(*) AS n, 'l_quantity,l_discount' AS features, round(avg(l_quantity), 5) AS mean_l_quantity, round(avg(l_discount), 5) AS mean_l_discount FROM r GROUP BY 1",
+    "l5_aligned_parties": "WITH r AS (SELECT o_totalprice, c_acctbal, row_number() OVER (ORDER BY md5(concat_ws('|', o_orderkey, 3)), o_orderkey) - 1 AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0) SELECT CAST(floor(k / 256) AS BIGINT) AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS left_sum, round(sum(c_acctbal), 2) AS right_sum FROM r GROUP BY 1",
+    "f18_outlying_negatives": f"WITH {_CU}, f AS (SELECT score, 2 * (tp / (tp + fp)) * (tp / np) / (tp / (tp + fp) + tp / np + 1e-8) AS f1 FROM c), b AS (SELECT arg_max(score, ROW(f1, score)) AS bar FROM f) SELECT l_orderkey, l_linenumber, round(score, 6) AS score, round(bar, 6) AS bar FROM s, b WHERE y = 0 AND score >= bar",
+    "e10_value_samples_random": f"""WITH c AS (SELECT 'p_brand' AS column_name, p_brand AS value FROM part UNION ALL SELECT 'p_type', p_type FROM part), n AS (SELECT column_name, value, count(*) AS n, {_draw('value', 0)} AS h FROM c GROUP BY 1, 2),
+r AS (SELECT 'random' AS mode, column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY h, value) AS rank FROM n UNION ALL SELECT 'weighted', column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY ln(1 - h) / n DESC, value) FROM n
+  UNION ALL SELECT 'priority', column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY n / (h + 1e-9) DESC, value) FROM n) SELECT mode, column_name, CAST(rank AS INT) AS rank, value FROM r WHERE rank <= 3""",
+    "e11_bootstrap": f"""WITH u AS (SELECT r AS draw, c_acctbal AS v, {_draw("concat_ws('-', c_custkey, r)", 9)} AS u FROM customer, range(20) x(r) WHERE c_acctbal IS NOT NULL), w AS (SELECT draw, v, list_sum(list_transform({encode.POISSON}, lambda p: CASE WHEN u >= p THEN 1 ELSE 0 END)) AS w FROM u)
+SELECT CAST(draw AS INT) AS draw, round(sum(w * v) / sum(w), 5) AS mean FROM w GROUP BY 1""",
+    "l15_local_training": f"WITH RECURSIVE {_ROWS}, {_descend('w', '0.0', '0.0', '0.0', 8, 0.0)} SELECT w.client, CAST(i AS INT) AS idx, round(CASE i WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END, 6) AS value, n FROM w JOIN n USING (client), range(3) x(i) WHERE step = 8",
+    "l16_federated_rounds": f"""WITH RECURSIVE {_ROWS}, {_descend('w', '0.0', '0.0', '0.0', 4, 0.1)}, g AS (SELECT sum(n * w0) / sum(n) AS g0, sum(n * w1) / sum(n) AS g1, sum(n * w2) / sum(n) AS g2 FROM w JOIN n USING (client) WHERE step = 4),
+{_descend('v', '(SELECT g0 FROM g)', '(SELECT g1 FROM g)', '(SELECT g2 FROM g)', 4, 0.1)}, h AS (SELECT sum(n * w0) / sum(n) AS h0, sum(n * w1) / sum(n) AS h1, sum(n * w2) / sum(n) AS h2 FROM v JOIN n USING (client) WHERE step = 4),
+s AS (SELECT y, 1 / (1 + exp(-(h0 * q + h1 * x + h2))) >= 0.25 AS hit FROM r, h), c AS (SELECT count(*) FILTER (hit AND y = 1) AS tp, count(*) FILTER (hit AND y = 0) AS fp, count(*) FILTER (NOT hit AND y = 1) AS fn, count(*) FILTER (NOT hit AND y = 0) AS tn FROM s)
+SELECT tp, fp, fn, tn, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""",
     "o6_top_classes": "WITH n AS (SELECT p_type, row_number() OVER (ORDER BY count(*) DESC, p_type) AS k FROM part GROUP BY 1) SELECT CAST(CASE WHEN k < 4 THEN k ELSE 0 END AS INT) AS p_type_code, count(*) AS n FROM part JOIN n USING (p_type) GROUP BY 1",
     "l1_fedavg": f"WITH {_W} SELECT layer, idx, round(sum(n * value) / sum(n), 8) AS value FROM w JOIN n USING (client) GROUP BY 1, 2",
     "l3_scaffold": f"WITH {_W} SELECT layer, idx, round(0.5 + sum(n * value) / sum(n), 8) AS value FROM w JOIN n USING (client) GROUP BY 1, 2",
     "l4_vote": """WITH p AS (SELECT l_orderkey AS sample, l_suppkey % 3 AS client, round(max(l_tax), 4) AS outlier, round(avg(l_discount), 4) AS p FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY outlier, client) AS k FROM p)
 SELECT sample, CAST(CASE WHEN round(sum(p), 9) >= round(sum(0.1 - p), 9) THEN 0 ELSE 1 END AS INT) AS class FROM r WHERE k <= 2 GROUP BY 1""",
     "l7_masked_mean": f"WITH {_W} SELECT layer, idx, round(CASE WHEN layer = 'input' THEN sum(value * CASE WHEN (client + idx) % 2 = 0 THEN 1 ELSE 0 END) / (sum(CASE WHEN (client + idx) % 2 = 0 THEN 1 ELSE 0 END) + 1e-8) ELSE avg(value) END, 7) AS value FROM w GROUP BY 1, 2",
-    "l8_attention": f"""WITH {_W}, c AS (SELECT DISTINCT client FROM w), e AS (SELECT a.client, b.client AS other, exp(a.client * b.client / 10) AS x FROM c a JOIN c b ON a.client <> b.client), a AS (SELECT client, other, x / sum(x) OVER (PARTITION BY client) AS a FROM e),
+    "l8_attention": f"""WITH {_W}, c AS (SELECT DISTINCT client FROM w), e AS (SELECT client, (client + o) % 5 AS other, exp(client * ((client + o) % 5) / 10) AS x FROM c, range(1, 3) z(o)), a AS (SELECT client, other, x / sum(x) OVER (PARTITION BY client) AS a FROM e),
 m AS (SELECT a.client, w.layer, w.idx, sum(a.a * w.value) AS near FROM a JOIN w ON w.client = a.other GROUP BY ALL) SELECT w.client, w.layer, w.idx, round(CASE WHEN near IS NULL THEN value ELSE 0.7 * value + 0.3 * near END, 7) AS value FROM w LEFT JOIN m ON m.client = w.client AND m.layer = w.layer AND m.idx = w.idx""",
     "l9_confidence": """WITH n AS (SELECT CAST(l_suppkey % 5 AS INT) AS client, l_linenumber AS node, l_returnflag, count(*) AS k FROM lineitem GROUP BY ALL), s AS (SELECT client, sum(k) OVER (PARTITION BY client, node) AS deg, k / sum(k) OVER (PARTITION BY client, node) AS p FROM n),
 c AS (SELECT client, sum(deg * p * ln(p + 1e-12)) + sum(deg) / 3 * 3 * exp(-1) AS conf FROM s GROUP BY 1) SELECT client, round(conf / sum(conf) OVER (), 6) AS weight FROM c""",

@@ -54,7 +54,6 @@ def status_report(df: DataFrame, path: str) -> None:
 
 
 def latex(df: DataFrame, digits: int = 4) -> str:
-    """A small result as a LaTeX table body (K11); meant for reports of a few rows."""
-    rows = df.limit(1000).collect()
+    """A result as the body of a LaTeX table (K11), all rows in the order of ``df``, fetched part by part."""
     cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    return "\n".join(" & ".join(cell(v) for v in r) + r" \\" for r in rows)
+    return "\n".join(" & ".join(cell(v) for v in r) + r" \\" for r in df.toLocalIterator())
