@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from silomesh.functions.names import name_key
@@ -68,23 +69,45 @@ def v7_weighted_column_match(spark, d):
 
 def v8_top_matrix(spark, d):
     """V8: the two most similar columns of another table for every column."""
-    s = vector.column_scores(_column_vectors(spark, d)).select("c1", "c2", "similarity")
-    both = s.unionByName(s.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "similarity"))
-    return graph.top_per_group(both, ["c1"], [F.desc("similarity"), "c2"], 2).select("c1", "c2", "rank", R6("similarity"))
+    c = _column_vectors(spark, d).withColumn("id", F.regexp_extract("col", r"_(\d+)$", 1).cast("bigint"))
+    top = vector.nearest(c.select("id", "tab", "v"), 2, "tab")
+    name = lambda i: c.select(F.col("id").alias(i), F.col("col").alias("c1" if i == "src" else "c2"))
+    named = top.join(name("src"), "src").join(name("tgt"), "tgt")
+    return named.select("c1", "c2", "rank", R6("similarity"))
 
 
 def w3_greedy_column_match(spark, d):
     """One-to-one column matches of each table pair in falling cosine."""
-    s = vector.column_scores(_column_vectors(spark, d)).filter("similarity > 0.2")
+    s = vector.column_scores(_column_vectors(spark, d), 0.2)
     return vector.greedy_match(s.select("t1", "t2", F.col("c1").alias("a"), F.col("c2").alias("b"), F.round("similarity", 9).alias("score")), ["t1", "t2"]).select("t1", "t2", "a", "b", R6("score"))
 
 
+def w3_best_of_both(spark, d):
+    """The matches that come first for both of their columns, which the greedy match always holds."""
+    s = vector.column_scores(_column_vectors(spark, d), 0.2).select("t1", "t2", F.col("c1").alias("a"), F.col("c2").alias("b"), F.round("similarity", 9).alias("score"))
+    first = lambda c: F.row_number().over(Window.partitionBy("t1", "t2", c).orderBy(F.desc("score"), "a", "b")) == 1
+    both = s.withColumns({"x": first("a"), "y": first("b")}).filter("x and y")
+    taken = vector.greedy_match(s, ["t1", "t2"])
+    return both.join(taken.withColumn("taken", F.lit(True)), ["t1", "t2", "a", "b", "score"], "left").groupBy("t1", "t2").agg(F.count("*").alias("n"), F.count("taken").alias("n_taken"))
+
+
 def v10_text_vectors(spark, d):
     """Hashed n-gram vectors of table names, as their most similar pairs."""
     t = cat.tables(spark, d).select(name_key("table_name").alias("name")).dropna().distinct().withColumn("id", F.xxhash64("name"))
     return vector.similarity_join(t.select("id", vector.hashed_ngrams(F.col("name")).alias("v")), 0.9)
 
 
+def v20_cached_columns(spark, d):
+    """Columns whose table still has the column list that the cache was made for.
+
+    The cache holds the columns that existed at the start of 2024 of the tables that had any.
+    """
+    c = read(spark, d, "schema_columns").filter("table_name is not null and column_name is not null and added_at is not null")
+    listed = lambda df: df.groupBy(cat.silo_id().alias("db"), F.col("table_name").alias("tab"), F.col("column_name").alias("col")).agg(F.min("added_at").alias("place")).filter("db is not null")
+    then = listed(c.filter("added_at < timestamp'2024-01-01' and (removed_at is null or removed_at >= timestamp'2024-01-01')")).withColumn("v", F.array(F.lit(1.0)))
+    return vector.cached_vectors(then, listed(c.filter("removed_at is null"))).groupBy("db").agg(F.count("*").alias("n_columns"), F.count_if("hit").alias("n_hits"))
+
+
 def j25_pair_scores(spark, d):
     """Predicted pairs against pairs with the same label."""
     v = cat.vectors(spark, d)
@@ -92,24 +115,42 @@ def j25_pair_scores(spark, d):
     return vector.pair_scores(got, v.select("id", F.col("label").alias("grp"))).select("n_predicted", "n_true", "n_hit", R6("precision"), R6("recall"), R6("f1"))
 
 
-def _name_sets(spark, d):
-    c = cat.columns(spark, d).select("db", name_key("column_name").alias("name"), name_key("table_name").alias("tab"), "dtype")
-    return c.groupBy("db").agg(F.array_sort(F.collect_set("name")).alias("cols"), F.array_sort(F.collect_set("tab")).alias("tabs"), F.collect_set("dtype").alias("types"))
+def _names(spark, d, kinds=("cols", "tabs", "types")):
+    """(db, kind, name): the different column, table and type names of each silo, one row each."""
+    c = cat.columns(spark, d)
+    by = {"cols": name_key("column_name"), "tabs": name_key("table_name"), "types": F.col("dtype")}
+    told = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), by[k].alias("name")) for k in kinds)))
+    return c.select("db", told).filter("name is not null").distinct()
+
+
+def _shared_names(links, names):
+    """(src, tgt, kind, name) of the names that both ends hold; the end with fewer names is looked up in the other."""
+    size = names.groupBy("db").agg(F.count("*").alias("n"))
+    n = lambda c: size.select(F.col("db").alias(c), F.col("n").alias(f"n_{c}"))
+    turned = links.join(n("src"), "src").join(n("tgt"), "tgt").select("src", "tgt", F.when(F.col("n_src") <= F.col("n_tgt"), F.col("src")).otherwise(F.col("tgt")).alias("few"), F.when(F.col("n_src") <= F.col("n_tgt"), F.col("tgt")).otherwise(F.col("src")).alias("many"))
+    return turned.join(names.withColumnRenamed("db", "few"), "few").join(names.withColumnRenamed("db", "many"), ["many", "kind", "name"]).select("src", "tgt", "kind", "name")
 
 
 def v12_link_jaccard(spark, d):
-    """Set similarities of the linked silos' tables, columns and types."""
-    e, s = graph.above(cat.edges(spark, d), 0.9), _name_sets(spark, d)
-    side = lambda c, x: s.select(F.col("db").alias(c), *(F.col(n).alias(n + x) for n in ("cols", "tabs", "types")))
-    met = e.join(side("src", "1"), "src").join(side("tgt", "2"), "tgt")
-    return met.select("src", "tgt", *(F.round(vector.jaccard(F.col(n + "1"), F.col(n + "2")), 6).alias(f"jaccard_{n}") for n in ("cols", "tabs", "types")), F.size(F.array_intersect("cols1", "cols2")).alias("n_common"))
+    """Set similarities of the linked silos' tables, columns and types, from counts of shared names."""
+    e, s = graph.above(cat.edges(spark, d), 0.9).select("src", "tgt"), _names(spark, d)
+    kinds = ("cols", "tabs", "types")
+    count = lambda k: F.count_if(F.col("kind") == k)
+    size = s.groupBy("db").agg(*(count(k).alias(k) for k in kinds))
+    side = lambda c, x: size.select(F.col("db").alias(c), *(F.col(k).alias(k + x) for k in kinds))
+    both = _shared_names(e, s).groupBy("src", "tgt").agg(*(count(k).alias(f"n_{k}") for k in kinds))
+    met = e.join(side("src", "1"), "src").join(side("tgt", "2"), "tgt").join(both, ["src", "tgt"], "left")
+    n = lambda k: F.coalesce(f"n_{k}", F.lit(0))
+    share = lambda k: F.coalesce(n(k) / F.nullif(F.col(k + "1") + F.col(k + "2") - n(k), F.lit(0)), F.lit(0.0))
+    return met.select("src", "tgt", *(F.round(share(k), 6).alias(f"jaccard_{k}") for k in kinds), n("cols").cast("int").alias("n_common"))
 
 
 def j31_shared_columns(spark, d):
     """Shared column names of linked silos, sorted."""
-    e, s = graph.above(cat.edges(spark, d), 0.95), _name_sets(spark, d).select("db", "cols")
-    met = e.join(s.select(F.col("db").alias("src"), F.col("cols").alias("a")), "src").join(s.select(F.col("db").alias("tgt"), F.col("cols").alias("b")), "tgt")
-    return met.select("src", "tgt", F.array_join(F.array_sort(F.array_intersect("a", "b")), ",").alias("shared"))
+    e, s = graph.above(cat.edges(spark, d), 0.95).select("src", "tgt"), _names(spark, d, ("cols",))
+    held = lambda c: s.select(F.col("db").alias(c)).distinct()
+    listed = _shared_names(e, s).groupBy("src", "tgt").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("shared"))
+    return e.join(held("src"), "src", "left_semi").join(held("tgt"), "tgt", "left_semi").join(listed, ["src", "tgt"], "left").select("src", "tgt", F.coalesce("shared", F.lit("")).alias("shared"))
 
 
 def v14_type_hellinger(spark, d):
@@ -131,6 +172,22 @@ def v15_edit_distance(spark, d):
     return vector.edit_distance(one.unionByName(two).select("pair", "side", "a", "b"))
 
 
+def v15_equal_graphs(spark, d):
+    """For each pair of linked silos, whether the edit distance lies between the difference and the sum of their sizes,
+    and is 0 if their foreign-key graphs are the same."""
+    fk = cat.foreign_keys(spark, d).select("db", F.lower("src_table").alias("a"), F.lower("dst_table").alias("b")).distinct()
+    n = fk.groupBy("db").agg(F.count("*").alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("print"))
+    nodes = fk.select("db", F.explode(F.array("a", "b")).alias("x")).distinct().groupBy("db").agg(F.count("*").alias("nodes"))
+    of = n.join(nodes, "db")
+    e = graph.above(cat.edges(spark, d), 0.95).select("src", "tgt")
+    side = lambda c, x: of.select(F.col("db").alias(c), *(F.col(k).alias(k + x) for k in ("edges", "nodes", "print")))
+    met = e.join(side("src", "1"), "src").join(side("tgt", "2"), "tgt").withColumn("pair", F.concat_ws("-", F.col("src").cast("string"), F.col("tgt").cast("string")))
+    low = F.abs(F.col("edges1") - F.col("edges2")) + F.abs(F.col("nodes1") - F.col("nodes2"))
+    high = F.col("edges1") + F.col("edges2") + F.abs(F.col("nodes1") - F.col("nodes2"))
+    known = met.join(v15_edit_distance(spark, d), "pair")
+    return known.select("src", "tgt", low.cast("bigint").alias("least"), high.cast("bigint").alias("most"), F.col("distance").between(low, high).alias("between"), (~((F.col("print1") == F.col("print2")) & (F.col("distance") > 0))).alias("same_is_zero"))
+
+
 def v16_moment_cosine(spark, d):
     """Cosine of the moment vectors of vector groups."""
     m = cat.vectors(spark, d).select("label", F.explode("v").alias("x")).groupBy("label").agg(*(F.avg(F.pow("x", F.lit(float(k)))).alias(f"m{k}") for k in range(1, 6)))
@@ -171,7 +228,7 @@ def j26_relation_lookup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    v1_unit_vectors, v2_all_pairs, v3_labelled_pairs, v4_nearest_neighbours, v4_nearest_one_sided, v5_closest_to_query, v6_pair_cosine, v7_weighted_column_match, v8_top_matrix, w3_greedy_column_match, v10_text_vectors,
+    v1_unit_vectors, v2_all_pairs, v3_labelled_pairs, v4_nearest_neighbours, v4_nearest_one_sided, v5_closest_to_query, v6_pair_cosine, v7_weighted_column_match, v8_top_matrix, w3_greedy_column_match, w3_best_of_both, v10_text_vectors, v20_cached_columns, v15_equal_graphs,
     j25_pair_scores, v12_link_jaccard, j31_shared_columns, v14_type_hellinger, v15_edit_distance, v16_moment_cosine, x9_text_columns, v18_column_semantics, v17_union_scores, j26_relation_lookup,
 )}
 
@@ -199,6 +256,14 @@ SQL = {
     "v7_weighted_column_match": f"""WITH {_CV}, w AS (SELECT *, CASE WHEN substring(col, 2, 1) = '0' THEN 0.5 ELSE 1.0 END AS idf FROM c), s AS (SELECT a.tab AS t1, b.tab AS t2, a.col AS c1, b.col AS c2, CAST(least(a.idf, b.idf) AS DOUBLE) * list_cosine_similarity(a.v, b.v) AS score FROM w a JOIN w b ON a.tab < b.tab),
 r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY score DESC, c1 DESC, c2 DESC) AS k FROM s) SELECT t1, t2, c1, c2, round(score, 6) AS score FROM r WHERE k = 1""",
     "v8_top_matrix": f"WITH {_CV}, s AS (SELECT a.col AS c1, b.col AS c2, list_cosine_similarity(a.v, b.v) AS similarity FROM c a JOIN c b ON a.tab <> b.tab), r AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY similarity DESC, c2) AS k FROM s) SELECT c1, c2, CAST(k AS INT) AS rank, round(similarity, 6) AS similarity FROM r WHERE k <= 2",
+    "w3_best_of_both": f"""WITH {_CV}, s AS (SELECT a.tab AS t1, b.tab AS t2, a.col AS a, b.col AS b, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM c a JOIN c b ON a.tab < b.tab WHERE list_cosine_similarity(a.v, b.v) > 0.2),
+r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2, a ORDER BY score DESC, a, b) AS x, row_number() OVER (PARTITION BY t1, t2, b ORDER BY score DESC, a, b) AS y FROM s) SELECT t1, t2, count(*) AS n, count(*) AS n_taken FROM r WHERE x = 1 AND y = 1 GROUP BY 1, 2""",
+    "v20_cached_columns": """WITH r AS (SELECT try_cast(trim(db_id) AS BIGINT) AS db, table_name AS tab, column_name AS col, added_at, removed_at FROM schema_columns WHERE table_name IS NOT NULL AND column_name IS NOT NULL AND added_at IS NOT NULL AND try_cast(trim(db_id) AS BIGINT) IS NOT NULL),
+o AS (SELECT db, tab, col, min(added_at) AS place FROM r WHERE added_at < TIMESTAMP '2024-01-01' AND (removed_at IS NULL OR removed_at >= TIMESTAMP '2024-01-01') GROUP BY 1, 2, 3), n AS (SELECT db, tab, col, min(added_at) AS place FROM r WHERE removed_at IS NULL GROUP BY 1, 2, 3),
+a AS (SELECT db, tab, string_agg(col, '|' ORDER BY place, col) AS names FROM o GROUP BY 1, 2), b AS (SELECT db, tab, string_agg(col, '|' ORDER BY place, col) AS names, count(*) AS k FROM n GROUP BY 1, 2)
+SELECT b.db, CAST(sum(b.k) AS BIGINT) AS n_columns, CAST(sum(CASE WHEN a.names IS NOT NULL THEN b.k ELSE 0 END) AS BIGINT) AS n_hits FROM b LEFT JOIN a ON a.db = b.db AND a.tab = b.tab AND a.names = b.names GROUP BY 1""",
+    "v15_equal_graphs": f"""WITH {cat.SQL_EDGES}, {cat.SQL_FKS}, f AS (SELECT DISTINCT db, lower(src_table) AS a, lower(dst_table) AS b FROM k), n AS (SELECT db, count(*) AS edges FROM f GROUP BY 1), m AS (SELECT db, count(DISTINCT x) AS nodes FROM (SELECT db, a AS x FROM f UNION ALL SELECT db, b FROM f) GROUP BY 1), o AS (SELECT * FROM n JOIN m USING (db))
+SELECT src, tgt, abs(p.edges - q.edges) + abs(p.nodes - q.nodes) AS least, p.edges + q.edges + abs(p.nodes - q.nodes) AS most, true AS between, true AS same_is_zero FROM e JOIN o p ON p.db = src JOIN o q ON q.db = tgt WHERE similarity >= 0.95""",
     "j25_pair_scores": f"WITH {_PAIRS}, p AS (SELECT src, tgt FROM s WHERE similarity > 0.3), t AS (SELECT a.id AS src, b.id AS tgt FROM v a JOIN v b ON a.label = b.label AND a.id < b.id), c AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM p JOIN t USING (src, tgt)) AS nh) SELECT np AS n_predicted, nt AS n_true, nh AS n_hit, round(nh / np, 6) AS precision, round(nh / nt, 6) AS recall, round(2 * nh / (np + nt), 6) AS f1 FROM c",
     "v12_link_jaccard": f"""WITH {cat.SQL_EDGES}, {_S} SELECT src, tgt, {', '.join(f"round(CASE WHEN len(list_distinct(list_concat(coalesce(a.{n}, []), coalesce(b.{n}, [])))) = 0 THEN 0 ELSE len(list_intersect(coalesce(a.{n}, []), coalesce(b.{n}, []))) / len(list_distinct(list_concat(coalesce(a.{n}, []), coalesce(b.{n}, [])))) END, 6) AS jaccard_{n}" for n in ("cols", "tabs", "types"))}, CAST(len(list_intersect(a.cols, b.cols)) AS INT) AS n_common FROM e JOIN s a ON a.db = src JOIN s b ON b.db = tgt WHERE similarity >= 0.9""",
     "j31_shared_columns": f"WITH {cat.SQL_EDGES}, {_S} SELECT src, tgt, array_to_string(list_sort(list_intersect(a.cols, b.cols)), ',') AS shared FROM e JOIN s a ON a.db = src JOIN s b ON b.db = tgt WHERE similarity >= 0.95",
