@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silomesh.operators.encode import draw, position, token
+from silomesh.operators.encode import draw, position, range_slices, token
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -34,6 +34,135 @@ def fk_left_join(base: DataFrame, right: DataFrame, left_key: str, right_key: st
     return out if cap is None else out.orderBy(*out.columns).limit(cap)
 
 
+def joinable(left: Sequence[str], right_name: str, right: Sequence[str], keys: Sequence[tuple[str, str, str, str]], held: Sequence[str]) -> list[str]:
+    """The columns on which a table can join along foreign keys (J3), in order: first the keys of the table itself, then
+    the keys that point at it from the tables ``held`` on the left side.
+
+    ``keys`` are (table, column, reference table, reference column); a key counts when both sides have its column and the
+    two names are equal.
+    """
+    own = [(c, r) for t, c, _, r in keys if t == right_name]
+    back = [(c, r) for t, c, rt, r in keys if rt == right_name and t in held]
+    return [c for c, r in own if c == r and c in right and c in left] + [c for c, r in back if c == r and c in left and c in right]
+
+
+def join_chain(tables: dict[str, DataFrame], keys: Sequence[tuple[str, str, str, str]], base: str | None = None, cap: int | None = None) -> DataFrame:
+    """Left joins of all tables that foreign keys reach, in the order given.
+
+    ``base`` is the table of the label, by default the largest.  A table joins on the first key that ``joinable`` finds, if
+    its side of the key has more than one value; other columns that both sides have get the suffix ``_<table>``.  The chain
+    ends when more than ``cap`` rows are reached; the first ``cap`` in the order of all columns are kept then.
+    """
+    if base is None:
+        sizes = {t: df.count() for t, df in tables.items()}
+        base = max(sizes, key=lambda t: sizes[t])
+    out, held = tables[base], [base]
+    for name, df in tables.items():
+        found = joinable(out.columns, name, df.columns, keys, held) if name != base else []
+        if not found or df.select(found[0]).dropna().distinct().limit(2).count() < 2:
+            continue
+        right = df.select(*(F.col(c).alias(f"{c}_{name}" if c in out.columns and c != found[0] else c) for c in df.columns))
+        out, held = out.join(right, found[0], "left"), [*held, name]
+        if cap is not None and out.limit(cap + 1).count() > cap:
+            return out.orderBy(*out.columns).limit(cap)
+    return out
+
+
+def union_schema(parties: dict[str, DataFrame]) -> DataFrame:
+    """(party, columns..., mask) of all rows under the sorted union of the parties' normalised names.
+
+    A column that a party lacks, or a value that is missing, is 0; ``mask`` tells for each column in order whether the party
+    has it.
+    """
+    key = lambda c: "".join(ch for ch in c.lower() if ch.isalnum())
+    of = {p: {key(c): c for c in reversed(df.columns) if key(c)} for p, df in parties.items()}
+    names = sorted({n for m in of.values() for n in m})
+    out = None
+    for p, df in parties.items():
+        held = [F.coalesce(F.col(of[p][n]).cast("double"), F.lit(0.0)).alias(n) if n in of[p] else F.lit(0.0).alias(n) for n in names]
+        rows = df.select(F.lit(p).alias("party"), *held, F.array(*(F.lit(n in of[p]) for n in names)).alias("mask"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def column_map(columns: DataFrame) -> DataFrame:
+    """(db, name, original, n_silos, everywhere): the original of every union name in each silo that has it.
+
+    ``columns`` is (db, name, column_name).  A silo's mask is true for the names it has a row for; names that aren't
+    everywhere are the ones that a common schema omits.
+    """
+    own = columns.groupBy("db", "name").agg(F.min("column_name").alias("original"))
+    n = own.groupBy("name").agg(F.count("*").alias("n_silos"))
+    whole = own.agg(F.count_distinct("db").alias("whole"))
+    return own.join(n, "name").join(F.broadcast(whole)).select("db", "name", "original", "n_silos", (F.col("n_silos") == F.col("whole")).alias("everywhere"))
+
+
+def complete_labels(left: DataFrame, right: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the rows that miss their label (F7); an error if that leaves a side empty."""
+    out = left.dropna(subset=[label]), right.dropna(subset=[label])
+    for name, df in zip(("left", "right"), out):
+        if df.isEmpty():
+            raise ValueError(f"no row of the {name} side has {label}")
+    return out
+
+
+def shared_labels(counts: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(db, table_name, column_name, n_rows, n_classes): possible labels (F11) whose name holds one of ``wanted``, case and
+    underscores aside, with at least ten rows and two to ten classes, from (db, table_name, column_name, value, n)."""
+    plain = F.replace(F.lower("column_name"), F.lit("_"), F.lit(""))
+    named = counts.filter("value is not null").filter(sum((plain.contains(w.replace("_", "")).cast("int") for w in wanted), F.lit(0)) > 0)
+    return named.groupBy("db", "table_name", "column_name").agg(F.sum("n").alias("n_rows"), F.count_distinct("value").alias("n_classes")).filter("n_rows >= 10 and n_classes between 2 and 10")
+
+
+def full_negatives(triplets: DataFrame, ids: DataFrame, blocks: int = 16) -> DataFrame:
+    """(anchor, positive, negative): every id but its own two for each triplet of a stated query set.
+
+    Ids are cut into blocks and every triplet is sent to each block once, so a task holds one block and its triplets.
+    """
+    cut = ids.select(F.col("id").alias("negative"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    asked = triplets.select("anchor", "positive", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return asked.join(cut, "block").filter("negative <> anchor and negative <> positive").select("anchor", "positive", "negative")
+
+
+def table_triplets(tables: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(split, table_id, i, negative, side): web-table triplets.
+
+    ``tables`` is (table_id, valid_vertical, valid_horizontal).  A table valid for a split is cut into an anchor and its
+    positive; each of its ``k`` negatives is a random ``side`` of another table that is valid for the split.
+    """
+    kinds = F.inline(F.array(*(F.struct(F.lit(s).alias("split"), F.col(f"valid_{s}").alias("valid")) for s in ("vertical", "horizontal"))))
+    valid = tables.select("table_id", kinds).filter("valid").select("split", "table_id")
+    placed = position(valid, ["split"], ["table_id", F.lit(seed)])
+    n = valid.groupBy("split").agg(F.count("*").alias("n"))
+    asked = placed.join(F.broadcast(n), "split").filter("n > 1").select("split", "table_id", "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    name = F.concat_ws("-", "split", "table_id", "i")
+    step = F.floor(draw(name, seed) * (F.col("n") - 1)) + 1
+    asked = asked.select("split", "table_id", "i", F.pmod(F.col("pos") + step, F.col("n")).alias("at"), F.when(draw(name, seed + 1) < 0.5, "first").otherwise("second").alias("side"))
+    return asked.join(placed.select("split", F.col("pos").alias("at"), F.col("table_id").alias("negative")), ["split", "at"]).select("split", "table_id", "i", "negative", "side")
+
+
+def attempts(tasks: DataFrame, done: DataFrame, slots: int, retries: int = 2) -> DataFrame:
+    """(task, attempt, status, wave, slot): what a queue runs.
+
+    ``tasks`` is (task, failures): how often a task fails before it succeeds.  Tasks that are ``done`` are skipped; the rest
+    start in the order of their ids, ``slots`` at a time, and run again after a failure, ``retries`` times at most.
+    """
+    left = tasks.join(done.select("task"), "task", "left_anti")
+    at = _in_order(left, "task")
+    tried = at.select("task", "failures", "pos", F.explode(F.sequence(F.lit(1), F.least(F.col("failures") + 1, F.lit(retries + 1)).cast("int"))).alias("attempt"))
+    status = F.when(F.col("attempt") > F.col("failures"), "done").when(F.col("attempt") > retries, "given up").otherwise("failed")
+    return tried.select("task", "attempt", status.alias("status"), F.floor(F.col("pos") / slots).cast("bigint").alias("wave"), F.pmod(F.col("pos"), F.lit(slots)).cast("bigint").alias("slot"))
+
+
+def _in_order(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its 0-based ``pos`` in the order of a key, numbered in ranges."""
+    held = range_slices(df, [F.col(key)])
+    sizes = held.groupBy("_slice").agg(F.count("*").alias("_n"))  # one row for each range
+    shift = sizes.select("_slice", (F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")).alias("_s"))
+    own = held.withColumn("_o", F.row_number().over(Window.partitionBy("_slice").orderBy(key)) - 1)
+    return own.join(F.broadcast(shift), "_slice").withColumn("pos", F.col("_s") + F.col("_o")).drop("_slice", "_s", "_o")
+
+
 def join_size(tables: dict[str, DataFrame], links: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """One row: rows of the inner join of a tree of foreign keys, from key counts alone.
 

@@ -70,3 +70,12 @@ def byte_size(n: Column) -> Column:
     """A number of bytes with two decimals in B, KB, MB or GB (X18); halves round up."""
     in_unit = lambda size, unit: F.concat(F.format_string("%.2f", F.floor(n * 100 / float(size) + 0.5) / 100), F.lit(f" {unit}"))
     return F.when(n >= 1 << 30, in_unit(1 << 30, "GB")).when(n >= 1 << 20, in_unit(1 << 20, "MB")).when(n >= 1 << 10, in_unit(1 << 10, "KB")).otherwise(in_unit(1, "B"))
+
+
+def legacy_text(columns: DataFrame, sep: str = ", ", tables_only: bool = False, properties: bool = False) -> DataFrame:
+    """(db, text) in the older forms (X11): one line for each table with its columns between separators, or table names
+    alone; ``properties`` adds the property id of a column in brackets.  ``columns`` is (db, table_name, column_name, prop)."""
+    shown = F.concat("column_name", F.when(F.col("prop").isNotNull(), F.concat(F.lit(" ("), "prop", F.lit(")"))).otherwise(F.lit(""))) if properties else F.col("column_name")
+    body = _joined(columns.withColumn("line", shown), ["db", "table_name"], ["column_name"], "line", sep, "body")
+    line = F.col("table_name") if tables_only else F.concat("table_name", F.lit(": "), "body")
+    return _joined(body.withColumn("row", line), ["db"], ["table_name"], "row", "\n", "text").select("db", "text")

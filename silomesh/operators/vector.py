@@ -184,7 +184,7 @@ def greedy_match(scores: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 def hashed_ngrams(text: Column, dims: int = 64, n: int = 3) -> Column:
     """A deterministic text vector: counts of hashed character n-grams, unit length."""
     t = F.lower(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.pmod(F.xxhash64(F.substr(t, i, F.lit(n))), F.lit(dims)).cast("int"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.pmod(F.conv(F.substring(F.md5(F.substr(t, i, F.lit(n))), 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int"))
     counts = lambda g: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda s: F.size(F.filter(g, lambda x: x == s)).cast("double"))
     return bound(grams, lambda g: bound(counts(g), unit))
 

@@ -134,9 +134,18 @@ def g9_induced_edges(spark, d):
 
 
 def g10_subgraph(spark, d):
-    """Subgraph of three silos without links, completed to a clique."""
-    ids = _nodes(spark, d).orderBy("id").limit(3)
-    return graph.subgraph(graph.above(cat.edges(spark, d), 2.0), ids)
+    """Subgraph of the silos of two map labels, with every link in both directions."""
+    ids = read(spark, d, "cluster_assignments").filter("cluster in (1, 2)").select(F.col("db_id").alias("id")).distinct()
+    return graph.subgraph(_near(spark, d, 0.7), ids).select("src", "tgt", R6("similarity"))
+
+
+def o11_random_silos(spark, d):
+    """Thirty silos in a random order from the components of at most six."""
+    from silomesh.operators.encode import sample_ids
+
+    of = graph.connected_components(_near(spark, d))
+    small = of.groupBy("component").agg(F.count("*").alias("size")).filter("size <= 6")
+    return sample_ids(of.join(small, "component", "left_semi"), 30, 3)
 
 
 def g11_collapse(spark, d):
@@ -153,11 +162,11 @@ def g12_random_subgraphs(spark, d):
 
 
 def g13_neighbour_lists(spark, d):
-    """Neighbours of each silo with the standardised similarity of the links."""
+    """Neighbour table: each silo with each of its neighbours and the standardised similarity of the link."""
     z = _near(spark, d)
     m = z.agg(F.avg("similarity").alias("mean"), F.stddev_pop("similarity").alias("sd"))
     scaled = graph.mirrored(z.join(F.broadcast(m)).select("src", "tgt", ((F.col("similarity") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))).alias("z")))
-    return scaled.groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("tgt")), ",").alias("near"), F.round(F.avg("z"), 5).alias("avg_z"))
+    return scaled.select("src", "tgt", F.round("z", 5).alias("z"))
 
 
 def o10_hub_and_low_neighbours(spark, d):
@@ -195,17 +204,17 @@ def o1_top_valid_pairs(spark, d):
 
 
 def w5_top_with_ties(spark, d):
-    """Top 50 pairs by similarity in steps of 1e-4; the last tie group is cut by a hash, the counts are exact."""
-    step = F.floor(F.col("similarity") * 1e4 + 0.5).cast("bigint")
-    groups = cat.edges(spark, d).groupBy(step.alias("step")).agg(F.count("*").alias("n"))
-    before = groups.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("step"))))
-    return before.withColumn("taken", F.greatest(F.lit(0), F.least("n", 50 - (F.col("upto") - F.col("n"))))).filter("taken > 0").select("step", "n", "taken")
+    """The top 50 pairs by similarity in steps of 1e-4; the last tie group is cut in a random order."""
+    from silomesh.operators.pairs import top_tie_sample
+
+    return top_tie_sample(cat.edges(spark, d), "similarity", ["src", "tgt"], 50).select("src", "tgt", R6("similarity"))
 
 
 def j24_compare_edges(spark, d):
-    """Links of the first half of the loads against all links."""
-    p = read(spark, d, "pair_metadata").filter((F.col("db_id1") != F.col("db_id2")) & ~is_nan(F.col("similarity")) & F.col("similarity").between(-1, 1)).select(F.col("db_id2").alias("src"), F.col("db_id1").alias("tgt"), "similarity", "pair_id")
-    return graph.compare_edges(p.filter("pair_id % 2 = 0"), cat.edges(spark, d)).select("n_common", "only_left", "only_right", "n_equal", R6("match_rate"))
+    """The similarity of each pair's last sample against its largest one."""
+    p = read(spark, d, "pair_metadata").filter((F.col("db_id1") != F.col("db_id2")) & ~is_nan(F.col("similarity")) & F.col("similarity").between(-1, 1) & F.col("sampled_at").isNotNull())
+    last = p.groupBy(F.greatest("db_id1", "db_id2").alias("src"), F.least("db_id1", "db_id2").alias("tgt")).agg(F.max(F.struct("sampled_at", "pair_id", "similarity"))["similarity"].alias("similarity"))
+    return graph.compare_edges(last, cat.edges(spark, d)).select("n_common", "only_left", "only_right", "n_equal", R6("match_rate"))
 
 
 def j15_edge_properties(spark, d):
@@ -226,17 +235,14 @@ def a35_similarity_histogram(spark, d):
 
 
 def u3_common_neighbours(spark, d):
-    """Pairs of linked silos and the silos linked to both."""
-    m = graph.mirrored(_near(spark, d)).select("src", "tgt")
-    e = _near(spark, d)
-    both = e.join(m.withColumnRenamed("tgt", "via"), "src").join(m.select(F.col("src").alias("tgt"), F.col("tgt").alias("via")), ["tgt", "via"])
-    return both.groupBy("src", "tgt").agg(F.count("*").alias("n_shared"))
+    """Pairs of linked silos and how many silos are linked to both."""
+    return graph.common_neighbours(_near(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (
     f1_similarity_filter, f2_strict_filter, f4_range_filter, a14_threshold_sweep, a15_density, g8_degrees, a11_degree_stats, g1_mirrored_edges, g3_components, g4_component_of_seed, g5_fk_components, a13_component_sizes,
     a33_component_probability, f17_small_components, g6_component_modularity, g6_louvain, g7_label_propagation, g9_induced_edges, g10_subgraph, g11_collapse, g12_random_subgraphs, g13_neighbour_lists, o10_hub_and_low_neighbours,
-    o12_low_degree_pool, o2_top_per_cluster, o3_closest_to_target, o1_top_valid_pairs, w5_top_with_ties, j24_compare_edges, j15_edge_properties, j11_node_semantics, a35_similarity_histogram, u3_common_neighbours,
+    o12_low_degree_pool, o11_random_silos, o2_top_per_cluster, o3_closest_to_target, o1_top_valid_pairs, w5_top_with_ties, j24_compare_edges, j15_edge_properties, j11_node_semantics, a35_similarity_histogram, u3_common_neighbours,
 )}
 
 _E = cat.SQL_EDGES
@@ -275,9 +281,9 @@ y1 AS (SELECT id, k, sum(y) AS y FROM (SELECT w.src AS id, y0.k, 0.5 * w.w * y0.
 y2 AS (SELECT id, k, sum(y) AS y FROM (SELECT w.src AS id, y1.k, 0.5 * w.w * y1.y AS y FROM w JOIN y1 ON y1.id = w.tgt UNION ALL SELECT id, k, 0.5 * y FROM y0) GROUP BY 1, 2)
 SELECT id, k, round(y, 6) AS y FROM y2 WHERE y > 0""",
     "g9_induced_edges": f"WITH {_E}, x AS (SELECT DISTINCT db_id FROM cluster_assignments WHERE cluster = 1) SELECT src, tgt, round(similarity, 6) AS similarity FROM e WHERE similarity >= 0.7 AND src IN (SELECT db_id FROM x) AND tgt IN (SELECT db_id FROM x)",
-    "g10_subgraph": f"WITH {_DB}, q AS (SELECT DISTINCT db FROM b ORDER BY db LIMIT 3) SELECT a.db AS src, c.db AS tgt, CAST(1 AS DOUBLE) AS similarity FROM q a, q c WHERE a.db <> c.db",
+    "g10_subgraph": f"WITH {_E}, q AS (SELECT DISTINCT db_id AS db FROM cluster_assignments WHERE cluster IN (1, 2)), i AS (SELECT src, tgt, round(similarity, 6) AS similarity FROM e WHERE similarity >= 0.7 AND src IN (SELECT db FROM q) AND tgt IN (SELECT db FROM q)) SELECT * FROM i UNION ALL SELECT tgt, src, similarity FROM i",
     "g11_collapse": "SELECT least(db_id1, db_id2) AS src, greatest(db_id1, db_id2) AS tgt, round(avg(similarity), 6) AS similarity FROM pair_metadata WHERE db_id1 <> db_id2 AND NOT isnan(similarity) AND similarity BETWEEN -1 AND 1 GROUP BY 1, 2",
-    "g13_neighbour_lists": f"WITH {_M}, q AS (SELECT avg(similarity) AS a, stddev_pop(similarity) AS s FROM n) SELECT src, array_to_string(list_sort(list(tgt)), ',') AS near, round(avg((similarity - a) / s), 5) AS avg_z FROM m, q GROUP BY 1",
+    "g13_neighbour_lists": f"WITH {_M}, q AS (SELECT avg(similarity) AS a, stddev_pop(similarity) AS s FROM n) SELECT src, tgt, round((similarity - a) / s, 5) AS z FROM m, q",
     "o10_hub_and_low_neighbours": f"WITH {_D}, h AS (SELECT id FROM g ORDER BY degree DESC, id LIMIT 1) SELECT h.id AS hub, m.tgt AS id, g.degree FROM h JOIN m ON m.src = h.id JOIN g ON g.id = m.tgt ORDER BY g.degree, m.tgt LIMIT 5",
     "o12_low_degree_pool": f"WITH {_D} SELECT id, degree FROM g ORDER BY degree, id LIMIT 20",
     "o2_top_per_cluster": f"""WITH {_E}, {_LAB}, r AS (SELECT a.cluster, e.*, row_number() OVER (PARTITION BY a.cluster ORDER BY similarity DESC, src, tgt) AS rank FROM e JOIN x a ON a.db_id = src JOIN x b ON b.db_id = tgt AND b.cluster = a.cluster)
@@ -285,10 +291,10 @@ SELECT cluster, CAST(rank AS INT) AS rank, src, tgt, round(similarity, 6) AS sim
     "o3_closest_to_target": f"WITH {_E} SELECT src, tgt, round(similarity, 6) AS similarity FROM e ORDER BY abs(e.similarity - 0.8), src, tgt LIMIT 10",
     "o1_top_valid_pairs": f"""WITH {_E}, q AS (SELECT CAST(db_id AS BIGINT) AS id FROM column_cardinality WHERE regexp_full_match(db_id, '[0-9]{{7}}') GROUP BY 1 HAVING max(n_rows) >= 100)
 SELECT src, tgt, round(e.similarity, 6) AS similarity, n_common FROM e WHERE n_common >= 2 AND src IN (SELECT id FROM q) AND tgt IN (SELECT id FROM q) ORDER BY e.similarity DESC, src, tgt LIMIT 20""",
-    "w5_top_with_ties": f"""WITH {_E}, s AS (SELECT CAST(floor(similarity * 1e4 + 0.5) AS BIGINT) AS step, count(*) AS n FROM e GROUP BY 1), u AS (SELECT *, sum(n) OVER (ORDER BY step DESC) AS upto FROM s)
-SELECT step, n, CAST(greatest(0, least(n, 50 - (upto - n))) AS BIGINT) AS taken FROM u WHERE upto - n < 50""",
-    "j24_compare_edges": f"""WITH {_E}, {_P}, l AS (SELECT least(db_id1, db_id2) AS src, greatest(db_id1, db_id2) AS tgt, max(similarity) AS s FROM p WHERE pair_id % 2 = 0 GROUP BY 1, 2), f AS (SELECT l.s AS x, e.similarity AS y FROM l FULL JOIN e ON e.src = l.src AND e.tgt = l.tgt)
+    "w5_top_with_ties": f"WITH {_E} SELECT src, tgt, round(similarity, 6) AS similarity FROM e ORDER BY CAST(floor(similarity * 1e4 + 0.5) AS BIGINT) DESC, md5(concat_ws('|', src, tgt, 0)), src, tgt LIMIT 50",
+    "j24_compare_edges": f"""WITH {_E}, {_P}, l AS (SELECT least(db_id1, db_id2) AS src, greatest(db_id1, db_id2) AS tgt, arg_max(similarity, ROW(sampled_at, pair_id, similarity)) AS s FROM p WHERE sampled_at IS NOT NULL GROUP BY 1, 2), f AS (SELECT l.s AS x, e.similarity AS y FROM l FULL JOIN e ON e.src = l.src AND e.tgt = l.tgt)
 SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_common, count(*) FILTER (y IS NULL) AS only_left, count(*) FILTER (x IS NULL) AS only_right, count(*) FILTER (abs(x - y) < 1e-5) AS n_equal, round(count(*) FILTER (abs(x - y) < 1e-5) / count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 6) AS match_rate FROM f""",
+    "o11_random_silos": f"WITH {_R}, c AS (SELECT component FROM z GROUP BY 1 HAVING count(*) <= 6) SELECT id FROM z WHERE component IN (SELECT component FROM c) ORDER BY md5(concat_ws('|', id, 3)), id LIMIT 30",
     "j15_edge_properties": f"WITH {_N}, q AS (SELECT least(db_id1, db_id2) AS src, greatest(db_id1, db_id2) AS tgt, max(num_common_columns) AS shared FROM pair_metadata WHERE db_id1 <> db_id2 GROUP BY 1, 2) SELECT n.src, n.tgt, q.shared FROM n LEFT JOIN q ON q.src = n.src AND q.tgt = n.tgt",
     "j11_node_semantics": f"WITH {_R}, y AS (SELECT db_id, min(cluster) AS cluster FROM cluster_assignments WHERE cluster IS NOT NULL AND db_id IS NOT NULL GROUP BY 1) SELECT coalesce(z.id, y.db_id) AS id, coalesce(y.cluster, -1) AS cluster, coalesce(z.component, -1) AS component FROM y FULL JOIN z ON z.id = y.db_id",
     "a35_similarity_histogram": f"WITH {_E} SELECT CAST(least(floor((similarity + 1) / 0.04), 49) AS INT) AS bin, count(*) AS n FROM e GROUP BY 1",

@@ -94,7 +94,9 @@ def w3_best_of_both(spark, d):
 def v10_text_vectors(spark, d):
     """Hashed n-gram vectors of table names, as their most similar pairs."""
     t = cat.tables(spark, d).select(name_key("table_name").alias("name")).dropna().distinct().withColumn("id", F.xxhash64("name"))
-    return vector.similarity_join(t.select("id", vector.hashed_ngrams(F.col("name")).alias("v")), 0.9)
+    near = vector.similarity_join(t.select("id", vector.hashed_ngrams(F.col("name")).alias("v")), 0.9)
+    name = lambda c, n: t.select(F.col("id").alias(c), F.col("name").alias(n))
+    return near.join(name("src", "x"), "src").join(name("tgt", "y"), "tgt").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), R6("similarity"))
 
 
 def v20_cached_columns(spark, d):
@@ -258,6 +260,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY score DESC, c1 D
     "v8_top_matrix": f"WITH {_CV}, s AS (SELECT a.col AS c1, b.col AS c2, list_cosine_similarity(a.v, b.v) AS similarity FROM c a JOIN c b ON a.tab <> b.tab), r AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY similarity DESC, c2) AS k FROM s) SELECT c1, c2, CAST(k AS INT) AS rank, round(similarity, 6) AS similarity FROM r WHERE k <= 2",
     "w3_best_of_both": f"""WITH {_CV}, s AS (SELECT a.tab AS t1, b.tab AS t2, a.col AS a, b.col AS b, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM c a JOIN c b ON a.tab < b.tab WHERE list_cosine_similarity(a.v, b.v) > 0.2),
 r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2, a ORDER BY score DESC, a, b) AS x, row_number() OVER (PARTITION BY t1, t2, b ORDER BY score DESC, a, b) AS y FROM s) SELECT t1, t2, count(*) AS n, count(*) AS n_taken FROM r WHERE x = 1 AND y = 1 GROUP BY 1, 2""",
+    "v10_text_vectors": f"""WITH {cat.SQL_TABLES}, n AS (SELECT DISTINCT {_K.format('table_name')} AS name FROM t WHERE {_K.format('table_name')} IS NOT NULL),
+g AS (SELECT name, list_transform(range(1, greatest(1, length(name) - 2) + 1), lambda i: CAST('0x' || substr(md5(substr(name, i, 3)), 1, 8) AS BIGINT) % 64) AS g FROM n),
+v AS (SELECT name, list_transform(range(64), lambda s: CAST(len(list_filter(g, lambda x: x = s)) AS DOUBLE)) AS v FROM g)
+SELECT a.name AS a, b.name AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.name < b.name WHERE list_cosine_similarity(a.v, b.v) > 0.9""",
     "v20_cached_columns": """WITH r AS (SELECT try_cast(trim(db_id) AS BIGINT) AS db, table_name AS tab, column_name AS col, added_at, removed_at FROM schema_columns WHERE table_name IS NOT NULL AND column_name IS NOT NULL AND added_at IS NOT NULL AND try_cast(trim(db_id) AS BIGINT) IS NOT NULL),
 o AS (SELECT db, tab, col, min(added_at) AS place FROM r WHERE added_at < TIMESTAMP '2024-01-01' AND (removed_at IS NULL OR removed_at >= TIMESTAMP '2024-01-01') GROUP BY 1, 2, 3), n AS (SELECT db, tab, col, min(added_at) AS place FROM r WHERE removed_at IS NULL GROUP BY 1, 2, 3),
 a AS (SELECT db, tab, string_agg(col, '|' ORDER BY place, col) AS names FROM o GROUP BY 1, 2), b AS (SELECT db, tab, string_agg(col, '|' ORDER BY place, col) AS names, count(*) AS k FROM n GROUP BY 1, 2)
