@@ -53,13 +53,13 @@ def _products(vectors: DataFrame, kernel: Callable, schema: str, extra: Sequence
         first = (pdf["b"] == pdf["bi"]).to_numpy()
         left, right = (pdf, pdf) if same else (pdf[first], pdf[~first])
         if not len(left) or not len(right):
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: [] for n in names})  # an empty block has no products
         return kernel(left, right, np.stack(left["u"].to_numpy()) @ np.stack(right["u"].to_numpy()).T, same)[names]
 
     return placed.groupBy("bi", "bj").applyInPandas(product, schema)
 
 
-def similarity_join(vectors: DataFrame, t: float, inclusive: bool = False) -> DataFrame:
+def similarity_join(vectors: DataFrame, t: float, inclusive: bool = False, block: int = 2048) -> DataFrame:
     """(src, tgt, similarity) of all pairs src < tgt of (id, v) with a cosine above ``t``."""
 
     def kernel(left, right, s, same):
@@ -68,7 +68,7 @@ def similarity_join(vectors: DataFrame, t: float, inclusive: bool = False) -> Da
         keep = a < c if same else a != c
         return pd.DataFrame({"src": np.minimum(a, c)[keep], "tgt": np.maximum(a, c)[keep], "similarity": s[i, j][keep]})
 
-    return _products(vectors, kernel, "src long, tgt long, similarity double")
+    return _products(vectors, kernel, "src long, tgt long, similarity double", block=block)
 
 
 def _best(rows: pd.DataFrame, cols: pd.DataFrame, s: np.ndarray, k: int) -> pd.DataFrame:
@@ -78,7 +78,7 @@ def _best(rows: pd.DataFrame, cols: pd.DataFrame, s: np.ndarray, k: int) -> pd.D
     return pd.DataFrame({"src": rows["id"].to_numpy()[i], "tgt": cols["id"].to_numpy()[j], "similarity": s[i, j]})
 
 
-def nearest(vectors: DataFrame, k: int, apart: str | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, apart: str | None = None, block: int = 2048) -> DataFrame:
     """(src, tgt, similarity, rank) of the ``k`` most similar others of each vector, ties by the smaller id.
 
     With ``apart`` only vectors with another value in that column count.  Each product keeps the best ``k`` of its rows and
@@ -93,7 +93,7 @@ def nearest(vectors: DataFrame, k: int, apart: str | None = None) -> DataFrame:
         parts = [_best(left, right, s, k)] + ([] if same else [_best(right, left, s.T, k)])
         return pd.concat(parts, ignore_index=True)
 
-    some = _products(vectors, kernel, "src long, tgt long, similarity double", [apart] if apart else [])
+    some = _products(vectors, kernel, "src long, tgt long, similarity double", [apart] if apart else [], block)
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "tgt"))).filter(F.col("rank") <= k)
 
 
@@ -134,7 +134,7 @@ def column_scores(columns: DataFrame, least: float) -> DataFrame:
     return met.select(pick("ta", "tb").alias("t1"), pick("ca", "cb").alias("c1"), pick("tb", "ta").alias("t2"), pick("cb", "ca").alias("c2"), "similarity")
 
 
-def best_weighted_match(columns: DataFrame, idf: DataFrame) -> DataFrame:
+def best_weighted_match(columns: DataFrame, idf: DataFrame, block: int = 2048) -> DataFrame:
     """(t1, t2, c1, c2, score): the column pair with the largest min(idf) x cosine of each table pair (V7).
 
     A column without an idf has 1.  Each product keeps the best of its table pairs only.
@@ -156,7 +156,7 @@ def best_weighted_match(columns: DataFrame, idf: DataFrame) -> DataFrame:
         lc, rc = left["col"].to_numpy()[i], right["col"].to_numpy()[j]
         return pd.DataFrame({"t1": pick(lt[i], rt[j]), "t2": pick(rt[j], lt[i]), "c1": pick(lc, rc), "c2": pick(rc, lc), "score": score[i, j]})
 
-    found = _products(named, kernel, "t1 string, t2 string, c1 string, c2 string, score double", ["tab", "col", "idf"])
+    found = _products(named, kernel, "t1 string, t2 string, c1 string, c2 string, score double", ["tab", "col", "idf"], block)
     best = F.max_by(F.struct("c1", "c2", "score"), F.struct("score", "c1", "c2"))
     return found.groupBy("t1", "t2").agg(best.alias("m")).select("t1", "t2", "m.*")
 

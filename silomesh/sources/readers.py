@@ -29,14 +29,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def schema_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(db_id, database_name, tables): silos from JSON files ``<id>_<name>.json`` (S1, S4, S5); the first file of an id wins.
+    """(db_id, database_name, tables): silos from JSON files ``<id>_<name>.json``, or files in folders ``db_id=<id>``
+    (S1, S4, S5); the first file of an id wins.
 
     A bare table document is a silo of one table; column types are lower-cased.
     """
     docs = spark.read.schema(SILO).json(path, multiLine=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     one = F.struct(*(F.col(f.name) for f in _TABLE.fields))
     lower = lambda t: t.withField("columns", F.transform(t["columns"], lambda c: c.withField("data_type", F.lower(c["data_type"]))))
-    held = docs.select(F.regexp_extract("file", r"^(\d+)", 1).alias("db_id"), "file", F.coalesce("database_name", "table_name").alias("database_name"), F.transform(F.coalesce("tables", F.array(one)), lower).alias("tables"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/db_id=(\d+)/[^/]*$", 1)
+    held = docs.select(F.coalesce(F.nullif(F.regexp_extract("file", r"^(\d+)", 1), F.lit("")), folder).alias("db_id"), "file", F.coalesce("database_name", "table_name").alias("database_name"), F.transform(F.coalesce("tables", F.array(one)), lower).alias("tables"))
     first = held.filter("db_id <> ''").groupBy("db_id").agg(F.min(F.struct("file", "database_name", "tables")).alias("d"))
     return first.select(padded_id("db_id").alias("db_id"), "d.database_name", "d.tables")
 
@@ -126,11 +128,11 @@ def folder_catalog(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy(padded_id("id").alias("db_id"), "name").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
 
 
-def results(spark: SparkSession, path: str) -> DataFrame:
-    """(pair_id, algorithm, client, accuracy, f1) of result files in any of the three layouts."""
+def results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(pair_id, algorithm, client, accuracy, f1) of result files, or JSON lines, in any of the three layouts."""
     m = "accuracy double, f1 double"
     schema = f"pair_id string, algorithm string, {m}, weighted_metrics struct<{m}>, client_0 struct<{m}>, client_1 struct<{m}>"
-    df = spark.read.schema(schema).json(path, multiLine=True)
+    df = spark.read.schema(schema).json(path, multiLine=not lines)
     flat = F.struct(F.lit("all").alias("client"), F.coalesce("accuracy", "weighted_metrics.accuracy").alias("accuracy"), F.coalesce("f1", "weighted_metrics.f1").alias("f1"))
     each = [F.struct(F.lit(c).alias("client"), F.col(f"{c}.accuracy").alias("accuracy"), F.col(f"{c}.f1").alias("f1")) for c in ("client_0", "client_1")]
     clients = F.when(F.col("client_0").isNotNull() | F.col("client_1").isNotNull(), F.array(*each)).otherwise(F.array(flat))
@@ -155,3 +157,16 @@ def party_split(spark: SparkSession, path: str, client: str, part: str) -> DataF
     if not exists(spark, f"{path}/client={client}/part={part}"):
         return None
     return spark.read.parquet(path).filter((F.col("client") == client) & (F.col("part") == part))
+
+
+def vectors(spark: SparkSession, path: str, dims: int) -> DataFrame:
+    """(db_id, v) of a Parquet file of embeddings (S14); vectors of another length or with missing or NaN elements are dropped."""
+    held = spark.read.parquet(path).select("db_id", F.col("embedding").cast("array<double>").alias("v"))
+    return held.filter((F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def metric_columns(columns: list[str]) -> list[str]:
+    """The probability columns of a prediction file (F19): ``prob_pos`` of a binary one, else the sorted ``prob_<k>``."""
+    if "prob_pos" in columns:
+        return ["prob_pos"]
+    return sorted((c for c in columns if c.startswith("prob_") and c[5:].isdigit()), key=lambda c: int(c[5:]))

@@ -37,9 +37,8 @@ def batches(df: DataFrame, path: str, key: str, n: int) -> int:
 
 
 def column_mapping(columns: DataFrame, path: str) -> None:
-    """(name, mapping): original names of each union column by silo, as JSON."""
-    m = columns.groupBy("name").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("db", "column_name")))).alias("mapping"))
-    m.write.mode("overwrite").json(path)
+    """(db, name, original): the original name of each union column in each silo, as JSON lines."""
+    columns.groupBy("db", "name").agg(F.min("column_name").alias("original")).write.mode("overwrite").json(path)
 
 
 def prediction_rows(df: DataFrame, path: str) -> None:
