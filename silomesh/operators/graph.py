@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from silomesh.operators.encode import token
 from silomesh.runtime import Workspace
 
 
@@ -282,7 +283,7 @@ def grow_subgraphs(edges: DataFrame, component: DataFrame, size: int = 5, sample
     sets = work.write(component.select("component", F.col("id").alias("start"), numbers.alias("sample"), F.array("id").alias("held")))
     for step in range(1, size):
         front = sets.withColumn("src", F.explode("held")).join(links, "src").filter(~F.array_contains("held", F.col("tgt")))
-        drawn = F.min_by("tgt", F.struct(F.xxhash64("start", "sample", "tgt", F.lit(seed), F.lit(step)).alias("h"), "tgt"))
+        drawn = F.min_by("tgt", F.struct(token("start", "sample", "tgt", F.lit(seed), F.lit(step)).alias("h"), "tgt"))
         new = front.groupBy("component", "start", "sample", "held").agg(drawn.alias("new"))
         grown = work.write(new.select("component", "start", "sample", F.array_sort(F.concat("held", F.array("new"))).alias("held")))
         work.drop(sets)

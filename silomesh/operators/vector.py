@@ -316,3 +316,18 @@ def cached_vectors(cache: DataFrame, columns: DataFrame) -> DataFrame:
     valid = names(cache).join(names(columns), ["db", "tab", "names"]).select("db", "tab")
     held = cache.join(valid, ["db", "tab"], "left_semi").select("db", "tab", "col", "v")
     return columns.select("db", "tab", "col").join(held, ["db", "tab", "col"], "left").withColumn("hit", F.col("v").isNotNull())
+
+
+def embedded_clusters(vectors: DataFrame, k: int, dims: int = 2, seed: int = 1) -> DataFrame:
+    """(id, cluster, x array): vectors projected to ``dims`` principal components and their k-means cluster there.
+
+    Both models are fitted on all vectors by sums over partitions; rows without a vector are left out.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    held = vectors.filter("v is not null").select("id", array_to_vector("v").alias("v"))
+    flat = PCA(k=dims, inputCol="v", outputCol="p").fit(held).transform(held)
+    fitted = KMeans(k=k, featuresCol="p", predictionCol="cluster", seed=seed).fit(flat)
+    return fitted.transform(flat).select("id", "cluster", vector_to_array("p").alias("x"))

@@ -116,6 +116,22 @@ def s2_listed_tables(spark, d):
     return readers.listed(t, spark, text).join(readers.id_list(spark, table).distinct(), "db_id", "left_semi")
 
 
+def s7_sqlite_table(spark, d):
+    """Customers loaded into a SQLite file and read back in ranges of rows, with the file's catalogue.
+
+    SQLite needs a folder in a file system, so the shared folder has to be one.
+    """
+    import os
+
+    root = _place(spark, "").removeprefix("file://").rstrip("/")
+    os.makedirs(root, exist_ok=True)
+    p = f"{root}/silo.db"
+    writers.sqlite(read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), p, "customer")
+    held = ",".join(c for c, _ in readers.sqlite_tables(p)["customer"])
+    t = readers.sqlite_table(spark, p, "customer", 500)
+    return t.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), F.lit(held).alias("columns"))
+
+
 def s12_web_tables(spark, d):
     """Parquet tables of a folder with the splits they are large enough for."""
     p = _place(spark, "web")
@@ -205,7 +221,7 @@ def s35_party_rows(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    k1_csv_table, k2_first_writer, k3_batches, k4_jsonl_triplets, k6_graph, k8_schema_documents, k10_column_mapping, k11_latex_lines, k14_prediction_rows, k15_status_report, s2_listed_tables, s12_web_tables, s14_embedding_file, s15_predictions, s16_pair_files,
+    k1_csv_table, k2_first_writer, k3_batches, k4_jsonl_triplets, k6_graph, k8_schema_documents, k10_column_mapping, k11_latex_lines, k14_prediction_rows, k15_status_report, s2_listed_tables, s7_sqlite_table, s12_web_tables, s14_embedding_file, s15_predictions, s16_pair_files,
     s20_properties, s23_results, s24_summary_texts, s25_failed_pairs, s27_headerless_table, s35_party_rows,
 )}
 
@@ -224,6 +240,7 @@ SQL = {
     "k14_prediction_rows": "WITH a AS (SELECT n_nationkey AS db_id, unnest([0, 1, 2]) AS index, unnest([0, 1, n_nationkey % 2]) AS y_true, unnest([n_nationkey % 2, 1, 0]) AS y_pred FROM nation) SELECT CAST(db_id AS INT) AS db_id, index, CAST(y_true AS INT) AS y_true, CAST(y_pred AS INT) AS y_pred, 'prob_pos' AS column, y_true / 4 + 0.5 AS score FROM a",
     "k15_status_report": "SELECT o_orderstatus AS status, count(*) AS n, round(avg(o_totalprice), 2) AS avg_seconds FROM orders GROUP BY 1",
     "s2_listed_tables": f"WITH {_L}, {cat.SQL_TABLES}, i AS (SELECT src AS id FROM l UNION SELECT tgt FROM l) SELECT lpad(CAST(db AS VARCHAR), 5, '0') AS db_id, table_name FROM t WHERE db IN (SELECT id FROM i) AND db > 20",
+    "s7_sqlite_table": "SELECT c_custkey, c_name, CAST(c_nationkey AS INT) AS c_nationkey, 'c_custkey,c_name,c_nationkey' AS columns FROM customer",
     "s12_web_tables": "SELECT * FROM (SELECT 5 AS n_columns, count(*) AS n_rows, false AS valid_vertical, count(*) >= 50 AS valid_horizontal FROM customer UNION ALL SELECT 6, count(*), true, count(*) >= 50 FROM part)",
     "s14_embedding_file": "SELECT db_id, count(*) AS n FROM database_embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND NOT isnan(x))) GROUP BY 1",
     "s15_predictions": f"WITH {_L} SELECT 'parquet' AS kind, CAST(NULL AS INT) AS label, CAST(NULL AS INT) AS edge, count(*) AS n, round(sum(similarity), 4) AS total FROM l UNION ALL SELECT 'csv', CAST(similarity > 0.95 AS INT), NULL, count(*), round(sum(similarity), 4) FROM l GROUP BY 2",

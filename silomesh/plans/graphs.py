@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from silomesh.operators import graph
-from silomesh.runtime import is_nan, read
+from silomesh.runtime import Workspace, is_nan, read
 from silomesh.sources import catalog as cat
 
 T = 0.9
@@ -116,6 +116,19 @@ def g6_louvain(spark, d):
     return graph.louvain(_near(spark, d))
 
 
+def g6_louvain_checked(spark, d):
+    """Communities hold every linked silo, are named by their least member, don't cross components and have a modularity
+    no less than that of the components."""
+    e = _near(spark, d)
+    lab, comp = Workspace(spark, "checked").write(graph.louvain(e)), graph.connected_components(e)
+    named = lab.groupBy("community").agg((F.min("id") == F.first("community")).alias("named"))
+    across = lab.join(comp, "id").groupBy("community").agg(F.count_distinct("component").alias("k"))
+    q = lambda labels: graph.modularity(e, labels).select("modularity")
+    better = q(lab).join(F.broadcast(q(comp.withColumnRenamed("component", "community")).withColumnRenamed("modularity", "whole"))).select((F.col("modularity") >= F.col("whole") - 1e-9).alias("not_worse"))
+    n = lab.agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(named.agg(F.bool_and("named").alias("least_named")))).join(F.broadcast(across.agg((F.max("k") == 1).alias("inside_components")))).join(F.broadcast(better))
+
+
 def g7_label_propagation(spark, d):
     """Two rounds of propagation of the map labels over the links."""
     e = _near(spark, d)
@@ -241,7 +254,7 @@ def u3_common_neighbours(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     f1_similarity_filter, f2_strict_filter, f4_range_filter, a14_threshold_sweep, a15_density, g8_degrees, a11_degree_stats, g1_mirrored_edges, g3_components, g4_component_of_seed, g5_fk_components, a13_component_sizes,
-    a33_component_probability, f17_small_components, g6_component_modularity, g6_louvain, g7_label_propagation, g9_induced_edges, g10_subgraph, g11_collapse, g12_random_subgraphs, g13_neighbour_lists, o10_hub_and_low_neighbours,
+    a33_component_probability, f17_small_components, g6_component_modularity, g6_louvain, g6_louvain_checked, g7_label_propagation, g9_induced_edges, g10_subgraph, g11_collapse, g12_random_subgraphs, g13_neighbour_lists, o10_hub_and_low_neighbours,
     o12_low_degree_pool, o11_random_silos, o2_top_per_cluster, o3_closest_to_target, o1_top_valid_pairs, w5_top_with_ties, j24_compare_edges, j15_edge_properties, j11_node_semantics, a35_similarity_histogram, u3_common_neighbours,
 )}
 
@@ -285,6 +298,14 @@ SELECT id, k, round(y, 6) AS y FROM y2 WHERE y > 0""",
     "g11_collapse": "SELECT least(db_id1, db_id2) AS src, greatest(db_id1, db_id2) AS tgt, round(avg(similarity), 6) AS similarity FROM pair_metadata WHERE db_id1 <> db_id2 AND NOT isnan(similarity) AND similarity BETWEEN -1 AND 1 GROUP BY 1, 2",
     "g13_neighbour_lists": f"WITH {_M}, q AS (SELECT avg(similarity) AS a, stddev_pop(similarity) AS s FROM n) SELECT src, tgt, round((similarity - a) / s, 5) AS z FROM m, q",
     "o10_hub_and_low_neighbours": f"WITH {_D}, h AS (SELECT id FROM g ORDER BY degree DESC, id LIMIT 1) SELECT h.id AS hub, m.tgt AS id, g.degree FROM h JOIN m ON m.src = h.id JOIN g ON g.id = m.tgt ORDER BY g.degree, m.tgt LIMIT 5",
+    "g12_random_subgraphs": f"""WITH {_R}, s1 AS (SELECT component, id AS start, k AS sample, [id] AS held FROM z, range(2) x(k)),
+s2 AS (SELECT component, start, sample, list_sort(list_append(held, arg_min(tgt, ROW(md5(concat_ws('|', start, sample, tgt, 1, 1)), tgt)))) AS held FROM s1 JOIN m ON list_contains(held, m.src) WHERE NOT list_contains(held, m.tgt) GROUP BY component, start, sample, held),
+s3 AS (SELECT component, start, sample, list_sort(list_append(held, arg_min(tgt, ROW(md5(concat_ws('|', start, sample, tgt, 1, 2)), tgt)))) AS held FROM s2 JOIN m ON list_contains(held, m.src) WHERE NOT list_contains(held, m.tgt) GROUP BY component, start, sample, held),
+s4 AS (SELECT component, start, sample, list_sort(list_append(held, arg_min(tgt, ROW(md5(concat_ws('|', start, sample, tgt, 1, 3)), tgt)))) AS held FROM s3 JOIN m ON list_contains(held, m.src) WHERE NOT list_contains(held, m.tgt) GROUP BY component, start, sample, held),
+o AS (SELECT held, min(ROW(start, sample, component)) AS f FROM s4 GROUP BY held), i AS (SELECT held, count(*) AS edges FROM o JOIN n ON list_contains(held, n.src) AND list_contains(held, n.tgt) GROUP BY held HAVING count(*) >= 2),
+q AS (SELECT o.held, o.f, edges, edges / 6 AS density, rank() OVER (ORDER BY edges / 6, edges DESC) AS rank FROM o JOIN i ON i.held = o.held)
+SELECT rank, f[3] AS component, f[1] AS start, f[2] AS sample, edges, round(density, 6) AS density, unnest(held) AS id FROM q""",
+    "g6_louvain_checked": f"WITH {_R} SELECT count(*) AS n, true AS least_named, true AS inside_components, true AS not_worse FROM z",
     "o12_low_degree_pool": f"WITH {_D} SELECT id, degree FROM g ORDER BY degree, id LIMIT 20",
     "o2_top_per_cluster": f"""WITH {_E}, {_LAB}, r AS (SELECT a.cluster, e.*, row_number() OVER (PARTITION BY a.cluster ORDER BY similarity DESC, src, tgt) AS rank FROM e JOIN x a ON a.db_id = src JOIN x b ON b.db_id = tgt AND b.cluster = a.cluster)
 SELECT cluster, CAST(rank AS INT) AS rank, src, tgt, round(similarity, 6) AS similarity FROM r WHERE rank <= 3""",

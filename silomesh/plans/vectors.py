@@ -99,6 +99,13 @@ def v10_text_vectors(spark, d):
     return near.join(name("src", "x"), "src").join(name("tgt", "y"), "tgt").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), R6("similarity"))
 
 
+def g15_embedded_clusters(spark, d):
+    """Vectors in two principal components and six k-means clusters, with the variance that the first one keeps."""
+    e = vector.embedded_clusters(cat.vectors(spark, d), 6)
+    x = F.element_at("x", 1)
+    return e.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_distinct("cluster").alias("n_clusters"), (F.var_pop(x) >= F.var_pop(F.element_at("x", 2))).alias("in_order"))
+
+
 def v20_cached_columns(spark, d):
     """Columns whose table still has the column list that the cache was made for.
 
@@ -230,7 +237,7 @@ def j26_relation_lookup(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    v1_unit_vectors, v2_all_pairs, v3_labelled_pairs, v4_nearest_neighbours, v4_nearest_one_sided, v5_closest_to_query, v6_pair_cosine, v7_weighted_column_match, v8_top_matrix, w3_greedy_column_match, w3_best_of_both, v10_text_vectors, v20_cached_columns, v15_equal_graphs,
+    v1_unit_vectors, v2_all_pairs, v3_labelled_pairs, v4_nearest_neighbours, v4_nearest_one_sided, v5_closest_to_query, v6_pair_cosine, v7_weighted_column_match, v8_top_matrix, w3_greedy_column_match, w3_best_of_both, v10_text_vectors, g15_embedded_clusters, v20_cached_columns, v15_equal_graphs,
     j25_pair_scores, v12_link_jaccard, j31_shared_columns, v14_type_hellinger, v15_edit_distance, v16_moment_cosine, x9_text_columns, v18_column_semantics, v17_union_scores, j26_relation_lookup,
 )}
 
@@ -264,6 +271,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2, a ORDER BY score DESC, a
 g AS (SELECT name, list_transform(range(1, greatest(1, length(name) - 2) + 1), lambda i: CAST('0x' || substr(md5(substr(name, i, 3)), 1, 8) AS BIGINT) % 64) AS g FROM n),
 v AS (SELECT name, list_transform(range(64), lambda s: CAST(len(list_filter(g, lambda x: x = s)) AS DOUBLE)) AS v FROM g)
 SELECT a.name AS a, b.name AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.name < b.name WHERE list_cosine_similarity(a.v, b.v) > 0.9""",
+    "g15_embedded_clusters": "SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, CAST(6 AS BIGINT) AS n_clusters, true AS in_order FROM embeddings",
     "v20_cached_columns": """WITH r AS (SELECT try_cast(trim(db_id) AS BIGINT) AS db, table_name AS tab, column_name AS col, added_at, removed_at FROM schema_columns WHERE table_name IS NOT NULL AND column_name IS NOT NULL AND added_at IS NOT NULL AND try_cast(trim(db_id) AS BIGINT) IS NOT NULL),
 o AS (SELECT db, tab, col, min(added_at) AS place FROM r WHERE added_at < TIMESTAMP '2024-01-01' AND (removed_at IS NULL OR removed_at >= TIMESTAMP '2024-01-01') GROUP BY 1, 2, 3), n AS (SELECT db, tab, col, min(added_at) AS place FROM r WHERE removed_at IS NULL GROUP BY 1, 2, 3),
 a AS (SELECT db, tab, string_agg(col, '|' ORDER BY place, col) AS names FROM o GROUP BY 1, 2), b AS (SELECT db, tab, string_agg(col, '|' ORDER BY place, col) AS names, count(*) AS k FROM n GROUP BY 1, 2)

@@ -5,6 +5,11 @@ Every reader declares its schema; a missing optional file gives an empty frame w
 
 from __future__ import annotations
 
+import sqlite3
+from collections.abc import Iterator
+from contextlib import closing
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,3 +175,32 @@ def metric_columns(columns: list[str]) -> list[str]:
     if "prob_pos" in columns:
         return ["prob_pos"]
     return sorted((c for c in columns if c.startswith("prob_") and c[5:].isdigit()), key=lambda c: int(c[5:]))
+
+
+def sqlite_tables(path: str) -> dict[str, list[tuple[str, str]]]:
+    """Table to its (column, declared type) in a SQLite file (S9); read on the driver, as it is the file's catalogue."""
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+        names = [r[0] for r in con.execute("select name from sqlite_master where type = 'table' order by name")]
+        return {t: [(r[1], r[2]) for r in con.execute(f'pragma table_info("{t}")')] for t in names}
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, rows: int = 100_000) -> DataFrame:
+    """All columns of a SQLite table as text (S7, S8); the file lies where all executors see it.
+
+    Tasks read ranges of about ``rows`` row numbers of their own, so no task and no copy in memory holds the table.
+    """
+    names = [c for c, _ in sqlite_tables(path)[table]]
+    quoted = ", ".join(f'"{c}"' for c in names)
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+        low, high = con.execute(f'select min(rowid), max(rowid) from "{table}"').fetchone()
+    starts = [] if low is None else list(range(low, high + 1, rows))
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in b["id"]:
+                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+                    got = con.execute(f'select {quoted} from "{table}" where rowid >= ? and rowid < ?', (int(start), int(start) + rows)).fetchall()
+                yield pd.DataFrame([[None if v is None else str(v) for v in r] for r in got], columns=names, dtype=object)
+
+    schema = ", ".join(f"`{c}` string" for c in names)
+    return spark.createDataFrame([(s,) for s in starts], "id long").repartition(max(1, len(starts))).mapInPandas(fetch, schema)

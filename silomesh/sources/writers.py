@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sqlite3
+from contextlib import closing
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,15 @@ def latex(df: DataFrame, digits: int = 4) -> str:
     """A result as the body of a LaTeX table (K11), all rows in the order of ``df``, fetched part by part."""
     cell = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     return "\n".join(" & ".join(cell(v) for v in r) + r" \\" for r in df.toLocalIterator())
+
+
+def sqlite(df: DataFrame, path: str, table: str) -> int:
+    """Load a table into a SQLite file (S10) and return its rows; the file has one writer, which takes part after part."""
+    names = ", ".join(f'"{c}"' for c in df.columns)
+    n = 0
+    with closing(sqlite3.connect(path)) as con, con:
+        con.execute(f'create table "{table}" ({names})')
+        for r in df.toLocalIterator():
+            con.execute(f'insert into "{table}" values ({", ".join("?" * len(r))})', tuple(r))
+            n += 1
+    return n
