@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silomesh.runtime import Workspace
@@ -148,17 +148,20 @@ def _as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 STORED, BOTH, ASKS = 0, 1, 2
 
 
-def neighbours(df: DataFrame, rec: str, vector: str, dims: int = 64, k: int = 5, least: float = -2.0, tie: float = 1e-9, trees: int = 8, leaf: int = 256, extra: int = 8, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def neighbours(df: DataFrame, rec: str, vector: str, dims: int = 64, k: int = 5, least: float = -2.0, tie: float = 1e-9, trees: int = 8, leaf: int = 256, extra: int = 8, sample: int = 20_000, asking: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Neighbours (q, s, cosine) of every class of equal vectors among the other classes, and the membership (rec, rep, n).
 
     A class s is a neighbour of q when one of its members is among the k most similar records of a member of q, with all
     that are within ``tie`` of the k-th, and the cosine is at least ``least``.  Copies of q itself fill ranks first.
+
+    ``asking`` is a condition on ``rec``: only classes with a record that meets it are searched for, in all of the others.
     """
     work = Workspace(df.sparkSession, "forest")
     prints = [f(F.col("v")).alias(n) for f, n in ((lambda v: F.xxhash64(v), "p1"), (lambda v: F.hash(v), "p2"))]
     held = work.write(vector_classes(df, rec, vector, dims).select("rec", "v", *prints))
-    groups = work.write(held.groupBy("p1", "p2", "v").agg(F.min("rec").alias("rep"), F.count("*").alias("n")))
-    packed = work.write(groups.select("rep", "n", "v").mapInPandas(_as_bytes, "rep long, n long, v binary"))
+    asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
+    groups = work.write(held.groupBy("p1", "p2", "v").agg(F.min("rec").alias("rep"), F.count("*").alias("n"), F.bool_or(asks).alias("asks")))
+    packed = work.write(groups.select("rep", "n", "asks", "v").mapInPandas(_as_bytes, "rep long, n long, asks boolean, v binary"))
     h, g = held.alias("h"), groups.alias("g")  # sorted by their prints, compared whole
     same = (F.col("h.p1") == F.col("g.p1")) & (F.col("h.p2") == F.col("g.p2")) & (F.col("h.v") == F.col("g.v"))
     members = work.write(h.join(g, same).select("rec", "rep", "n"))
@@ -171,19 +174,20 @@ def neighbours(df: DataFrame, rec: str, vector: str, dims: int = 64, k: int = 5,
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 4096):
-                part = b.iloc[at : at + 4096]
-                leaves, own = search_leaves(shared.value, _unit(part["v"]), extra)
-                row, col = np.nonzero(leaves >= 0)
-                yield pd.DataFrame({"block": leaves[row, col], "rep": part["rep"].to_numpy()[row], "own": own[row, col]})
-
-    routed = work.write(packed.select("rep", "v").mapInPandas(route, "block long, rep long, own boolean"))
-    sizes = routed.groupBy("block").agg(F.count_if("own").alias("stored"), F.count("*").alias("asking"))
+            for asks, rows in b.groupby("asks"):
+                for at in range(0, len(rows), 4096):
+                    part = rows.iloc[at : at + 4096]
+                    leaves, own = search_leaves(shared.value, _unit(part["v"]), extra if asks else 0)
+                    row, col = np.nonzero(leaves >= 0)
+                    yield pd.DataFrame({"block": leaves[row, col], "rep": part["rep"].to_numpy()[row], "own": own[row, col], "asks": asks})
+
+    routed = work.write(packed.select("rep", "asks", "v").mapInPandas(route, "block long, rep long, own boolean, asks boolean"))
+    sizes = routed.groupBy("block").agg(F.count_if("own").alias("stored"), F.count_if("asks").alias("asking")).filter("asking > 0")
     slices = sizes.select("block", F.ceil(F.col("asking") / F.greatest(F.lit(ASKING), F.col("stored"))).cast("int").alias("slices"))
     cut = routed.join(slices, "block").withColumn("mine", F.pmod(F.xxhash64("rep", "block"), F.col("slices")).cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: F.struct(i.alias("slice"), F.when(i == F.col("mine"), BOTH).otherwise(STORED).alias("role")))
+    every = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: F.struct(i.alias("slice"), F.when((i == F.col("mine")) & F.col("asks"), BOTH).otherwise(STORED).alias("role")))
     only = F.array(F.struct(F.col("mine").alias("slice"), F.lit(ASKS).alias("role")))
-    placed = cut.select("block", "rep", F.inline(F.when(F.col("own"), every).otherwise(only))).join(packed, "rep")
+    placed = cut.select("block", "rep", F.inline(F.when(F.col("own"), every).otherwise(only))).join(packed.drop("asks"), "rep")
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         role, rep, n = pdf["role"].to_numpy(), pdf["rep"].to_numpy(), pdf["n"].to_numpy()

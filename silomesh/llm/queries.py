@@ -35,7 +35,7 @@ def p3_described(spark: SparkSession, d: str) -> DataFrame:
     """Size, centre and five most typical silos of each cluster."""
     spot = read(spark, d, "cluster_assignments").filter("dim_0 is not null and dim_1 is not null").groupBy("db_id").agg(F.avg("dim_0").alias("dim_0"), F.avg("dim_1").alias("dim_1"))
     out = clusters.typical_members(_clusters(spark, d).join(spot, "db_id"), "cluster_id", "db_id", ["dim_0", "dim_1"])
-    return out.select("cluster_id", "size", F.round("c_dim_0", 4).alias("centre_0"), F.round("c_dim_1", 4).alias("centre_1"), F.array_join("typical", ",").alias("typical"))
+    return out.select("cluster_id", "size", F.round("c_dim_0", 9).alias("centre_0"), F.round("c_dim_1", 9).alias("centre_1"), F.array_join("typical", ",").alias("typical"))
 
 
 
@@ -80,7 +80,7 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
     ``class_id`` is the silo's own class; it is listed as its own neighbour, without the silo itself, if it has other members.
     """
-    near, members = forest.neighbours(read(spark, d, "database_embeddings"), "db_id", "embedding", k=5)
+    near, members = forest.neighbours(read(spark, d, "database_embeddings"), "db_id", "embedding", k=5, asking=F.col("rec") % 50 == 0)
     asked = members.filter("rec % 50 = 0").select(F.col("rec").alias("db_id"), F.col("rep").alias("class_id"), "n")
     size = members.filter("rec = rep").select(F.col("rep").alias("s"), F.col("n").alias("n_members"))
     others = asked.join(near, asked.class_id == near.q).join(size, "s").select("db_id", "class_id", F.col("s").alias("near_class"), "n_members", F.round("cosine", 9).alias("cosine"))
@@ -188,7 +188,7 @@ SQL = {
     "p3_described": f"""WITH {_NEAR}, s AS (SELECT db_id, avg(dim_0) AS x, avg(dim_1) AS y FROM cluster_assignments WHERE dim_0 IS NOT NULL AND dim_1 IS NOT NULL GROUP BY 1),
 m AS (SELECT k.*, s.x, s.y, count(*) OVER w AS size, avg(s.x) OVER w AS cx, avg(s.y) OVER w AS cy FROM k JOIN s USING (db_id) WINDOW w AS (PARTITION BY cluster_id)),
 t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(sqrt((x - cx) ** 2 + (y - cy) ** 2), 9), db_id) AS r FROM m)
-SELECT cluster_id, size, round(cx, 4) AS centre_0, round(cy, 4) AS centre_1, string_agg(CAST(db_id AS VARCHAR), ',' ORDER BY r) AS typical FROM t WHERE r <= 5 GROUP BY 1, 2, 3, 4""",
+SELECT cluster_id, size, round(cx, 9) AS centre_0, round(cy, 9) AS centre_1, string_agg(CAST(db_id AS VARCHAR), ',' ORDER BY r) AS typical FROM t WHERE r <= 5 GROUP BY 1, 2, 3, 4""",
     "p4_links": f"""WITH {_SETS}, q AS (SELECT x, y FROM i JOIN l p ON p.db_id = x JOIN l r ON r.db_id = y WHERE i.n = p.len AND i.n = r.len), c AS (SELECT y AS db_id, min(x) AS class_id FROM q GROUP BY 1),
 k AS (SELECT db_id, count(*) AS n FROM (SELECT x AS db_id FROM j UNION ALL SELECT y FROM j) GROUP BY 1)
 SELECT l.db_id, coalesce(c.class_id, l.db_id) AS class_id, coalesce(k.n, 0) AS n_similar FROM l LEFT JOIN c ON c.db_id = l.db_id LEFT JOIN k ON k.db_id = l.db_id""",

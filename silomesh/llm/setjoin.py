@@ -29,6 +29,7 @@ from silomesh.operators.skew import heavy_hashes, split_heavy
 from silomesh.runtime import Workspace
 
 CHUNK = 1024  # tokens of a set that one row holds
+MOST = 1_000_000  # frequent tokens that every task gets at most
 SLACK = 1.25  # segments, against the least that the budget needs
 
 
@@ -168,8 +169,9 @@ def similar_sets(tokens: DataFrame, t: float = 0.7, rare_share: float = 0.002, h
     """Pairs (a, b) of representatives with |intersection| / |union| >= ``t``, and the membership (rec, rep) of all records.
 
     ``tokens`` has (rec bigint, h bigint).  Frequencies are kept only for tokens in at least ``rare_share`` of the records:
-    as all sets together hold N x mean length tokens, these are at most mean length / ``rare_share``, so they can be sent
-    to every task.  Records with more than ``heavy_share`` of all rows are put together with pre-aggregation; all others
+    as all sets together hold N x mean length tokens, these are at most mean length / ``rare_share``; where that is more than
+    ``MOST``, a larger share keeps to it, so what is sent to every task is bounded.  Which questions a set asks depends on the
+    frequencies, what is found doesn't.  Records with more than ``heavy_share`` of all rows are put together with pre-aggregation; all others
     are partitioned once, by record.
     """
     spark = tokens.sparkSession
@@ -182,7 +184,8 @@ def similar_sets(tokens: DataFrame, t: float = 0.7, rare_share: float = 0.002, h
     xor = lambda hs: F.aggregate(hs, F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h))
     prints = packed.groupBy("rec", "len", "of").agg(F.bit_xor(xor(F.col("hs"))).alias("x"), F.bit_xor(xor(F.transform("hs", lambda h: F.xxhash64(h)))).alias("y"))
     sets = work.write(prints.groupBy("rec", "len").agg(F.first("x").alias("x"), F.first("y").alias("y")))
-    n, longest = sets.agg(F.count("*"), F.coalesce(F.max("len"), F.lit(1))).first()
+    n, longest, mean = sets.agg(F.count("*"), F.coalesce(F.max("len"), F.lit(1)), F.coalesce(F.avg("len"), F.lit(1.0))).first()
+    rare_share = max(rare_share, mean / MOST)
     bounds = length_classes(t, longest)
     classes = sets.groupBy("len", "x", "y").agg(F.min("rec").alias("rep"), F.count("*").alias("n"))
     same_print = sets.join(classes.filter("n > 1"), ["len", "x", "y"]).filter("rec <> rep").select("rec", "rep", "len")

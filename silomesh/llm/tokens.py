@@ -1,4 +1,7 @@
-"""Sizes of texts in tokens of a public tokenizer, whose vocabulary file is a parameter."""
+"""Sizes of texts in tokens of a public tokenizer, whose vocabulary file is a parameter.
+
+The file is read where an executor has it; elsewhere it is taken from what ``SparkContext.addFile`` sent along.
+"""
 
 from __future__ import annotations
 
@@ -22,8 +25,10 @@ _LOADED: dict[str, object] = {}
 def encoder(path: str):
     if path not in _LOADED:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        held = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        with open(held, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]

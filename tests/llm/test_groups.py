@@ -157,3 +157,15 @@ def test_budget_covers_every_difference():
         bounds = setjoin.length_classes(t, 2000)
         for k in range(len(bounds) - 2):
             assert all(-(-int(n * t * 1e9) // 10**9) >= bounds[max(0, k - 1)] for n in range(bounds[k], bounds[k + 1]))
+
+
+def test_names_get_hashes_of_their_own(spark):
+    names = spark.createDataFrame([(1, "a"), (1, None), (None, "b"), (2, "b"), (2, "b"), (3, "")], "rec long, name string")
+    got = setjoin.hashed_names(names)
+    assert sorted(r.rec for r in got.collect()) == [1, 2, 2, 3] and got.select("h").distinct().count() == 3
+
+
+def test_sets_with_one_print_are_compared_whole(spark):
+    packed = spark.createDataFrame([(1, 1, 0, [5, 6]), (2, 1, 0, [6, 5]), (3, 1, 0, [5, 7]), (4, 2, 0, [1]), (4, 2, 1, [2]), (5, 2, 0, [1, 2])], "rec long, of int, chunk int, hs array<long>")
+    alike = spark.createDataFrame([(2, 1, 2), (3, 1, 2), (5, 4, 2)], "rec long, rep long, len long")
+    assert rows(setjoin._equal_sets(packed, alike)) == [(2, 1)]
