@@ -105,6 +105,31 @@ def rounds(rows: DataFrame, features: Sequence[str], label: str, n_rounds: int =
     return state
 
 
+def baselines(rows: DataFrame, features: Sequence[str], label: str, steps: int = 20) -> DataFrame:
+    """(kind, client, n, accuracy): each client trained alone and scored on its own rows (solo), and all rows trained as one
+    party and scored by client (combined) (L10)."""
+    alone = train_logistic(rows, features, label, steps=steps)
+    one = train_logistic(rows.withColumn("client", F.lit("all")), features, label, steps=steps)
+    wide = lambda w, *keys: w.groupBy(*keys).agg(*(F.max(F.when(F.col("idx") == i, F.col("value"))).alias(f"_w{i}") for i in range(len(features) + 1)))
+    z = sum((F.col(c) * F.col(f"_w{i}") for i, c in enumerate(features)), F.col(f"_w{len(features)}"))
+    right = ((z >= 0).cast("int") == F.col(label)).cast("double")
+    score = lambda met, kind: met.groupBy("client").agg(F.count("*").alias("n"), F.avg(right).alias("accuracy")).select(F.lit(kind).alias("kind"), "client", "n", "accuracy")
+    held = rows.dropna(subset=[*features, label])
+    return score(held.join(wide(alone, "client"), "client"), "solo").unionByName(score(held.join(F.broadcast(wide(one, F.lit(1).alias("_one")).drop("_one"))), "combined"))
+
+
+def tree_model(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, trees: int = 50, depth: int = 6) -> DataFrame:
+    """``test`` with ``score``, the probability by boosted trees over pooled or aligned rows (L6); nulls count as 0."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    held = VectorAssembler(inputCols=list(features), outputCol="_x")
+    zero = lambda df: df.fillna(0, subset=list(features))
+    model = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=1).fit(held.transform(zero(train)))
+    return model.transform(held.transform(zero(test))).withColumn("score", F.element_at(vector_to_array("probability"), 2)).drop("_x", "rawPrediction", "probability", "prediction")
+
+
 def predict(rows: DataFrame, features: Sequence[str], weights: DataFrame) -> DataFrame:
     """``rows`` with ``score``, the sigmoid of the weighted features (M7)."""
     w = {r["idx"]: r["value"] for r in weights.collect()}

@@ -307,6 +307,20 @@ def l15_local_training(spark, d):
     return federated.train_logistic(_trained(spark, d), ["q", "x"], "y", steps=8).select("client", "idx", R6("value"), "n")
 
 
+def l10_baselines(spark, d):
+    """Accuracy of each client by its own model and by one model of all rows."""
+    return federated.baselines(_trained(spark, d), ["q", "x"], "y", 4).select("kind", F.col("client").cast("int").alias("client"), "n", R6("accuracy"))
+
+
+def l6_tree_model(spark, d):
+    """Boosted trees on pooled rows, which must do no worse than the larger class on the rows held out."""
+    li = read(spark, d, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber").alias("key"), "l_quantity", "l_discount", "l_extendedprice", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    at = encode.split(li, "key", 0.2, 5)
+    scored = federated.tree_model(at.filter("part = 'train'"), at.filter("part = 'test'"), ["l_quantity", "l_discount", "l_extendedprice"], "y", 3, 3)
+    acc, share = F.avg(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("double")), F.avg("y")
+    return scored.agg(F.count("*").alias("n"), (acc >= F.greatest(share, 1 - share) - 0.01).alias("no_worse"))
+
+
 def l16_federated_rounds(spark, d):
     """Two rounds of training with a pull to the global weights, and averaging, scored on all rows."""
     rows = _trained(spark, d)
@@ -317,7 +331,7 @@ def l16_federated_rounds(spark, d):
 QUERIES = {f.__name__: f for f in (
     q1_roc, q2_at_threshold, q3_average_precision, q4_confusion, q5_weighted_scores, q6_macro_scores, q7_regression, q9_dirichlet_alpha, q11_info_nce, q12_client_accuracy, q13_unseen_classes, e1_split_counts, e1_split_rows, e4_pair_split, e9_sampled_silos, e16_filled, e22_class_labels, e23_hash_labels, l11_target_columns, l6_varying_columns, l5_aligned_parties, f18_outlying_negatives, e13_label_codes, e15_local_codes, e17_standardised,
     e18_standardised_by_client, e19_min_max, e20_clean_plan, e21_binned_labels, e25_feature_signal, e10_value_samples, e10_value_samples_random, e11_bootstrap, e24_outliers, e28_sampled_clients, o6_top_classes, l1_fedavg, l3_scaffold, l4_vote, l7_masked_mean, l8_attention,
-    l9_confidence, l15_local_training, l16_federated_rounds,
+    l9_confidence, l15_local_training, l10_baselines, l6_tree_model, l16_federated_rounds,
 )}
 
 _SC = "s AS (SELECT CAST(l_returnflag = 'R' AS INT) AS y, l_extendedprice / 10000 + l_discount AS score, l_orderkey, l_linenumber FROM lineitem)"
@@ -385,6 +399,11 @@ r AS (SELECT 'random' AS mode, column_name, value, row_number() OVER (PARTITION
     "e11_bootstrap": f"""WITH u AS (SELECT r AS draw, c_acctbal AS v, {_draw("concat_ws('-', c_custkey, r)", 9)} AS u FROM customer, range(20) x(r) WHERE c_acctbal IS NOT NULL), w AS (SELECT draw, v, list_sum(list_transform({encode.POISSON}, lambda p: CASE WHEN u >= p THEN 1 ELSE 0 END)) AS w FROM u)
 SELECT CAST(draw AS INT) AS draw, round(sum(w * v) / sum(w), 5) AS mean FROM w GROUP BY 1""",
     "l15_local_training": f"WITH RECURSIVE {_ROWS}, {_descend('w', '0.0', '0.0', '0.0', 8, 0.0)} SELECT w.client, CAST(i AS INT) AS idx, round(CASE i WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END, 6) AS value, n FROM w JOIN n USING (client), range(3) x(i) WHERE step = 8",
+    "l10_baselines": f"""WITH RECURSIVE {_ROWS}, {_descend('w', '0.0', '0.0', '0.0', 4, 0.0)}, z AS (SELECT client AS at, q, x, y FROM r),
+b AS (SELECT 0 AS step, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 UNION ALL SELECT b.step + 1, any_value(w0) - 0.5 * avg((1 / (1 + exp(-(w0 * q + w1 * x + w2))) - y) * q), any_value(w1) - 0.5 * avg((1 / (1 + exp(-(w0 * q + w1 * x + w2))) - y) * x), any_value(w2) - 0.5 * avg(1 / (1 + exp(-(w0 * q + w1 * x + w2))) - y) FROM b, z WHERE b.step < 4 GROUP BY b.step)
+SELECT 'solo' AS kind, r.client, count(*) AS n, round(avg(CAST((w0 * q + w1 * x + w2 >= 0) = (y = 1) AS INT)), 6) AS accuracy FROM r JOIN w ON w.client = r.client AND step = 4 GROUP BY 2
+UNION ALL SELECT 'combined', r.client, count(*), round(avg(CAST((w0 * q + w1 * x + w2 >= 0) = (y = 1) AS INT)), 6) FROM r JOIN b ON step = 4 GROUP BY 2""",
+    "l6_tree_model": "SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) AS n, true AS no_worse FROM lineitem",
     "l16_federated_rounds": f"""WITH RECURSIVE {_ROWS}, {_descend('w', '0.0', '0.0', '0.0', 4, 0.1)}, g AS (SELECT sum(n * w0) / sum(n) AS g0, sum(n * w1) / sum(n) AS g1, sum(n * w2) / sum(n) AS g2 FROM w JOIN n USING (client) WHERE step = 4),
 {_descend('v', '(SELECT g0 FROM g)', '(SELECT g1 FROM g)', '(SELECT g2 FROM g)', 4, 0.1)}, h AS (SELECT sum(n * w0) / sum(n) AS h0, sum(n * w1) / sum(n) AS h1, sum(n * w2) / sum(n) AS h2 FROM v JOIN n USING (client) WHERE step = 4),
 s AS (SELECT y, 1 / (1 + exp(-(h0 * q + h1 * x + h2))) >= 0.25 AS hit FROM r, h), c AS (SELECT count(*) FILTER (hit AND y = 1) AS tp, count(*) FILTER (hit AND y = 0) AS fp, count(*) FILTER (NOT hit AND y = 1) AS fn, count(*) FILTER (NOT hit AND y = 0) AS tn FROM s)

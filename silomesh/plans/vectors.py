@@ -265,6 +265,11 @@ SQL = {
     "v7_weighted_column_match": f"""WITH {_CV}, w AS (SELECT *, CASE WHEN substring(col, 2, 1) = '0' THEN 0.5 ELSE 1.0 END AS idf FROM c), s AS (SELECT a.tab AS t1, b.tab AS t2, a.col AS c1, b.col AS c2, CAST(least(a.idf, b.idf) AS DOUBLE) * list_cosine_similarity(a.v, b.v) AS score FROM w a JOIN w b ON a.tab < b.tab),
 r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY score DESC, c1 DESC, c2 DESC) AS k FROM s) SELECT t1, t2, c1, c2, round(score, 6) AS score FROM r WHERE k = 1""",
     "v8_top_matrix": f"WITH {_CV}, s AS (SELECT a.col AS c1, b.col AS c2, list_cosine_similarity(a.v, b.v) AS similarity FROM c a JOIN c b ON a.tab <> b.tab), r AS (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY similarity DESC, c2) AS k FROM s) SELECT c1, c2, CAST(k AS INT) AS rank, round(similarity, 6) AS similarity FROM r WHERE k <= 2",
+    "w3_greedy_column_match": f"""WITH RECURSIVE {_CV}, s AS (SELECT a.tab AS t1, b.tab AS t2, a.col AS a, b.col AS b, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM c a JOIN c b ON a.tab < b.tab WHERE list_cosine_similarity(a.v, b.v) > 0.2),
+w AS (SELECT *, row_number() OVER (PARTITION BY t1, t2, a ORDER BY score DESC, a, b) AS x, row_number() OVER (PARTITION BY t1, t2, b ORDER BY score DESC, a, b) AS y FROM s
+  UNION ALL SELECT t1, t2, a, b, score, row_number() OVER (PARTITION BY t1, t2, a ORDER BY score DESC, a, b), row_number() OVER (PARTITION BY t1, t2, b ORDER BY score DESC, a, b) FROM (
+    SELECT r.* FROM w r LEFT JOIN (SELECT t1, t2, a FROM w WHERE x = 1 AND y = 1) i ON i.t1 = r.t1 AND i.t2 = r.t2 AND i.a = r.a LEFT JOIN (SELECT t1, t2, b FROM w WHERE x = 1 AND y = 1) j ON j.t1 = r.t1 AND j.t2 = r.t2 AND j.b = r.b WHERE i.a IS NULL AND j.b IS NULL))
+SELECT t1, t2, a, b, round(score, 6) AS score FROM w WHERE x = 1 AND y = 1""",
     "w3_best_of_both": f"""WITH {_CV}, s AS (SELECT a.tab AS t1, b.tab AS t2, a.col AS a, b.col AS b, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM c a JOIN c b ON a.tab < b.tab WHERE list_cosine_similarity(a.v, b.v) > 0.2),
 r AS (SELECT *, row_number() OVER (PARTITION BY t1, t2, a ORDER BY score DESC, a, b) AS x, row_number() OVER (PARTITION BY t1, t2, b ORDER BY score DESC, a, b) AS y FROM s) SELECT t1, t2, count(*) AS n, count(*) AS n_taken FROM r WHERE x = 1 AND y = 1 GROUP BY 1, 2""",
     "v10_text_vectors": f"""WITH {cat.SQL_TABLES}, n AS (SELECT DISTINCT {_K.format('table_name')} AS name FROM t WHERE {_K.format('table_name')} IS NOT NULL),
