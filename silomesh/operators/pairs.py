@@ -238,6 +238,18 @@ def vertical_halves(columns: Sequence[str], overlap: float = 0.0, least: int = 2
     return list(columns[:left]), list(columns[left - shared :])
 
 
+def vertical_sides(columns: DataFrame, overlap: float = 0.0, least: int = 2) -> DataFrame:
+    """(db, table_name, column_name, on_left, on_right): the vertical split (P11) of every table of a catalogue at once.
+
+    Columns are split in the order of their names; tables with fewer than ``2 * least`` columns are left out.
+    """
+    by = Window.partitionBy("db", "table_name")
+    placed = columns.withColumns({"pos": F.row_number().over(by.orderBy("column_name")) - 1, "n": F.count("*").over(by)}).filter(F.col("n") >= 2 * least)
+    shared = F.floor(F.col("n") * overlap)
+    left = F.floor((F.col("n") + shared) / 2)
+    return placed.select("db", "table_name", "column_name", (F.col("pos") < left).alias("on_left"), (F.col("pos") >= left - shared).alias("on_right"))
+
+
 def horizontal_halves(df: DataFrame, key: str, ratio: float = 0.5, seed: int = 0) -> DataFrame:
     """``df`` with ``half`` 0 or 1; the first holds floor(n x ratio) rows in hash order."""
     n = df.agg(F.floor(F.count("*") * ratio).alias("_cut"))

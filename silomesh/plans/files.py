@@ -201,6 +201,14 @@ def s25_failed_pairs(spark, d):
     return readers.failed_pairs(spark, p)
 
 
+def f12_unfailed_links(spark, d):
+    """links without the pairs that an error log calls failed."""
+    p, e = _place(spark, "failures"), _links(spark, d)
+    e.filter("src % 3 = 0").select(F.concat(F.lit("WARN pair "), F.col("src").cast("string"), F.lit("_"), F.col("tgt").cast("string"), F.lit(": retry"))).write.text(p)
+    lost = readers.failed_pairs(spark, p).select(F.col("a").cast("bigint").alias("src"), F.col("b").cast("bigint").alias("tgt"))
+    return e.join(lost, ["src", "tgt"], "left_anti").select("src", "tgt", R6("similarity"))
+
+
 def s27_headerless_table(spark, d):
     """A table without a header under given names."""
     p = _place(spark, "bare")
@@ -222,7 +230,7 @@ def s35_party_rows(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     k1_csv_table, k2_first_writer, k3_batches, k4_jsonl_triplets, k6_graph, k8_schema_documents, k10_column_mapping, k11_latex_lines, k14_prediction_rows, k15_status_report, s2_listed_tables, s7_sqlite_table, s12_web_tables, s14_embedding_file, s15_predictions, s16_pair_files,
-    s20_properties, s23_results, s24_summary_texts, s25_failed_pairs, s27_headerless_table, s35_party_rows,
+    s20_properties, s23_results, s24_summary_texts, s25_failed_pairs, f12_unfailed_links, s27_headerless_table, s35_party_rows,
 )}
 
 _L = f"{cat.SQL_EDGES}, l AS (SELECT src, tgt, similarity FROM e WHERE similarity >= 0.9)"
@@ -249,6 +257,7 @@ SQL = {
     "s23_results": "SELECT CAST(n_nationkey AS VARCHAR) AS pair_id, n_name AS algorithm, c AS client, n_nationkey / 100 AS accuracy, n_regionkey / 10 AS f1 FROM nation, (VALUES ('all'), ('client_0'), ('client_1')) v(c) WHERE (n_regionkey > 2) = (c <> 'all')",
     "s24_summary_texts": f"WITH {_L} SELECT 'AUC' AS metric, round(avg(similarity), 4) AS value FROM l UNION ALL SELECT 'Recall', count(*) FROM l",
     "s25_failed_pairs": f"WITH {_L} SELECT lpad(CAST(src AS VARCHAR), 5, '0') AS a, lpad(CAST(tgt AS VARCHAR), 5, '0') AS b FROM l WHERE similarity > 0.95",
+    "f12_unfailed_links": f"WITH {_L} SELECT src, tgt, round(similarity, 6) AS similarity FROM l WHERE src % 3 <> 0",
     "s27_headerless_table": "SELECT CAST(n_nationkey AS INT) AS key, n_name AS name FROM nation",
     "s35_party_rows": "SELECT o_orderstatus AS client, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2",
 }

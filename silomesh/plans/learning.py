@@ -85,6 +85,13 @@ def q12_client_accuracy(spark, d):
     return by.agg(F.round(F.sum(F.col("acc") * F.col("n")) / F.sum("n"), 6).alias("weighted"), F.round(F.avg("acc"), 6).alias("macro"))
 
 
+def q14_pooled_scores(spark, d):
+    """Q14: metrics of the test rows of all clients pooled: AUC and the scores at a threshold."""
+    rows = _scored(spark, d).filter("l_linenumber % 2 = 0")
+    one = metrics.roc(rows).select(R6("auc"))
+    return one.join(F.broadcast(metrics.at_threshold(rows, 3.0).select(R6("f1"), R6("accuracy"))))
+
+
 def q13_unseen_classes(spark, d):
     """Part types coded by what the cheapest parts have; unseen ones get the fallback."""
     part = read(spark, d, "part")
@@ -329,7 +336,7 @@ def l16_federated_rounds(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    q1_roc, q2_at_threshold, q3_average_precision, q4_confusion, q5_weighted_scores, q6_macro_scores, q7_regression, q9_dirichlet_alpha, q11_info_nce, q12_client_accuracy, q13_unseen_classes, e1_split_counts, e1_split_rows, e4_pair_split, e9_sampled_silos, e16_filled, e22_class_labels, e23_hash_labels, l11_target_columns, l6_varying_columns, l5_aligned_parties, f18_outlying_negatives, e13_label_codes, e15_local_codes, e17_standardised,
+    q1_roc, q2_at_threshold, q3_average_precision, q4_confusion, q5_weighted_scores, q6_macro_scores, q7_regression, q9_dirichlet_alpha, q11_info_nce, q12_client_accuracy, q13_unseen_classes, q14_pooled_scores, e1_split_counts, e1_split_rows, e4_pair_split, e9_sampled_silos, e16_filled, e22_class_labels, e23_hash_labels, l11_target_columns, l6_varying_columns, l5_aligned_parties, f18_outlying_negatives, e13_label_codes, e15_local_codes, e17_standardised,
     e18_standardised_by_client, e19_min_max, e20_clean_plan, e21_binned_labels, e25_feature_signal, e10_value_samples, e10_value_samples_random, e11_bootstrap, e24_outliers, e28_sampled_clients, o6_top_classes, l1_fedavg, l3_scaffold, l4_vote, l7_masked_mean, l8_attention,
     l9_confidence, l15_local_training, l10_baselines, l6_tree_model, l16_federated_rounds,
 )}
@@ -370,6 +377,9 @@ SELECT pair, round(CASE WHEN count(*) <= 1 THEN 100 WHEN sum(v) <= 1e-15 THEN CA
     "q11_info_nce": """WITH r AS (SELECT l_orderkey AS anchor, l_linenumber AS k, max(l_discount) * 5 AS s FROM lineitem GROUP BY 1, 2), f AS (SELECT anchor, min(k) AS k1 FROM r GROUP BY 1)
 SELECT r.anchor, round(ln(sum(exp(s / 0.5))) - max(CASE WHEN k = k1 THEN s / 0.5 END), 6) AS loss FROM r JOIN f ON f.anchor = r.anchor GROUP BY 1""",
     "q12_client_accuracy": f"WITH {_CL}, c AS (SELECT l_suppkey % 10 AS client, avg(CAST(y = pred AS INT)) AS acc, count(*) AS n FROM s GROUP BY 1) SELECT round(sum(acc * n) / sum(n), 6) AS weighted, round(avg(acc), 6) AS macro FROM c",
+    "q14_pooled_scores": f"""WITH {_SC.replace('FROM lineitem', 'FROM lineitem WHERE l_linenumber % 2 = 0')}, g AS (SELECT score, sum(y) AS pos, count(*) AS n FROM s GROUP BY 1), c AS (SELECT pos, n, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(pos) OVER () AS np, sum(n - pos) OVER () AS nn FROM g),
+k AS (SELECT count(*) FILTER (score >= 3 AND y = 1) AS tp, count(*) FILTER (score >= 3 AND y = 0) AS fp, count(*) FILTER (score < 3 AND y = 1) AS fn, count(*) AS n FROM s)
+SELECT round((SELECT sum((n - pos) * (tp - pos / 2)) / max(np * nn) FROM c), 6) AS auc, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((n - fp - fn) / n, 6) AS accuracy FROM k""",
     "q13_unseen_classes": "WITH k AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part WHERE p_retailprice < 902)) SELECT CAST(coalesce(code, 0) AS INT) AS p_type_code, count(*) AS n FROM part LEFT JOIN k USING (p_type) GROUP BY 1",
     "e1_split_counts": "WITH n AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT o_orderstatus, n, CAST(CASE WHEN n > 1 THEN ceil(n * 0.2) ELSE 0 END AS BIGINT) AS t FROM n) SELECT o_orderstatus, 'test' AS part, t AS n FROM s WHERE t > 0 UNION ALL SELECT o_orderstatus, 'train', n - t FROM s WHERE n > t",
     "e13_label_codes": "SELECT c_mktsegment AS value, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)",

@@ -178,7 +178,7 @@ def j3_joinable_keys(spark, d):
     return usable.groupBy("db", "child", "parent").agg(F.min("src_column").alias("key"))
 
 
-def p6_union_schema(spark, d):
+def union_schema(spark, d):
     """Three parties under the union of their columns, zeros and masks for what they lack."""
     p = {"buyers": read(spark, d, "customer").select(F.col("c_acctbal").alias("Acct_Bal"), F.col("c_nationkey").alias("nation key")), "sellers": read(spark, d, "supplier").select(F.col("s_acctbal").alias("acctbal"), F.col("s_suppkey").alias("ID")), "goods": read(spark, d, "part").select(F.col("p_size").alias("SIZE"), F.col("p_partkey").alias("id"))}
     u = pairs.union_schema(p)
@@ -186,12 +186,29 @@ def p6_union_schema(spark, d):
     return u.groupBy("party", mask).agg(F.count("*").alias("n"), *(F.round(F.sum(c), 2).alias(c) for c in ("acctbal", "id", "nationkey", "size")))
 
 
-def p7_column_map(spark, d):
+def column_map(spark, d):
     """The original name of every union column in each silo."""
     c = cat.columns(spark, d).select("db", name_key("column_name", "separators").alias("name"), "column_name").filter("name <> ''")
     return pairs.column_map(c)
 
 
+def column_renames(spark, d):
+    """For each pair of linked silos the column of the second that is renamed to the first's of the same key."""
+    c = cat.columns(spark, d).select("db", name_key("column_name", "unicode").alias("key"), "column_name").dropna().groupBy("db", "key").agg(F.min("column_name").alias("column_name"))
+    e = graph.above(cat.edges(spark, d), 0.95).select("src", "tgt")
+    side = lambda end, name: c.select(F.col("db").alias(end), "key", F.col("column_name").alias(name))
+    return e.join(side("src", "column_name"), "src").join(side("tgt", "renamed"), ["tgt", "key"]).select("src", "tgt", "renamed", "column_name")
+
+
+def vertical_sides(spark, d):
+    """The side or sides of every column of a table that is split vertically with a fifth of its columns on both.
+
+    Columns of one key count once; tables with fewer than four aren't split.
+    """
+    c = cat.columns(spark, d).select("db", "table_name", name_key("column_name", "unicode").alias("key"), "column_name").dropna()
+    return pairs.vertical_sides(c.groupBy("db", "table_name", "key").agg(F.min("column_name").alias("column_name")).drop("key"), 0.2)
+
+
 def f7_complete_labels(spark, d):
     """loads of both statistics tables without the rows that miss the label."""
     c, s = (read(spark, d, t).select("load_no", F.col("db_id").alias("label")) for t in ("column_cardinality", "column_sparsity"))
@@ -371,7 +388,7 @@ QUERIES = {f.__name__: f for f in (
     x1_name_keys, x5_base_entity, x6_padded_ids, x10_schema_text, x10_full_text, x20_prompt_text, x12_row_text, x13_column_text, x14_encoded_columns, x15_camel_names, x18_byte_sizes, x16_log_metrics, x17_contains, r3_json_props, r7_cache_keys, j1_fk_join_chain,
     j4_deduplicated_join, j6_join_size, j7_join_size_estimate, j8_entity_join, j9_linked_inner_join, j22_topic_links, j20_negative_pool, e5_triplets, a36_repeated_anchors, a37_split_overlap, u1_union_parties, u3_common_labels, k5_upserted_results, j10_zip_join,
 )}
-QUERIES |= {f.__name__: f for f in (j1_automated_chain, j2_capped_chain, j3_joinable_keys, p6_union_schema, p7_column_map, f7_complete_labels, f11_shared_labels, f14_linked_folders, s28_column_counts, s33_display_names, x11_legacy_text, x8_null_words, j23_full_negatives, e6_table_triplets, l14_attempts)}
+QUERIES |= {f.__name__: f for f in (j1_automated_chain, j2_capped_chain, j3_joinable_keys, union_schema, column_map, column_renames, vertical_sides, f7_complete_labels, f11_shared_labels, f14_linked_folders, s28_column_counts, s33_display_names, x11_legacy_text, x8_null_words, j23_full_negatives, e6_table_triplets, l14_attempts)}
 QUERIES |= {"triplets_exploded": p10_exploded_triplets, "column_masks": p7_column_masks, "horizontal_halves": p12_horizontal_halves}
 
 _C, _E, _T = cat.SQL_COLUMNS, cat.SQL_EDGES, cat.SQL_TABLES
@@ -388,6 +405,7 @@ def _draw(key, seed):
     return f"CAST('0x' || substr(md5(concat_ws('|', {key}, {seed})), 1, 13) AS BIGINT) / 4503599627370496.0"
 
 
+_UKEY = "nullif(regexp_replace(lower(column_name), '[^\\\\p{L}\\\\p{N}]', '', 'g'), '')".replace("\\\\", "\\")
 _TR = f"""{_E}, {_T}, o AS (SELECT DISTINCT db AS id FROM t), p AS (SELECT id, row_number() OVER (ORDER BY md5(concat_ws('|', id, 0)), id) - 1 AS pos, count(*) OVER () AS size FROM o),
 l AS (SELECT src AS anchor, tgt AS positive, row_number() OVER (ORDER BY md5(concat_ws('|', src, tgt, 0)), src, tgt) - 1 AS pos FROM e WHERE similarity >= 0.9),
 g AS (SELECT l.anchor, l.positive, i, p.id AS negative FROM l, range(3) x(i), (SELECT count(*) AS size FROM o) z JOIN p ON p.pos = (l.pos * 3 + i) % z.size)"""
@@ -399,8 +417,11 @@ SQL = {
     "j2_capped_chain": "SELECT o_custkey AS custkey, o_orderkey AS orderkey, round(o_totalprice, 2) AS price, c_mktsegment AS name FROM orders LEFT JOIN customer ON c_custkey = o_custkey ORDER BY o_custkey, o_orderkey LIMIT 1000",
     "j3_joinable_keys": f"""WITH {cat.SQL_FKS}, {_C}, x AS (SELECT DISTINCT db, lower(table_name) AS tab, lower(column_name) AS col FROM c) SELECT k.db, lower(src_table) AS child, lower(dst_table) AS parent, min(lower(src_column)) AS key FROM k
   JOIN x a ON a.db = k.db AND a.tab = lower(src_table) AND a.col = lower(src_column) JOIN x b ON b.db = k.db AND b.tab = lower(dst_table) AND b.col = lower(src_column) WHERE lower(src_column) = lower(dst_column) GROUP BY 1, 2, 3""",
-    "p6_union_schema": "SELECT 'buyers' AS party, '1010' AS mask, count(*) AS n, round(sum(c_acctbal), 2) AS acctbal, 0.0 AS id, CAST(sum(c_nationkey) AS DOUBLE) AS nationkey, 0.0 AS size FROM customer UNION ALL SELECT 'sellers', '1100', count(*), round(sum(s_acctbal), 2), sum(s_suppkey), 0, 0 FROM supplier UNION ALL SELECT 'goods', '0101', count(*), 0, sum(p_partkey), 0, sum(p_size) FROM part",
-    "p7_column_map": f"WITH {_C}, s AS (SELECT db, regexp_replace(lower(column_name), '[_\\s\\-]', '', 'g') AS name, min(column_name) AS original FROM c GROUP BY 1, 2), n AS (SELECT name, count(*) AS n_silos FROM s WHERE name <> '' GROUP BY 1) SELECT db, s.name, original, n_silos, n_silos = (SELECT count(DISTINCT db) FROM s WHERE name <> '') AS everywhere FROM s JOIN n ON n.name = s.name",
+    "union_schema": "SELECT 'buyers' AS party, '1010' AS mask, count(*) AS n, round(sum(c_acctbal), 2) AS acctbal, 0.0 AS id, CAST(sum(c_nationkey) AS DOUBLE) AS nationkey, 0.0 AS size FROM customer UNION ALL SELECT 'sellers', '1100', count(*), round(sum(s_acctbal), 2), sum(s_suppkey), 0, 0 FROM supplier UNION ALL SELECT 'goods', '0101', count(*), 0, sum(p_partkey), 0, sum(p_size) FROM part",
+    "column_map": f"WITH {_C}, s AS (SELECT db, regexp_replace(lower(column_name), '[_\\s\\-]', '', 'g') AS name, min(column_name) AS original FROM c GROUP BY 1, 2), n AS (SELECT name, count(*) AS n_silos FROM s WHERE name <> '' GROUP BY 1) SELECT db, s.name, original, n_silos, n_silos = (SELECT count(DISTINCT db) FROM s WHERE name <> '') AS everywhere FROM s JOIN n ON n.name = s.name",
+    "column_renames": f"WITH {_E}, {_C}, q AS (SELECT db, {_UKEY} AS key, min(column_name) AS column_name FROM c WHERE {_UKEY} IS NOT NULL GROUP BY 1, 2) SELECT src, tgt, b.column_name AS renamed, a.column_name FROM e JOIN q a ON a.db = src JOIN q b ON b.db = tgt AND b.key = a.key WHERE similarity >= 0.95",
+    "vertical_sides": f"""WITH {_C}, q AS (SELECT db, table_name, {_UKEY} AS key, min(column_name) AS column_name FROM c WHERE {_UKEY} IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT db, table_name, column_name, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY db, table_name) AS n FROM q WINDOW w AS (PARTITION BY db, table_name ORDER BY column_name)),
+z AS (SELECT *, CAST(floor(n * 0.2) AS BIGINT) AS shared, (n + CAST(floor(n * 0.2) AS BIGINT)) // 2 AS cut FROM r WHERE n >= 4) SELECT db, table_name, column_name, pos < cut AS on_left, pos >= cut - shared AS on_right FROM z""",
     "f7_complete_labels": "WITH l AS (SELECT load_no, count(*) AS n_left FROM column_cardinality WHERE db_id IS NOT NULL GROUP BY 1), r AS (SELECT load_no, count(*) AS n_right FROM column_sparsity WHERE db_id IS NOT NULL GROUP BY 1) SELECT coalesce(l.load_no, r.load_no) AS load_no, n_left, n_right FROM l FULL JOIN r ON r.load_no = l.load_no",
     "f11_shared_labels": """WITH v AS (SELECT 1 AS db, 'customer' AS table_name, 'c_mktsegment' AS column_name, c_mktsegment AS value FROM customer UNION ALL SELECT 1, 'customer', 'c_name', c_name FROM customer UNION ALL SELECT 1, 'orders', 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 1, 'orders', 'o_orderpriority', o_orderpriority FROM orders
   UNION ALL SELECT 2, 'part', 'p_type', p_type FROM part UNION ALL SELECT 2, 'region', 'r_name', r_name FROM region) SELECT db, table_name, column_name, count(*) AS n_rows, count(DISTINCT value) AS n_classes FROM v WHERE value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND count(DISTINCT value) BETWEEN 2 AND 10""",
