@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silomesh.llm.slots import MASK, mask_slots
+from silomesh.operators.value_counts import digest
 from silomesh.runtime import Workspace
 
 DEPTH = 3  # words of a segment that lead to its leaf
@@ -273,15 +274,20 @@ def find_residue(documents: DataFrame, doc: str = "doc_id", text: str = "text")
     kind = dict(documents.dtypes)[doc]
     held = documents.filter(F.col(text).rlike(r"\S")).select(F.col(doc).alias("doc"), F.col(text).alias("txt"))
     parsed = work.write(held.mapInPandas(_read_texts, f"doc {kind}, segs array<string>, said array<int>, page boolean, plain int, fillers int, markers array<struct<name:string,style:int>>"))
-    seen = parsed.select("doc", "page", "plain", "fillers", F.inline(F.arrays_zip("segs", "said"))).withColumnRenamed("segs", "masked")
+    key = [h.alias(n) for h, n in zip(digest("masked"), ("h1", "h2"))]  # stands for a segment where its text isn't needed
     beside = F.col("fillers") > (F.col("said") == 3).cast("int")
-    words = work.write(seen.groupBy("masked", "said").agg(F.count("*").alias("n"), F.count_if("page").alias("n_pages"), F.count_if(beside).alias("n_beside")))
+    seen = parsed.select("doc", "page", "plain", "fillers", F.inline(F.arrays_zip("segs", "said"))).withColumnRenamed("segs", "masked")
+    seen = seen.select("doc", "page", "plain", "said", beside.alias("beside"), "masked", *key)
+    words = seen.groupBy("masked", "said").agg(F.count("*").alias("n"), F.count_if("page").alias("n_pages"), F.count_if("beside").alias("n_beside"))
+    words = work.write(words.select("masked", *key, "said", "n", "n_pages", "n_beside"))
     mined = work.write(mine_templates(work, _needed(words)))
 
     # the class of a template is that of its most frequent segment
-    classes = mined.join(words, "masked").groupBy("template").agg(F.max_by("said", F.struct("n", "masked")).alias("suggested"))
-    of = work.write(mined.join(classes, "template").select("masked", F.xxhash64("template").alias("template"), "suggested", F.size(F.filter(F.split("masked", " "), lambda w: ~w.contains("<"))).alias("words")))
-    met = work.write(seen.join(of, "masked").select("doc", "page", "plain", "said", "template", "suggested", F.col("masked").contains(MASK).alias("has_slot"), "words", beside.alias("beside")))
+    told = mined.select(F.xxhash64("template").alias("template"), F.col("masked").contains(MASK).alias("has_slot"), F.size(F.filter(F.split("masked", " "), lambda w: ~w.contains("<"))).alias("words"), *key)
+    told = work.write(told.join(words.select("h1", "h2", "said", "n"), ["h1", "h2"]))
+    classes = told.groupBy("template").agg(F.max_by("said", F.struct("n", "h1", "h2")).alias("suggested"))
+    of = work.write(told.join(classes, "template").select("h1", "h2", "template", "suggested", "has_slot", "words"))
+    met = work.write(seen.drop("masked").join(of, ["h1", "h2"]).select("doc", "page", "plain", "said", "template", "suggested", "has_slot", "words", "beside"))
     once = met.groupBy("doc", "template").agg(F.max("page").alias("page"), F.max("beside").alias("beside"), F.max("has_slot").alias("has_slot"))
     known = once.groupBy("template").agg(F.count("*").alias("n_docs"), F.count_if("page").alias("n_pages"), F.count_if("beside").alias("n_beside"), F.count_if("has_slot").alias("n_slots"))
 
