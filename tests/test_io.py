@@ -88,3 +88,29 @@ def test_entry_module_registers_all():
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 100
+
+
+def test_release_and_shipping(spark):
+    from silomesh import runtime
+
+    work = runtime.Workspace(spark, "kept")
+    df = work.write(spark.range(5))
+    assert df.count() == 5 and readers.exists(spark, work.root)
+    assert runtime.release(spark) >= 1 and not readers.exists(spark, work.root) and runtime.release(spark) == 0
+    runtime.ship_package(spark)
+
+
+def test_sqlite_in_ranges(spark, tmp_path):
+    p = str(tmp_path / "a.db")
+    df = spark.createDataFrame([(i, None if i % 3 else f"v{i}") for i in range(50)], "k int, v string")
+    assert writers.sqlite(df, p, "t") == 50 and writers.sqlite(df.limit(0), p, "none") == 0
+    assert [c for c, _ in readers.sqlite_tables(p)["t"]] == ["k", "v"]
+    got = readers.sqlite_table(spark, p, "t", 7)
+    assert got.count() == 50 and got.filter("v is null").count() == 33 and readers.sqlite_table(spark, p, "none").count() == 0
+
+
+def test_prediction_columns_and_vectors(spark, tmp_path):
+    assert readers.metric_columns(["a", "prob_pos", "prob_1"]) == ["prob_pos"] and readers.metric_columns(["prob_10", "prob_2", "prob_x"]) == ["prob_2", "prob_10"]
+    df = spark.createDataFrame([("1", [1.0, 2.0]), ("2", [1.0]), ("3", None), ("4", [1.0, float("nan")]), ("5", [None, 1.0])], "db_id string, embedding array<float>")
+    df.write.parquet(f"file://{tmp_path}/e")
+    assert rows(readers.vectors(spark, f"file://{tmp_path}/e", 2), "db_id") == [("1",)]
